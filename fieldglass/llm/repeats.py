@@ -164,8 +164,8 @@ def find(docs, plan: Plan, pack, choose, decide_windows, cut, schema: str, id_co
         doc, first, last = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, np.int64) for i in range(3))
         return cut(table, g.merged(doc, first, last))
 
-    repeated = on_buckets(on_chunks_with(staged, shared, regions, MESSAGE), windows)
-    return on_chunks_with(staged, repeated, finish, schema)
+    repeated = on_buckets(on_chunks_with(staged, shared.select("chunk", "body"), regions, MESSAGE), windows)
+    return on_chunks_with(staged, repeated.select("chunk", "body"), finish, schema)
 
 
 def covered(n: int, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:

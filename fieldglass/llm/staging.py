@@ -63,7 +63,7 @@ def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     """(chunk, doc_id, text) as a table bucketed by chunk, and its number of chunks."""
     spark, n = docs.sparkSession, partitions_for(docs)
     chunks = 4 * n
-    rows = by_id(docs, id_col, text_col).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    rows = by_id(docs, id_col, text_col).withColumn("chunk", chunk_of("doc_id", chunks))
     name = f"staged_{uuid.uuid4().hex}"
     writer = rows.repartition(n, "chunk").write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
     writer.bucketBy(n, "chunk").sortBy("chunk").saveAsTable(name)
@@ -119,7 +119,11 @@ def on_chunks_with(staged: DataFrame, answers: DataFrame, function, schema: str)
     def run(key, table, sent):
         return function(key[0].as_py(), table, sent)
 
-    return staged.groupBy("chunk").cogroup(answers.select("chunk", "body").groupBy("chunk")).applyInArrow(run, schema)
+    return staged.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def chunk_of(doc_id, chunks: int):
+    return F.pmod(F.xxhash64(doc_id), F.lit(chunks)).cast("int")
 
 
 def on_buckets(sent: DataFrame, function, schema: str = MESSAGE) -> DataFrame:
