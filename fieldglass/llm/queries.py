@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_round_trip
 from .ngram_join import ngram_join
+from .packing import pack
+from .sstable import read_shards, write_shards
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_byte_substrings
 
@@ -18,15 +21,27 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), end=2))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents"), window=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), window=4096, end=2)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_byte_substrings(table(spark, sf_dir, "documents"), window=400)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_join, op6_substring_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_sstable, op6_substring_dedup, op7_pair_index_bpe, op9_best_fit_packing, op10_suffix_dedup)}
 SQL: dict[str, str] = {}
