@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .staging import by_id
-from .tokens import Words, default_tokenizer, encoded
+from .tokens import CACHED, Words, default_tokenizer, encoded
 
+#: A word that its normaliser only lower-cases and its splitter leaves whole.
+PLAIN = re.compile("[A-Za-z]+").fullmatch
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -50,39 +52,57 @@ class PairIndex:
             self.sides.append(pair)
             self.merged.append(self.vocab[a + b])
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.known: dict[str, list[int]] = {}
 
-    def symbols(self, word: str) -> list[list[int]]:
-        """The starting symbols of each separately merged piece of a word; specials stand alone."""
+    def pieces(self, word: str) -> list[str]:
+        """The separately merged pieces of a word; specials stand alone, after a null character."""
+        if PLAIN(word):
+            return [word.lower()]
         out = []
         for k, part in enumerate(self.marks.split(word) if self.marks else [word]):
-            if k % 2:
-                out.append([-1 - self.special[part]])
-                continue
-            for piece, _ in self.split(self.normalise(part)):
-                known = [self.vocab.get(c if i < len(piece) - 1 else c + self.suffix) for i, c in enumerate(piece)]
-                out.append([s for s in known if s is not None])
+            out += ["\0" + part] if k % 2 else [piece for piece, _ in self.split(self.normalise(part))]
         return out
 
+    def symbols(self, piece: str) -> list[int]:
+        known = [self.vocab.get(c) for c in piece[:-1]] + [self.vocab.get(piece[-1] + self.suffix)]
+        return [s for s in known if s is not None]
+
     def encode(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word.  Pieces that came before are not merged again."""
+        cut = [self.pieces(w) for w in words]
+        if len(self.known) > CACHED:
+            self.known.clear()
+        known = self.known
+        new = [p for p in dict.fromkeys(p for x in cut for p in x) if p not in known]
+        plain = [p for p in new if p[0] != "\0"]
+        known.update((p, [self.special[p[1:]]]) for p in new if p[0] == "\0")
+        known.update(zip(plain, self.merge(plain)))
+        return [known[x[0]] if len(x) == 1 else [i for p in x for i in known[p]] for x in cut]
+
+    def merge(self, pieces: list[str]) -> list[list[int]]:
         symbol: list[int] = []
         after: list[int] = []
         before: list[int] = []
         owner: list[int] = []
         places: dict[int, list[int]] = {}
         rank = self.rank
-        for w, word in enumerate(words):
-            for piece in self.symbols(word):
-                start = len(symbol)
-                for i, s in enumerate(piece):
-                    symbol.append(s)
-                    owner.append(w)
-                    before.append(start + i - 1 if i else -1)
-                    after.append(start + i + 1 if i + 1 < len(piece) else -1)
-                    if i and (r := rank.get((piece[i - 1], s))) is not None:
-                        places.setdefault(r, []).append(start + i - 1)
+        for w, piece in enumerate(map(self.symbols, pieces)):
+            start, n = len(symbol), len(piece)
+            symbol += piece
+            owner += [w] * n
+            before += range(start - 1, start + n - 1)
+            after += range(start + 1, start + n + 1)
+            if n:
+                before[start] = after[-1] = -1
+            for i, pair in enumerate(zip(piece, piece[1:]), start):
+                if (r := rank.get(pair)) is not None:
+                    if r in places:
+                        places[r].append(i)
+                    else:
+                        places[r] = [i]
         active = list(places)
         heapq.heapify(active)
-        gone = -(1 << 62)
+        gone = -1
         while active:
             r = heapq.heappop(active)
             todo = sorted(places.pop(r, ()))
@@ -110,10 +130,10 @@ class PairIndex:
                         heapq.heappush(active, r)
                     places[r] += todo[k + 1 :]
                     break
-        out: list[list[int]] = [[] for _ in words]
+        out: list[list[int]] = [[] for _ in pieces]
         for s, w in zip(symbol, owner):
             if s != gone:
-                out[w].append(s if s >= 0 else -1 - s)
+                out[w].append(s)
         return out
 
     def decode(self, ids) -> str:
