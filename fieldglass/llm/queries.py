@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .ngram_join import ngram_join
 from .packing import pack
+from .quality import judge
 from .sstable import read_shards, write_shards
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_byte_substrings
@@ -25,6 +26,10 @@ def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(table(spark, sf_dir, "documents"), end=2))
 
 
+def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents"), window=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -43,5 +48,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_sstable, op6_substring_dedup, op7_pair_index_bpe, op9_best_fit_packing, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_sstable, op5_distribution_divergence, op6_substring_dedup, op7_pair_index_bpe, op9_best_fit_packing, op10_suffix_dedup)}
 SQL: dict[str, str] = {}
