@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .ngram_join import ngram_join
 from .packing import pack
+from .pii import KINDS, personal_data, spans_text
 from .quality import judge
 from .sstable import read_shards, write_shards
 from .substring_dedup import dedup_substrings
@@ -39,6 +40,11 @@ def op7_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans_text(F.col("spans")).alias("spans"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), window=4096, end=2)
 
@@ -48,5 +54,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_sstable, op5_distribution_divergence, op6_substring_dedup, op7_pair_index_bpe, op9_best_fit_packing, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_sstable, op5_distribution_divergence, op6_substring_dedup, op7_pair_index_bpe, op8_contextual_pii, op9_best_fit_packing, op10_suffix_dedup)}
 SQL: dict[str, str] = {}
