@@ -1,8 +1,72 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns documents with the columns it got, except the
+last, which returns the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldglass.llm.ngram_join import ngram_join
+from fieldglass.llm.packing import pack
+from fieldglass.llm.pii import redacted
+from fieldglass.llm.quality import kept
+from fieldglass.llm.staging import saved
+from fieldglass.llm.substring_dedup import dedup_substrings
+
+#: Words of a passage that is removed where it repeats.
+PASSAGE = 50
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that fail the rules go."""
+    return kept(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3 on five words and a similarity of 0.8: of each component the smallest doc_id stays."""
+    first = ngram_join(docs, n=5, num=80, den=100).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+    return docs.join(first, docs.doc_id == F.col("_kept"), "left_semi")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: passages that an earlier document has are cut out."""
+    cut = dedup_substrings(docs, window=PASSAGE, joined=False).where("n_removed > 0").select(F.col("doc_id").alias("_cut"), F.col("kept").alias("_kept"))
+    together = docs.join(cut, docs.doc_id == F.col("_cut"), "left")
+    return counted(together.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: personal data gives way to its kind."""
+    return counted(redacted(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: the pieces of the packed sequences."""
+    return pack(docs, window=4096, end=2)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("PII", personal_data),
+    ("packing", packing),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = saved(docs, f"stage{k}")
+    return docs

@@ -25,7 +25,7 @@ def new_file(folder: str, ending: str) -> str:
 def writer(uri: str):
     system, path = opened(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def reader(uri: str):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe import bpe_round_trip
 from .ngram_join import ngram_join
 from .packing import pack
@@ -13,12 +14,22 @@ from .quality import judge
 from .sstable import read_shards, write_shards
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_byte_substrings
+from .warc import merged_index, read_archives, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archives(merged_index(write_archives(table(spark, sf_dir, "pages"))))
+
+
+def op2_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -54,5 +65,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_sstable, op5_distribution_divergence, op6_substring_dedup, op7_pair_index_bpe, op8_contextual_pii, op9_best_fit_packing, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_index_merge, op2_balanced_posting_lists, op3_ngram_join, op4_sstable, op5_distribution_divergence, op6_substring_dedup, op7_pair_index_bpe, op8_contextual_pii, op9_best_fit_packing, op10_suffix_dedup)}
 SQL: dict[str, str] = {}
