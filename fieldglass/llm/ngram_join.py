@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import grams as g
 from .components import components
-from .repeats import bucket_of, by_bucket
+from .repeats import by_bucket
 from .staging import MESSAGE, bodies, chunk_of, documents, message, messages, on_buckets, on_chunks, on_chunks_with, saved, stage
 
 U = np.uint64
@@ -131,7 +131,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
     """doc_id, n_shingles, component_id: the smallest doc_id reachable over links, where two
     documents link if den * |intersection| >= num * |union| of their sets of word n-grams."""
     spark = docs.sparkSession
-    staged, chunks = stage(docs, id_col, text_col)
+    staged, chunks, buckets = stage(docs, id_col, text_col)
 
     def need(size):  # n-grams that a partner must have
         return -(-num * size // den)
@@ -189,7 +189,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
             token, place = ordered(s)
             sent.append(token[place < (s.size - need(s.size) + extra(s.size))[s.doc]])
         token, count = np.unique(np.concatenate(sent), return_counts=True) if sent else (np.zeros(0, U), np.zeros(0))
-        return messages([message(chunk, b, (token[x], count[x] > 1)) for b, x in by_bucket(token, chunks)])
+        return messages([message(chunk, b, (token[x], count[x] > 1)) for b, x in by_bucket(token, buckets)])
 
     def shared(bucket, table):
         got = bodies(table)
@@ -224,7 +224,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
         if not out:
             return messages([])
         token, doc, size, place, parts = (np.concatenate(x) for x in zip(*out))
-        return messages([message(chunk, b, (token[x], doc[x], size[x].astype(np.int32), place[x].astype(np.int32), parts[x])) for b, x in by_bucket(token, chunks)])
+        return messages([message(chunk, b, (token[x], doc[x], size[x].astype(np.int32), place[x].astype(np.int32), parts[x])) for b, x in by_bucket(token, buckets)])
 
     def candidates(bucket, table):
         token, doc, size, place, parts = (np.concatenate(x) for x in zip(*(b for _, b in bodies(table))))
@@ -271,7 +271,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
             return messages([])
         keys = list(sent)
         mixed = g.mix(np.array([hash(k) & (1 << 63) - 1 for k in keys], np.int64).view(U))
-        return messages([message(chunk, b, [(keys[i], sent[keys[i]]) for i in x]) for b, x in by_bucket(mixed, chunks)])
+        return messages([message(chunk, b, [(keys[i], sent[keys[i]]) for i in x]) for b, x in by_bucket(mixed, buckets)])
 
     def verified(bucket, table):
         groups: dict[tuple[int, int, int], dict] = {}

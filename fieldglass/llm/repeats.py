@@ -109,8 +109,8 @@ def find(docs, plan: Plan, pack, choose, decide_windows, cut, schema: str, id_co
     choose(such a dict, indexes) -> what goes to a bucket;
     decide_windows([(chunk, chosen)] of a bucket) -> [(chunk, (doc_id, first, last))], the windows that repeat;
     cut(chunk's table, ranges) -> the rows of the result."""
-    staged, chunks = stage(docs, id_col, text_col)
-    send, decide = shared_anchors(plan, chunks)
+    staged, _, buckets = stage(docs, id_col, text_col)
+    send, decide = shared_anchors(plan, buckets)
     shared = on_buckets(on_chunks(staged, send, MESSAGE), decide)
 
     def regions(chunk, table, answers):
@@ -139,11 +139,11 @@ def find(docs, plan: Plan, pack, choose, decide_windows, cut, schema: str, id_co
         out = []
         if local:
             own = np.array(local, np.int64)
-            out.append(message(chunk, chunk, ("here", g.merged(own[:, 0], own[:, 1], own[:, 2]))))
+            out.append(message(chunk, chunk % buckets, ("here", g.merged(own[:, 0], own[:, 1], own[:, 2]))))
         if packs:
             whole = {name: [x for p in packs for x in p[name]] if isinstance(packs[0][name], list) else np.concatenate([p[name] for p in packs]) for name in packs[0]}
             whole["multi"] = np.array(multi, bool)
-            for b, x in by_bucket(np.concatenate(keys), chunks):
+            for b, x in by_bucket(np.concatenate(keys), buckets):
                 out.append(message(chunk, b, ("items", choose(whole, x))))
         return messages(out)
 

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of input on disk for one bucket of a staged table; a bucket holds about four chunks.
-BUCKET_BYTES = 12 << 20
+#: Bytes of input on disk for one bucket of a staged table; a bucket holds about two chunks.
+BUCKET_BYTES = 10 << 20
 MESSAGE = "chunk int, bucket int, body binary"
 
 
@@ -59,15 +59,16 @@ def by_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
 
 
-def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text) as a table bucketed by chunk, and its number of chunks."""
+def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
+    """(chunk, doc_id, text) as a table bucketed by chunk, its number of chunks, and that of the
+    buckets for facts: one a partition, since every chunk sends a message to almost every bucket."""
     spark, n = docs.sparkSession, partitions_for(docs)
-    chunks = 4 * n
+    chunks = 2 * n
     rows = by_id(docs, id_col, text_col).withColumn("chunk", chunk_of("doc_id", chunks))
     name = f"staged_{uuid.uuid4().hex}"
     writer = rows.repartition(n, "chunk").write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
     writer.bucketBy(n, "chunk").sortBy("chunk").saveAsTable(name)
-    return spark.table(name), chunks
+    return spark.table(name), chunks, n
 
 
 def message(chunk, bucket, body) -> tuple[int, int, bytes]:
