@@ -70,14 +70,16 @@ class PairIndex:
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each word.  Pieces that came before are not merged again."""
         cut = [self.pieces(w) for w in words]
-        if len(self.known) > CACHED:
-            self.known.clear()
         known = self.known
         new = [p for p in dict.fromkeys(p for x in cut for p in x) if p not in known]
         plain = [p for p in new if p[0] != "\0"]
         known.update((p, [self.special[p[1:]]]) for p in new if p[0] == "\0")
         known.update(zip(plain, self.merge(plain)))
-        return [known[x[0]] if len(x) == 1 else [i for p in x for i in known[p]] for x in cut]
+        out = [known[x[0]] if len(x) == 1 else [i for p in x for i in known[p]] for x in cut]
+        if len(known) > CACHED:
+            for p in new:
+                del known[p]
+        return out
 
     def merge(self, pieces: list[str]) -> list[list[int]]:
         symbol: list[int] = []
@@ -142,14 +144,14 @@ class PairIndex:
 
 
 class Decoded:
-    """Decoded words, for as long as the cache of words they belong to."""
+    """Decoded words, beside the cache of words they belong to."""
 
     def __init__(self, model: PairIndex, words: Words):
-        self.model, self.words, self.generation, self.texts = model, words, 0, []
+        self.model, self.words, self.kept, self.texts = model, words, 0, []
 
     def __call__(self, at) -> list[str]:
-        if self.generation != self.words.generation:
-            self.generation, self.texts = self.words.generation, []
+        del self.texts[self.kept :]
+        self.kept = self.words.kept
         ids, start = self.words.ids, self.words.start[len(self.texts) :].tolist()
         self.texts += [self.model.decode(ids[a:b].tolist()) for a, b in zip(start, start[1:])]
         return list(map(self.texts.__getitem__, at.tolist()))

@@ -2,7 +2,7 @@
 
 The word-level BPE used here drops white space and never merges across it, so the ids of a text are
 the ids of its words in order, a word being a run of bytes other than space and 0x09-0x0D.  A word
-is encoded once per worker for as long as it stays in the cache; the rest is numpy gathering.
+is encoded once per worker if it is in the cache; the rest is numpy gathering.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ import pyarrow as pa
 from . import grams as g
 from .staging import filled
 
-#: Words and bytes of words kept per worker; beyond either, the cache starts anew.
-CACHED, CACHED_BYTES = 400_000, 16 << 20
+#: Words and bytes of words that a worker keeps: the first it meets.  Later words that are not among
+#: them are encoded anew in each part.
+CACHED, CACHED_BYTES = 500_000, 16 << 20
 PART_BYTES = 1 << 20
 
 
@@ -29,29 +30,33 @@ class Words:
 
     def __init__(self, encode):
         self.encode = encode
-        self.generation = 0
-        self.clear()
-
-    def clear(self):
-        self.generation += 1
-        self.bytes = 0
         self.at: dict[bytes, int] = {}
+        self.passing: list[bytes] = []  # of the last call only
+        self.kept = self.bytes = 0
         self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         """Index of each word, for start and ids; valid until the next call."""
-        if len(self.at) > CACHED or self.bytes > CACHED_BYTES:
-            self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.at]
+        at = self.at
+        for w in self.passing:
+            del at[w]
+        self.passing = []
+        self.start = self.start[: self.kept + 1]
+        self.ids = self.ids[: self.start[-1]]
+        new = [w for w in dict.fromkeys(words) if w not in at]
         if new:
             ids = self.encode([w.decode() for w in new])
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-            self.bytes += sum(map(len, new))
+            at.update(zip(new, range(len(at), len(at) + len(new))))
             flat = np.fromiter((i for x in ids for i in x), np.uint32)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             self.ids = np.concatenate([self.ids, flat])
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            if self.kept + len(new) <= CACHED and self.bytes < CACHED_BYTES:
+                self.kept += len(new)
+                self.bytes += sum(map(len, new))
+            else:
+                self.passing = new
+        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
 
 
 _encoders: dict[tuple[str, str], Words] = {}
