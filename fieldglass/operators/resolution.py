@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -18,12 +19,16 @@ AGES = [(300, -0.4), (90, -0.25), (45, -0.12)]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the folder that the cluster shares; a folder of our own where none is set."""
+    """df written to the folder that the cluster shares and read back: cuts the lineage and survives
+    lost executors.  A folder of our own where spark.checkpoint.dir is unset."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="fieldglass-"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="fieldglass-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def linked(rows: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
@@ -85,12 +90,19 @@ def merged_best_first(rows: DataFrame, pairs: DataFrame, row_id: str, space: str
     """(id, cluster) as by merging pairs (a, b, score) in order of score, then a, then b, unless the
     cluster would hold two names of one space; cluster is its least id.  Null spaces hinder nothing.
 
-    Each round drops pairs that can never merge any more and merges, all at once, the pairs that
-    are best for both their clusters: no pair that comes earlier touches either of them, so the
-    outcome is that of the sequential order."""
-    labels = cut(rows.select(F.col(row_id).alias("id"), F.col(row_id).alias("cluster")).where("id IS NOT NULL").distinct())
+    Rows connected by pairs without two names of a space anywhere among them merge at once, in any
+    order.  Among the others, each round drops pairs that can never merge any more and merges the
+    pairs that are best for both their clusters: no pair that comes earlier touches either of them,
+    so the outcome is that of the sequential order.  Rounds grow with the longest run of pairs at
+    one cluster that must wait for each other, at most the largest such connected part."""
+    alone = rows.select(F.col(row_id).alias("id")).where("id IS NOT NULL").distinct()
     names = rows.where(F.col(space).isNotNull() & F.col(name).isNotNull()).select(F.col(row_id).alias("id"), F.col(space).alias("s"), F.col(name).alias("n"))
     open_ = cut(pairs.where(F.col("score") >= least).select("a", "b", F.struct((-F.col("score")).alias("s"), "a", "b").alias("at")))
+    parts = linked(open_.select(F.explode(F.array("a", "b")).alias("id"), F.concat_ws(" ", "a", "b").alias("pair")), "id", ["pair"])
+    clashing = names.join(parts, "id").groupBy("cluster", "s").agg((F.min("n") != F.max("n")).alias("two")).where("two").select("cluster").distinct()
+    calm = cut(parts.join(clashing, "cluster", "left_anti"))
+    labels = cut(alone.join(calm, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster")))
+    open_ = cut(open_.join(calm.select(F.col("id").alias("a")), "a", "left_anti"))
     while True:
         held = names.join(labels, "id").select(F.col("cluster").alias("c"), "s", "n").distinct()
         of = labels.select(F.col("id").alias("a"), F.col("cluster").alias("x"))

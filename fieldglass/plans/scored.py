@@ -123,25 +123,27 @@ def identity_clusters(spark, d):
 
 
 @query(
-    "WITH w AS (SELECT p_partkey AS id, p_brand AS b, list_sort(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part), k AS (SELECT b, w, min(id) AS k FROM w GROUP BY ALL) "
+    "WITH w AS (SELECT p_partkey AS id, p_brand AS b, list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS w FROM part), k AS (SELECT b, w, min(id) AS k FROM w GROUP BY ALL) "
     "SELECT ka, kb, floor(s * 10000 + 0.5) / 10000 AS similarity FROM (SELECT x.k AS ka, y.k AS kb, len(list_intersect(x.w, y.w))::DOUBLE / len(list_distinct(list_concat(x.w, y.w))) AS s FROM k x JOIN k y ON x.b = y.b AND x.k < y.k) WHERE s >= 0.5"
 )
 def blocked_pairs(spark, d):
-    p = table(spark, d, "part").withColumn("w", F.array_distinct(F.split(F.lower("p_name"), " ")))
+    p = table(spark, d, "part").withColumn("w", F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")))
     return N.blocked_pairs(p, "p_partkey", ["p_brand"], "w", 0.5)[0].withColumn("similarity", tamed(F.col("similarity")))
 
 
 @query(None)
 def clusters_of_near_names(spark, d):
-    """Blocked pairs scored on words, order and pay, merged best first; two sizes never in one cluster of a type."""
-    p = table(spark, d, "part").withColumn("w", T.tokens(F.col("p_name")))
-    pairs, _ = N.blocked_pairs(p, "p_partkey", ["p_brand"], "w", 0.34)
+    """Blocked pairs scored on words, order and pay, with rows of the same words tied to the first of
+    them, merged best first; no cluster holds two size classes of one type."""
+    p = table(spark, d, "part").withColumn("w", T.tokens(F.concat_ws(" ", "p_name", "p_type"))).withColumn("class", F.col("p_size") % 3)
+    near, of = N.blocked_pairs(p, "p_partkey", ["p_brand"], "w", 0.5)
+    pairs = near.unionByName(of.where("id <> k").select(F.col("k").alias("ka"), F.col("id").alias("kb"), F.lit(1.0).alias("similarity")))
     for s in "ab":
         pairs = pairs.join(p.select(F.col("p_partkey").alias(f"k{s}"), F.col("p_name").alias(f"t{s}"), F.col("p_retailprice").alias(f"pay{s}")), f"k{s}")
     title = N.TITLE_WORDS * F.col("similarity") + N.TITLE_ORDER * N.order_ratio("ta", "tb")
     pay = T.overlap_of_ranges(F.col("paya") * 0.9, F.col("paya") * 1.1, F.col("payb") * 0.9, F.col("payb") * 1.1)
     scored = pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b"), N.pair_score(title, F.lit(None).cast("double"), pay, F.lit(None).cast("double"), F.lit(False), F.lit(False)).alias("score"))
-    return N.merged_best_first(p, scored, "p_partkey", "p_type", "p_size", 0.4)
+    return N.merged_best_first(p, scored, "p_partkey", "p_type", "class")
 
 
 @query("SELECT o_custkey, arg_min(o_orderkey, (o_orderpriority, o_orderkey)) AS chosen, count(*) AS size FROM orders GROUP BY o_custkey")

@@ -43,9 +43,10 @@ def test_linked(spark):
 
 def test_merged_best_first(spark):
     rnd = random.Random(5)
-    rows = [(i, rnd.choice(["s", "t", None]), rnd.randint(1, 6)) for i in range(40)]
-    pairs = [(a, b, rnd.choice([0.7, 0.8, 0.85, 0.9, 0.95])) for a in range(40) for b in range(a + 1, 40) if rnd.random() < 0.12]
-    of = {i: {i} for i in range(40)}
+    rows = [(i, rnd.choice(["s", "t", None]), rnd.randint(1, 3)) for i in range(16)]
+    pairs = [(a, b, rnd.choice([0.7, 0.8, 0.9, 0.8 + rnd.random() / 5])) for a in range(16) for b in range(a + 1, 16) if rnd.random() < 0.25 and (a < 12) == (b < 12)]
+    rows[12:] = [(i, None, None) for i in range(12, 16)]
+    of = {i: {i} for i in range(16)}
     name = {i: (s, n) for i, s, n in rows if s}
     for a, b, score in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
         if score >= 0.8 and of[a] is not of[b]:
