@@ -55,11 +55,11 @@ def blocked_pairs(rows: DataFrame, row_id: str, block: list[str], words: str, le
     words have the least id of them as k.  Joined on the rarest words only: two such sets share a
     word among their first n - ceil(least * n) + 1 in order of frequency."""
     sets = rows.select(F.col(row_id).alias("id"), F.xxhash64(*block).alias("_blk"), F.struct(*block).alias("_b"), F.array_sort(F.col(words)).alias("w")).where(F.size("w") > 0)
-    kinds = sets.groupBy("_blk", "_b", "w").agg(F.min("id").alias("k"))
+    kinds = cut(sets.groupBy("_blk", "_b", "w").agg(F.min("id").alias("k")))
     often = sets.select("_blk", F.explode("w").alias("word")).groupBy("_blk", "word").count()
     ranked = kinds.select("_blk", "k", F.size("w").alias("n"), F.explode("w").alias("word")).join(often, ["_blk", "word"])
     place = F.row_number().over(Window.partitionBy("_blk", "k").orderBy("count", "word"))
-    prefix = ranked.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).select("_blk", "k", "word", "n")
+    prefix = cut(ranked.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).select("_blk", "k", "word", "n"))
     a, b = (prefix.toDF("_blk", f"k{s}", "word", f"n{s}") for s in "ab")
     close = (F.col("na") * least <= F.col("nb") + 1e-9) & (F.col("nb") * least <= F.col("na") + 1e-9)
     near = a.join(b, ["_blk", "word"]).where((F.col("ka") < F.col("kb")) & close).select("ka", "kb").distinct()
