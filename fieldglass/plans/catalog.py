@@ -13,7 +13,7 @@ from ..operators import views as V
 from ..operators.predicates import Field, Fields, all_of, any_of, mentions, negate
 from ..sources import payloads as P
 from ..streaming import capture as C
-from . import scored
+from . import intake, scored
 
 FLAGSHIP = "facets_one_pass"
 _QUERIES: dict = {}
@@ -276,8 +276,8 @@ def activity_span(spark, d):
 
 
 def queries() -> dict:
-    return {**_QUERIES, **scored.QUERIES}
+    return {**_QUERIES, **scored.QUERIES, **intake.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_SQL, **scored.SQL}
+    return {**_SQL, **scored.SQL, **intake.SQL}
