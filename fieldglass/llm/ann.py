@@ -4,8 +4,13 @@ Centroids come from balanced bisection of a bounded sample (SAMPLE_BYTES); every
 A vector goes to the lists of its nearest centroids, found by a beam search of a graph over the
 centroids in memory: to the nearest, and as a boundary vector to further ones within REPLICATE of
 its distance, unless a chosen centroid lies nearer to them than the vector does.  Lists larger than
-LIST vectors are cut into sublists, so no task holds a large list.  A query takes the lists whose
-centroids lie within PRUNE of its nearest centroid's distance.
+LIST vectors are cut into sublists, so no task holds a large list.  A query first takes the lists
+whose centroids lie within PRUNE of its nearest centroid's distance, LISTS of them at most.  What
+it finds there is only a bound: then it takes every other vector (once, from the list of its nearest
+centroid) that the bound does not rule out, so the result is exact.  A list is ruled out if by the
+triangle inequality of angles, with the list's widest angle, nothing in it can be as near as the
+(k + 1)-th found.  On vectors without clusters that rules out little, and the work is that of
+comparing all queries with all vectors, in blocks of BLOCK_BYTES.
 
 Equal vectors are one vector with its k + 1 smallest ids: no other of them can be among the k
 nearest of any query.  Ties go to the smaller id.  Vectors that are null, empty, zero, of another
@@ -24,6 +29,8 @@ from .staging import saved
 
 SAMPLE_BYTES, CENTROIDS, LIST = 16 << 20, 4096, 512
 REPLICATE, COPIES, PRUNE, LISTS, BEAM, DEGREE = 1.15, 4, 1.4, 112, 128, 16
+#: Bytes of vectors, and of queries, that meet in one task of the exact pass; what angles and scores may be off by rounding.
+BLOCK_BYTES, ROUNDING = 8 << 20, 1e-6
 
 
 def matrix(blobs) -> np.ndarray:
@@ -97,6 +104,25 @@ def distance(sims: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * sims))
 
 
+def direction(x: np.ndarray) -> np.ndarray:
+    """Unit rows in double precision."""
+    x = x.astype(np.float64)
+    x = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def blocks_of(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block of each list, and how many it takes: lists in a row share a block, one of over most vectors has several."""
+    parts = np.maximum(-(-counts // most), 1)
+    first, block, held = np.zeros(len(counts), np.int64), 0, 0
+    for i, (c, p) in enumerate(zip(counts.tolist(), parts.tolist())):
+        if held and held + c > most:
+            block, held = block + 1, 0
+        first[i] = block
+        block, held = (block + p, 0) if p > 1 else (block, held + c)
+    return first, parts
+
+
 def lists_of(centroids: Centroids, x: np.ndarray) -> list[list[int]]:
     """The lists that each vector is put in."""
     ids, sims = centroids.search(x, 4 * COPIES)
@@ -113,8 +139,9 @@ def lists_of(centroids: Centroids, x: np.ndarray) -> list[list[int]]:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", list_size: int = 128, prune: float = PRUNE, most_lists: int = LISTS) -> DataFrame:
-    """query_id, rank, vec_id and score (cosine in double precision) of the k nearest vectors found
-    for each query, itself not counted.  queries: rows of vectors, by id."""
+    """query_id, rank, vec_id and score (cosine in double precision) of the k nearest vectors of
+    each query, itself not counted.  queries: rows of vectors, by id.  prune and most_lists say
+    what is looked at first; they change the work, not the result."""
     spark = vectors.sparkSession
 
     def valid(batches):
@@ -166,12 +193,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 own = batch.slice(a, 1024)
-                got = lists_of(shared.value, unit(matrix(own["v"].to_pylist())))
-                row = np.repeat(np.arange(len(got)), [len(x) for x in got])
+                x = matrix(own["v"].to_pylist())
+                got = lists_of(shared.value, unit(x))
+                row = np.repeat(np.arange(len(got)), [len(c) for c in got])
+                home = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+                off = np.full(len(row), np.nan)
+                off[home] = np.arccos(np.clip((direction(shared.value.points[[c[0] for c in got]]) * direction(x)).sum(1), -1, 1))
                 out = own.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array([c for x in got for c in x], pa.int32()), out["rep"], out["v"]], ["list", "rep", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([c for x in got for c in x], pa.int32()), out["rep"], out["v"], pa.array(off, mask=~home)], ["list", "rep", "v", "off"])
 
-    posted = saved(distinct.mapInArrow(post, "list int, rep long, v binary"), "postings")
+    posted = saved(distinct.mapInArrow(post, "list int, rep long, v binary, off double"), "postings")
+    homes = posted.where("off IS NOT NULL")  # every vector once, with its angle to the list's centroid
     sizes = {r.list: -(-r["count"] // LIST) for r in posted.groupBy("list").count().collect()}  # CENTROIDS rows at most
     cuts = np.array([sizes.get(i, 0) for i in range(lists)], np.int64)
 
@@ -217,10 +249,79 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         query, rep, exact = (np.concatenate(z) for z in zip(*out))
         return pa.table({"query": pa.array(query, pa.int64()), "rep": pa.array(rep, pa.int64()), "score": pa.array(exact, pa.float64())})
 
-    vectors_by_list = posted.mapInArrow(split, "list int, sub int, rep long, v binary")
+    vectors_by_list = posted.drop("off").mapInArrow(split, "list int, sub int, rep long, v binary")
     scored = wanted.groupBy("list", "sub").cogroup(vectors_by_list.groupBy("list", "sub")).applyInArrow(score, "query long, rep long, score double")
-    best = scored.groupBy("query", "rep").agg(F.max("score").alias("score"))
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1)
+
+    def top(found):
+        found = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
+        return found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1).drop("r")
+
+    seen = saved(top(scored), "seen")
+    bound = seen.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("query", F.when(F.col("n") > k, F.col("least")).alias("least"))
+    held = {r.list: (r.n, r.off) for r in homes.groupBy("list").agg(F.count("*").alias("n"), F.max("off").alias("off")).collect()}  # CENTROIDS rows at most
+    widest = np.array([held[i][1] if i in held else -np.inf for i in range(lists)])
+    most_rows = max(LIST, BLOCK_BYTES // width.w)
+    first, parts = blocks_of(np.array([held[i][0] if i in held else 0 for i in range(lists)], np.int64), most_rows)
+    asking = asked.groupBy("rep").agg(F.first("v").alias("v"))
+    shares = max(1, -(-asking.count() // most_rows))
+
+    def rest(batches):
+        """The blocks of the lists that may hold a vector as near as the bound."""
+        points = direction(shared.value.points)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                own = batch.slice(a, 256)
+                off = np.arccos(np.clip(direction(matrix(own["v"].to_pylist())) @ points.T, -1, 1))
+                least = np.array([-1.0 if x is None else x for x in own["least"].to_pylist()])
+                row, near = np.nonzero((off - widest <= np.arccos(np.clip(least, -1, 1))[:, None] + ROUNDING) & np.isfinite(widest))
+                run, place = np.repeat(np.arange(len(near)), parts[near]), np.concatenate([np.arange(c) for c in parts[near]]) if len(near) else near
+                hit = np.zeros((own.num_rows, int((first + parts).max())), bool)
+                hit[row[run], first[near][run] + place] = True
+                row, block = np.nonzero(hit)
+                bounds = np.searchsorted(row, np.arange(own.num_rows + 1))
+                blocks = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(block, pa.int32()))
+                yield pa.RecordBatch.from_arrays([own["rep"], own["v"], pa.array(least), blocks], ["rep", "v", "least", "blocks"])
+
+    open_ = asking.join(bound, asking.rep == bound["query"], "left").select("rep", "v", "least")
+    open_ = saved(open_.mapInArrow(rest, "rep long, v binary, least double, blocks array<int>"), "open")
+    share = F.pmod(F.xxhash64("rep"), F.lit(shares)).cast("int").alias("share")
+    sent = open_.select(F.explode("blocks").alias("block"), share, "rep", "v", "least")
+
+    def blocked(batches):
+        for batch in batches:
+            at = batch["list"].to_numpy()
+            mixed = (batch["rep"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            block = first[at] + (mixed % parts[at].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), batch["rep"], batch["v"]], ["block", "rep", "v"])
+
+    wide = homes.drop("off").mapInArrow(blocked, "block int, rep long, v binary")
+    wide = wide.join(open_.select(F.explode("blocks").alias("block"), share).distinct(), "block").select("block", "share", "rep", "v")
+
+    def nearer(key, q, v):
+        """The vectors at the bound or above, k + 1 at most a query; ties by the exact score and the id."""
+        query, rep, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(q) and len(v):
+            reps, x = v["rep"].to_numpy(), matrix(v["v"].to_pylist())
+            length = np.sqrt((x * x).sum(1))
+            for a in range(0, len(q), 256):
+                part = q.slice(a, 256)
+                y = matrix(part["v"].to_pylist())
+                size = np.sqrt((y * y).sum(1))
+                near = (y @ x.T) / length / size[:, None]
+                least = part["least"].to_numpy() - ROUNDING
+                for i in np.flatnonzero(near.max(1) >= least).tolist():
+                    c = np.flatnonzero(near[i] >= least[i])
+                    if len(c) > k + 1:
+                        c = c[near[i, c] >= np.partition(near[i, c], len(c) - k - 1)[len(c) - k - 1] - ROUNDING]
+                    exact = (x[c] * y[i]).sum(1) / (length[c] * size[i])
+                    order = np.lexsort((reps[c], -exact))[: k + 1]
+                    query.append(np.full(len(order), part["rep"][i].as_py()))
+                    rep.append(reps[c[order]])
+                    score.append(exact[order])
+        return pa.table({"query": pa.array(np.concatenate(query), pa.int64()), "rep": pa.array(np.concatenate(rep), pa.int64()), "score": pa.array(np.concatenate(score))})
+
+    more = sent.groupBy("block", "share").cogroup(wide.groupBy("block", "share")).applyInArrow(nearer, "query long, rep long, score double")
+    best = top(seen.unionByName(more))
     found = best.join(distinct.select("rep", "ids"), "rep").groupBy("query").agg(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("i")))))).alias("near"))
     other = F.slice(F.filter("near", lambda c: c["i"] != F.col("query_id")), 1, k)
     rows = asked.join(found, asked.rep == found["query"]).select("query_id", F.posexplode(other).alias("p", "c"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldglass.llm import queries
-from fieldglass.llm.ann import nearest
+from fieldglass.llm.ann import blocks_of, nearest
 from fieldglass.llm.pii import base_spans, luhn, personal_data, redacted, spans_text
 from fieldglass.llm.quality import judge
 from fieldglass.llm.warc import LoserTree, merged_index, read_archives, sort_key, write_archives
@@ -77,6 +77,30 @@ def test_neighbours(spark):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def brute_neighbours(x, asked, k):
+    d = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = d[asked] @ d.T
+    s[np.arange(len(asked)), asked] = -9
+    return {(q, v) for q, row in zip(asked.tolist(), s) for v in np.argsort(-row, kind="stable")[:k].tolist()}
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_neighbours_in_many_lists(spark, clusters):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 32)).astype(np.float32).astype(float)
+    if clusters:
+        x = (rng.normal(size=(clusters, 32))[rng.integers(clusters, size=4000)] + 0.05 * x).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, df.where("vec_id % 20 = 0"), 5, list_size=6).collect()  # 666 lists
+    assert {(r.query_id, r.vec_id) for r in got} == brute_neighbours(x, np.arange(0, 4000, 20), 5)
+    assert len(got) == 200 * 5
+
+
+def test_blocks_of_lists():
+    first, parts = blocks_of(np.array([3, 0, 4, 25, 2, 8, 1]), 10)
+    assert first.tolist() == [0, 0, 0, 1, 4, 4, 5] and parts.tolist() == [1, 1, 1, 3, 1, 1, 1]
+
+
 def test_counts_of_rules(spark):
     rows = [(d.doc_id, d.text, d.lang) for d in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     rows += [(9001, None, None), (9002, "", "en"), (9003, "a b c d e a b c d e", "xx"), (9004, "x\n\nx\n \n \nx\r\nx ", "en"), (9005, "# *$%&|<> é日本 \xa0", None), (9005, "twice", "en")]
