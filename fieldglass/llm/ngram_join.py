@@ -8,7 +8,7 @@
    cannot have a link.  This drops most documents before any list is formed.
 4. The remaining documents meet on the n-grams of their prefixes.  Pairs are kept if they pass the
    length, the positional and the suffix filter (overlap of histograms over parts of the hash
-   range).  A list longer than longest_list is not expanded: its documents are only put in one group.
+   range; parts that are full in both sets pass).  A list longer than longest_list is not expanded: its documents are only put in one group.
 5. Groups, the components of those pairs, are verified exactly: whole sets meet by group, and
    every pair of a group is counted once by matrix product.  A group larger than block is cut in
    blocks, and each pair of blocks is a task of its own, so no task holds a large group.
@@ -36,6 +36,8 @@ U = np.uint64
 FREQUENT, NAMED = 1 << 16, 1 << 12
 PARTS = 32
 PART_BYTES = 1 << 20
+#: A histogram counts to here; a part of the hash range where a set has as many or more n-grams is full.
+FULL = 65535
 
 
 class Sets:
@@ -98,6 +100,18 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return list(up), [root(x) for x in list(up)]
 
 
+def histograms(token: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """n-grams of each document in each of PARTS parts of the hash range, FULL at most."""
+    parts = np.bincount(doc * PARTS + (token >> U(64 - 5)).astype(np.int64), minlength=docs * PARTS)
+    return np.minimum(parts, FULL).astype(np.uint16).reshape(docs, PARTS)
+
+
+def may_share(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which rows of histograms allow least n-grams in both sets; where both are full, any number may be."""
+    both = np.minimum(a, b)
+    return (both.sum(1, dtype=np.int64) >= least) | (both == FULL).any(1)
+
+
 def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Which pairs of the sets have intersection / union >= num / den, by matrix product."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -218,8 +232,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
             stays = np.bincount(s.doc[hit & tested], minlength=len(s.ids)) >= least
             use = hit & stays[s.doc] & (place < (s.size - need(s.size) + 1)[s.doc])
             if use.any():
-                parts = np.zeros((len(s.ids), PARTS), np.uint16)
-                np.add.at(parts, (s.doc, (s.token >> U(64 - 5)).astype(np.int64)), 1)
+                parts = histograms(s.token, s.doc, len(s.ids))
                 out.append((token[use], s.ids[s.doc[use]], s.size[s.doc[use]], place[use], parts[s.doc[use]]))
         if not out:
             return messages([])
@@ -240,7 +253,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
             ok = need(size[x]) <= size[y]
             ok &= np.minimum(place[x], place[y]) + 1 + np.minimum(size[x] - place[x], size[y] - place[y]) - 1 >= least
             x, y, least = x[ok], y[ok], least[ok]
-            ok = np.minimum(parts[x], parts[y]).sum(1) >= least
+            ok = may_share(parts[x], parts[y], least)
             a.append(doc[x[ok]])
             b.append(doc[y[ok]])
         long = of > longest_list

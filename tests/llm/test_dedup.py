@@ -3,9 +3,10 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from fieldglass.llm.ngram_join import ngram_join
+from fieldglass.llm.ngram_join import histograms, may_share, ngram_join
 from fieldglass.llm.substring_dedup import Automaton, dedup_substrings
 from fieldglass.llm.suffix_dedup import common, dedup_byte_substrings, front_coded, decoded, merge
 
@@ -153,3 +154,19 @@ def test_join(spark, n, num, longest, block):
     rows = near_copies()
     got = ngram_join(frame(spark, rows), n, num, 100, longest_list=longest, block=block).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_join(rows, n, num)
+
+
+def test_join_of_long_texts(spark):
+    long = [str(i) for i in range(2_200_000)]  # some 68 750 n-grams in each part of a histogram
+    near = [*long[:1_000_000], "changed", *long[1_000_001:]]
+    rows = [(5, " ".join(long)), (3, " ".join(near)), (4, "a b c d")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: (2_199_998, 3), 3: (2_199_998, 3), 4: (2, 4)}
+
+
+def test_full_histograms():
+    token = np.arange(70_000, dtype=np.uint64)  # all in one part
+    a, b = histograms(np.r_[token, token], np.r_[np.zeros(70_000, np.int64), np.ones(70_000, np.int64)], 2)[:, None]
+    assert may_share(a, b, np.array([70_000])).all()
+    c = histograms(token[:9], np.zeros(9, np.int64), 1)
+    assert may_share(a, c, np.array([9])).all() and not may_share(a, c, np.array([10])).any()
