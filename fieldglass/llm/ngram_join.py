@@ -150,8 +150,8 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
     def need(size):  # n-grams that a partner must have
         return -(-num * size // den)
 
-    def extra(size):
-        return 1 + size * (den - num) // num
+    def extra(size):  # n-grams that the extended prefixes must share; no more than a partner must have
+        return np.minimum(1 + size * (den - num) // num, need(size))
 
     def facts(chunk, table):
         ids, sizes, one, two, tokens = [], [], [], [], []

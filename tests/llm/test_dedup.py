@@ -170,3 +170,12 @@ def test_full_histograms():
     assert may_share(a, b, np.array([70_000])).all()
     c = histograms(token[:9], np.zeros(9, np.int64), 1)
     assert may_share(a, c, np.array([9])).all() and not may_share(a, c, np.array([10])).any()
+
+
+@pytest.mark.parametrize("num", [20, 50])
+def test_join_of_loose_sets(spark, num):
+    words = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:7])), (3, " ".join(words[:3])), (4, "x y z"), (5, "x y z z z z")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(frame(spark, rows), 3, num, 100).collect()}
+    assert got == brute_join(rows, 3, num)
+    assert got[2] == (5, 1)  # 5 of 10 n-grams
