@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns documents with the columns it got, except the
 last, which returns the pieces of the packed sequences.
+
+In every stage rows without a doc_id are left out, since no result could name them; rows that repeat
+a doc_id and its text count once; different texts under one doc_id are documents of their own, in
+the order of their texts, and all of them go through.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from fieldglass.llm.ngram_join import ngram_join
 from fieldglass.llm.packing import pack
 from fieldglass.llm.pii import redacted
 from fieldglass.llm.quality import kept
-from fieldglass.llm.staging import saved
+from fieldglass.llm.staging import numbered, saved
 from fieldglass.llm.substring_dedup import dedup_substrings
 
 #: Words of a passage that is removed where it repeats.
@@ -27,19 +31,21 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that fail the rules go."""
-    return kept(docs)
+    return kept(numbered(docs).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3 on five words and a similarity of 0.8: of each component the smallest doc_id stays."""
-    first = ngram_join(docs, n=5, num=80, den=100).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(first, docs.doc_id == F.col("_kept"), "left_semi")
+    """Operator 3 on five words and a similarity of 0.8: of each component the smallest doc_id (and text) stays."""
+    rows = numbered(docs)
+    first = ngram_join(rows, n=5, num=80, den=100, id_col="_row").where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+    return rows.join(first, rows["_row"] == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: passages that an earlier document has are cut out."""
-    cut = dedup_substrings(docs, window=PASSAGE, joined=False).where("n_removed > 0").select(F.col("doc_id").alias("_cut"), F.col("kept").alias("_kept"))
-    together = docs.join(cut, docs.doc_id == F.col("_cut"), "left")
+    rows = numbered(docs)
+    cut = dedup_substrings(rows, window=PASSAGE, joined=False, id_col="_row").where("n_removed > 0").select(F.col("doc_id").alias("_cut"), F.col("kept").alias("_kept"))
+    together = rows.join(cut, rows["_row"] == F.col("_cut"), "left")
     return counted(together.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns))
 
 
@@ -50,7 +56,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: the pieces of the packed sequences."""
-    return pack(docs, window=4096, end=2)
+    return pack(numbered(docs), window=4096, end=2)
 
 
 STAGES = [

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import by_id, saved
+from .staging import by_id, numbered, saved
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -176,9 +176,10 @@ def spans_text(spans):
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with <kind> in place of each span; overlapping spans become one, of the first kind.
-    Ids are taken to be unique."""
-    spans = personal_data(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("_spans_of"), F.col("spans").alias("_spans"))
-    together = docs.join(spans, docs[id_col] == F.col("_spans_of"), "left")
+    Rows that repeat an id and a text count once, other texts under an id are masked each by its own spans."""
+    rows = numbered(docs, id_col, text_col)
+    spans = personal_data(rows, "_row", text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("_spans_of"), F.col("spans").alias("_spans"))
+    together = rows.join(spans, rows["_row"] == F.col("_spans_of"), "left").drop("_row")
 
     def mask(batches):
         for batch in batches:

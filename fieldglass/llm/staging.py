@@ -59,6 +59,19 @@ def by_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with an id under a _row of their own.  Where ids repeat, equal id and text are one row
+    (with the least of its other columns), and different texts are rows of their own, none of which
+    is lost; _row then numbers them by id and text.  Where no id repeats, _row is the id."""
+    docs = docs.withColumn("_row", F.col(id_col).cast("long")).where("_row IS NOT NULL")
+    if docs.groupBy("_row").count().where("count > 1").isEmpty():
+        return docs
+    other = [c for c in docs.columns if c not in (id_col, text_col, "_row")]
+    once = docs.groupBy(id_col, text_col).agg(F.min(F.struct("_row", *other)).alias("_rest"))
+    once = once.select(*(c if c in (id_col, text_col) else F.col("_rest")[c].alias(c) for c in docs.columns))
+    return saved(once.orderBy("_row", text_col).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
     """(chunk, doc_id, text) as a table bucketed by chunk, its number of chunks, and that of the
     buckets for facts: one a partition, since every chunk sends a message to almost every bucket."""

@@ -171,3 +171,31 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert pieces.select("doc_id").distinct().count() == docs.count()
     assert corpus_pipeline.run(spark, data).count() == pieces.count()
+
+
+def test_stages_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    a, b, c, d, e = ([f"w{rng.randrange(10**6)}" for _ in range(70)] for _ in range(5))
+    one, two, three = " ".join(a), " ".join([*b, "write", "to", "ann@left.org"]), " ".join(["ask", "bob@right.net", *c])
+    near, tail = " ".join(["ask", "bob@right.net", *c[:-1], "end"]), " ".join([*e, *b[:60]])
+    rows = [(1, one), (1, one), (2, two), (2, three), (2, three), (3, near), (None, " ".join([*d, "no@name.org"])), (None, one), (4, tail)]
+    docs = spark.createDataFrame([(i, t, "en", len(t)) for i, t in rows], "doc_id long, text string, lang string, n_chars long").repartition(3)
+    masked = [(1, one), (2, two.replace("ann@left.org", "<email>")), (2, three.replace("bob@right.net", "<email>")), (3, near.replace("bob@right.net", "<email>")), (4, tail)]
+    all_rows = sorted({r for r in rows if r[0]})
+    said = lambda df: sorted((r.doc_id, " ".join(r.text.split())) for r in df.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    # each stage on the raw rows
+    assert said(stages["quality rules"](spark, docs, "")) == all_rows
+    assert said(stages["n-gram Jaccard join"](spark, docs, "")) == [r for r in all_rows if r[0] != 3]
+    # of three and near, three is the earlier text; the later one loses all but its end, which no window of 50 repeats
+    cut = {(1, one), (2, two), (2, three), (3, "end"), (4, " ".join(e))}
+    assert said(stages["substring dedup"](spark, docs, "")) == sorted(cut)
+    assert said(stages["PII"](spark, docs, "")) == sorted(masked)
+    assert [r.doc_id for r in stages["packing"](spark, docs, "").orderBy("doc_id").collect()] == [1, 2, 2, 3, 4]
+    # and the chain
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert all(r.n_chars == len(r.text) for r in docs.collect())
+    assert said(docs) == sorted([*masked[:3], (4, " ".join(e))])
