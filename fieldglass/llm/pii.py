@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +34,10 @@ MARKED = re.compile(r"[0-9@]+")
 EDGES = "\"'()[]{}<>.,;:!?*#$%&|="
 #: Rounds of scoring; least worth and least distinct instances of a context that discovers.
 ROUNDS, WORTH, SUPPORT = 3, 0.6, 4
-LONGEST, REACH = 64, 96
+#: Characters of a run without white space that is one word whatever its marks.
+LONGEST = 64
+RUN = re.compile(r"\S+")
+PIECE = re.compile(r"[^\s\"'()\[\]{}<>,;!?*#$%&|=/]+")
 SCHEMA = (
     "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
     "base array<struct<kind:int,start:long,end:long>>, near array<struct<kind:int,start:long,end:long,context:string,instance:long>>"
@@ -77,21 +81,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def identifiers(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with an @ or three digits, without what surrounds them, that touch no base span."""
+def words_of(text: str) -> list[tuple[int, int]]:
+    """Runs without white space that are more than marks; a run of over LONGEST characters is cut at its marks."""
+    out = []
+    for m in RUN.finditer(text):
+        own = [m.span()] if m.end() - m.start() <= LONGEST else [p.span() for p in PIECE.finditer(text, m.start(), m.end())]
+        out += [(a, b) for a, b in own if text[a:b].strip(EDGES)]
+    return out
+
+
+def identifiers(text: str, taken: list[tuple[int, int, int]], words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Words with an @ or three digits, without what surrounds them, that touch no base span."""
     spans = sorted((a, b) for _, a, b in taken)
-    out, done, k = [], 0, 0
-    for m in MARKED.finditer(text):
-        a, b = m.span()
-        if a < done:
-            continue
-        while a > 0 and not text[a - 1].isspace() and m.start() - a <= LONGEST:
-            a -= 1
-        while b < len(text) and not text[b].isspace() and b - a <= LONGEST:
-            b += 1
-        done = b
+    out, k = [], 0
+    for a, b in words:
         token = text[a:b]
-        if b - a > LONGEST or ("@" not in token and sum(c.isdigit() for c in token) < 3):
+        if not MARKED.search(token) or ("@" not in token and sum(c.isdigit() for c in token) < 3):
             continue
         left, right = len(token) - len(token.lstrip(EDGES)), len(token.rstrip(EDGES))
         a, b = a + left, a + right
@@ -102,11 +107,11 @@ def identifiers(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-def context(text: str, start: int) -> str | None:
+def context(text: str, start: int, words: list[tuple[int, int]]) -> str | None:
     """The two words before a span, in lower case and without marks; None if there are not two."""
-    words = [w.strip(EDGES).lower() for w in text[max(0, start - REACH) : start].split()]
-    words = [w for w in words if w][-2:]
-    return " ".join(words) if len(words) == 2 else None
+    k = bisect_left(words, (start, start))
+    before = [w for a, b in words[max(0, k - 3) : k] if (w := text[a : min(b, start)].strip(EDGES).lower())][-2:]
+    return " ".join(before) if len(before) == 2 else None
 
 
 def number(text: str) -> int:
@@ -125,8 +130,9 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for d, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 text = text.as_py() or ""
                 spans = base_spans(text)
-                near = [(k, a, b) for k, a, b in spans] + [(-1, a, b) for a, b in identifiers(text, spans)]
-                near = [(k, a, b, c, number(text[a:b].lower())) for k, a, b in near if (c := context(text, a)) is not None]
+                words = words_of(text) if spans or MARKED.search(text) else []
+                near = [(k, a, b) for k, a, b in spans] + [(-1, a, b) for a, b in identifiers(text, spans, words)]
+                near = [(k, a, b, c, number(text[a:b].lower())) for k, a, b in near if (c := context(text, a, words)) is not None]
                 counts = [sum(k == x for k, _, _ in spans) for x in range(4)]
                 said = ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
                 out.append((row, d, *counts, hashlib.sha256(said.encode()).hexdigest(), [dict(zip(("kind", "start", "end"), s)) for s in spans], [dict(zip(("kind", "start", "end", "context", "instance"), s)) for s in near]))

@@ -199,3 +199,13 @@ def test_stages_with_repeated_and_null_ids(spark):
         docs = stage(spark, docs, "")
         assert all(r.n_chars == len(r.text) for r in docs.collect())
     assert said(docs) == sorted([*masked[:3], (4, " ".join(e))])
+
+
+def test_contexts_in_long_runs(spark):
+    far, run = "x" * 300, ";".join(f"key{i}=value" for i in range(12))
+    rows = [(i, f"please {far} office at +1 ({200 + i}) 555-{1000 + i} today") for i in range(8)]
+    rows += [(30, f"{run};office=at;5551234567;end=z"), (31, f"go {run} office {' ' * 200} at 5551234567"), (32, f"{run};5551234567")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in redacted(df).collect()}
+    assert got[30] == rows[8][1].replace("5551234567", "<phone>") and got[31] == rows[9][1].replace("5551234567", "<phone>")
+    assert got[32] == rows[10][1]
