@@ -9,7 +9,7 @@ from .ann import nearest
 from .bpe import bpe_round_trip
 from .ngram_join import ngram_join
 from .packing import pack
-from .pii import KINDS, personal_data, spans_text
+from .pii import BASE, personal_data, spans_text
 from .quality import judge
 from .sstable import read_shards, write_shards
 from .substring_dedup import dedup_substrings
@@ -53,7 +53,7 @@ def op7_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256", spans_text(F.col("spans")).alias("spans"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
