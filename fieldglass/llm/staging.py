@@ -20,15 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of input on disk for one bucket of a staged table; a bucket holds about two chunks.
+#: Bytes of input on disk for two chunks; the number of chunks follows the input, whatever its size.
 BUCKET_BYTES = 10 << 20
+#: Files of a staged table; of larger inputs a file holds more chunks, one after the other.
+MOST_FILES = 50_000
 MESSAGE = "chunk int, bucket int, body binary"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else (in local mode) one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that they share")
         folder = "file://" + tempfile.mkdtemp(prefix="fieldglass-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -47,11 +51,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions_for(df: DataFrame) -> int:
-    """At least the session's shuffle partitions, more where the input is larger than they should hold."""
+def size_of(df: DataFrame, text_col: str = "text") -> int:
+    """Bytes of the files read or, where Spark knows none, of the texts."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known = size < 1 << 60  # of what isn't read from files Spark tells no size
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(50_000, size // BUCKET_BYTES) if known else 0)
+    if size < 1 << 60:  # of what isn't read from files Spark tells no size
+        return size
+    return (df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0) // 2
+
+
+def partitions_for(df: DataFrame, text_col: str = "text") -> int:
+    """At least the session's shuffle partitions, more where the input is larger than they should hold."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size_of(df, text_col) // BUCKET_BYTES)
 
 
 def by_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,13 +84,14 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
     """(chunk, doc_id, text) as a table bucketed by chunk, its number of chunks, and that of the
-    buckets for facts: one a partition, since every chunk sends a message to almost every bucket."""
-    spark, n = docs.sparkSession, partitions_for(docs)
-    chunks = 2 * n
+    buckets for facts.  Both follow the input, so chunks and buckets stay small; a chunk sends a
+    message only to buckets that it has facts for, so messages are never more than the facts."""
+    spark, n = docs.sparkSession, partitions_for(docs, text_col)
+    chunks, held = 2 * n, min(n, MOST_FILES)
     rows = by_id(docs, id_col, text_col).withColumn("chunk", chunk_of("doc_id", chunks))
     name = f"staged_{uuid.uuid4().hex}"
-    writer = rows.repartition(n, "chunk").write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
-    writer.bucketBy(n, "chunk").sortBy("chunk").saveAsTable(name)
+    writer = rows.repartition(held, "chunk").write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
+    writer.bucketBy(held, "chunk").sortBy("chunk").saveAsTable(name)
     return spark.table(name), chunks, n
 
 
