@@ -1,16 +1,19 @@
 """Operator 5: quality rules by distribution divergence.
 
-Two histograms of each document are compared with those of its languages: characters over the
-classes of CLASSES, and words over the COMMON most frequent hash slots of a language and the rest.
-The references are counted over all documents, by language.  The distance is Jensen-Shannon's (the
-square root of the divergence in bits, 0 to 1).  A document is judged only if it has enough words,
-and it fails only if it is far from every reference, so a text under a wrong label stays.
-
-Languages are the values of the language column; null is a language of its own.  References need
-LEAST_WORDS words, and the LANGUAGES with most words are used; documents of a language without a
-reference pass.  Null and empty texts have no words: they fail the base rules, as all with fewer than
-min_words do.  Repeated rows and doc_ids are judged each on its own; rows without a doc_id are left
-out; other columns are ignored.  An empty table gives an empty table.
+Two histograms of each document are compared with those of a language: characters over the classes
+of CLASSES, and words (in lower case, told apart by 64-bit hashes) over the COMMON most frequent
+words of the language and the rest.  The references are counted over all documents that pass the
+base rules.  The distance is Jensen-Shannon's (the square root of the divergence in bits, 0 to 1).  A
+document is judged only if it has enough words.  It is compared with its own language first and, if
+it is far from that, with the others one at a time; it fails only if no language is near in both
+distances, so a text under a wrong label stays.
+
+Languages are the values of the language column; null is a language of its own.  Those with less
+than one in SHARE of all words have no reference of their own, so there are SHARE references at most;
+their documents are compared first with the pooled reference of all documents.  Null and empty
+texts have no words: they fail the base rules, as all with fewer than min_words do.  Repeated rows
+and doc_ids are judged each on its own; rows without a doc_id are left out of the result; other
+columns are ignored.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,14 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import grams as g
-from .staging import filled
+from .staging import filled, saved
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "symbol", "control", "beyond ASCII")
-SLOTS, COMMON, LANGUAGES, LEAST_WORDS = 1 << 13, 64, 64, 2000
+COMMON, SHARE = 64, 1000
+#: Distinct words that a task holds before it hands on their counts.
+HELD = 1 << 19
 PART_BYTES = 1 << 20
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_distance double, words_distance double, kept boolean"
 
@@ -61,7 +66,7 @@ class Texts:
         self.prefix = g.sums(g.BYTES[data])
         self.hash = g.span_hash(self.prefix, self.starts, self.ends)
         self.word_doc = np.repeat(np.arange(self.n), self.words)
-        self.slot = (g.mix(g.word_hashes(g.LOWER[data], self.starts, self.ends)) >> np.uint64(51)).astype(np.int64)
+        self.word = g.word_hashes(g.LOWER[data], self.starts, self.ends)
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         total = np.r_[0, np.cumsum(flags)]
@@ -119,73 +124,136 @@ def distances(rows: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(d / 2, 0, 1))
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str | None, np.ndarray, np.ndarray, np.ndarray]]:
-    """(language, character counts, slots of its common words, their counts and the rest's) over all
-    documents.  A task sends at most SLOTS + classes numbers for each language that it meets."""
+def base_rules(t: Texts, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
+    """Repeated words and base_failed of each text."""
+    repeat = t.repeat_words()
+    return repeat, (t.words < rules.min_words) | (100 * repeat > rules.repeat_percent * t.words)
+
+
+@dataclass(frozen=True)
+class Reference:
+    key: str  # of KEY
+    chars: np.ndarray  # counts of the classes
+    words: np.ndarray  # hashes of the common words, ascending
+    counts: np.ndarray  # theirs and, last, that of all other words
+
+
+#: A language's key: a label can't be taken for null or for the pool.
+POOL, NO_LABEL = "pool", "null"
+
+
+def key_of(lang: str | None) -> str:
+    return NO_LABEL if lang is None else "=" + lang
+
+
+def references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> list[Reference]:
+    """The pool's reference and those of the languages, over all documents that pass the base rules."""
 
     def count(batches):
-        found: dict[str | None, np.ndarray] = {}
+        found: dict[str, list] = {}
+        held = 0
 
         def rows():
-            for lang, counts in found.items():
-                at = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "slot", "n"])
-            found.clear()
+            for key, (words, counts, classes) in found.items():
+                word, at = np.unique(np.concatenate(words), return_inverse=True)
+                n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+                for a in range(0, len(word), 1 << 16):
+                    k = len(word[a : a + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * k), pa.array([False] * k), pa.array(word[a : a + k].view(np.int64)), pa.array(n[a : a + k])], ["key", "is_class", "word", "n"])
+                k = np.flatnonzero(classes)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(k), pa.string()), pa.array([True] * len(k), pa.bool_()), pa.array(k, pa.int64()), pa.array(classes[k])], ["key", "is_class", "word", "n"])
 
         for batch in batches:
-            langs = np.array(batch["lang"].to_pylist(), object)
+            keys = np.array([key_of(x) for x in batch["lang"].to_pylist()], object)
             for a, b, t in texts_of(batch["text"]):
-                classes = t.classes()
-                for lang in set(langs[a:b].tolist()):
-                    own = np.array([x == lang for x in langs[a:b].tolist()])
-                    counts = found.setdefault(lang, np.zeros(SLOTS + len(CLASSES), np.int64))
-                    counts[:SLOTS] += np.bincount(t.slot[own[t.word_doc]], minlength=SLOTS)
-                    counts[SLOTS:] += classes[own].sum(0)
-                if len(found) > 2 * LANGUAGES:
+                passed, classes = ~base_rules(t, rules)[1], t.classes()
+                for key in set(keys[a:b].tolist()):
+                    own = passed & (keys[a:b] == key)
+                    word, n = np.unique(t.word[own[t.word_doc]], return_counts=True)
+                    words, counts, total = found.setdefault(key, [[], [], np.zeros(len(CLASSES), np.int64)])
+                    words.append(word)
+                    counts.append(n)
+                    total += classes[own].sum(0)
+                    held += len(word) + 64
+                if held > 4 * HELD:
+                    for x in found.values():
+                        word, at = np.unique(np.concatenate(x[0]), return_inverse=True)
+                        x[:2] = [word], [np.bincount(at, np.concatenate(x[1])).astype(np.int64)]
+                    held = sum(len(x[0][0]) + 64 for x in found.values())
+                if held > HELD:
                     yield from rows()
+                    found, held = {}, 0
         yield from rows()
 
-    counted = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, "lang string, slot int, n long")
-    totals = counted.groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    is_word = F.col("slot") < SLOTS
-    by_lang = totals.groupBy("lang").agg(
-        F.sum(F.when(is_word, F.col("n"))).alias("words"),
-        F.slice(F.sort_array(F.collect_list(F.when(is_word, F.struct("n", "slot"))), asc=False), 1, COMMON).alias("common"),
-        F.collect_list(F.when(~is_word, F.struct("slot", "n"))).alias("classes"),
-    )
+    counted = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, "key string, is_class boolean, word long, n long")
+    counted = saved(counted.groupBy("key", "is_class", "word").agg(F.sum("n").alias("n")), "words")
+    sizes = counted.where("NOT is_class").groupBy("key").agg(F.sum("n").alias("words"))
+    total = sizes.agg(F.sum("words")).first()[0] or 0
+    sizes = {r.key: r.words for r in sizes.where(F.col("words") * SHARE >= total).collect()} | {POOL: total}  # SHARE + 1 at most
+    own = counted.where(F.col("key").isin(list(sizes)))
+    pool = counted.groupBy("is_class", "word").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("key"), "is_class", "word", "n")
+    either = own.unionByName(pool)
+    # the most frequent of each share of the words, then of them
+    part = F.pmod(F.xxhash64("word"), F.lit(64))
+    order = [F.desc("n"), F.asc("word")]
+    some = either.where("NOT is_class").withColumn("r", F.row_number().over(Window.partitionBy("key", part).orderBy(*order))).where(F.col("r") <= COMMON)
+    most = some.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("r") <= COMMON).drop("r")
+    rows = either.where("is_class").unionByName(most).collect()  # COMMON and the classes of each reference
     out = []
-    for r in by_lang.where(F.col("words") >= LEAST_WORDS).orderBy(F.desc("words"), "lang").limit(LANGUAGES).collect():
+    for key, words in sorted(sizes.items()):
+        common = sorted((r.word % (1 << 64), r.n) for r in rows if r.key == key and not r.is_class)
         chars = np.zeros(len(CLASSES))
-        for slot, n in r.classes:
-            chars[slot - SLOTS] = n
-        counts = np.array([n for n, _ in r.common], float)
-        out.append((r.lang, chars, np.array([s for _, s in r.common], np.int64), np.r_[counts, r.words - counts.sum()]))
+        for r in rows:
+            if r.key == key and r.is_class:
+                chars[r.word] = r.n
+        counts = np.array([n for _, n in common], float)
+        out.append(Reference(key, chars, np.array([w for w, _ in common], np.uint64), np.r_[counts, words - counts.sum()]))
     return out
 
 
-def verdicts(batch, known, rules: Rules):
-    """(first, end, texts, repeated words, base_failed, both distances, kept) in parts of a batch with text and lang."""
-    languages = {lang for lang, *_ in known}
-    has_reference = np.array([x in languages for x in batch["lang"].to_pylist()], bool)
+def both_distances(t: Texts, chars: np.ndarray, which: np.ndarray, to: Reference) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of characters and of words of some texts to a reference."""
+    number = np.cumsum(which) - 1
+    own = which[t.word_doc]
+    word, doc, k = t.word[own], number[t.word_doc[own]], len(to.words)
+    at = np.minimum(np.searchsorted(to.words, word), k - 1) if k else np.zeros(len(word), np.int64)
+    place = np.where(to.words[at] == word, at, k) if k else at
+    n = int(which.sum())
+    words = np.bincount(doc * (k + 1) + place, minlength=n * (k + 1)).reshape(n, k + 1)
+    return distances(chars[which], to.chars), distances(words, to.counts)
+
+
+def verdicts(batch, known: list[Reference], rules: Rules):
+    """(first, end, texts, repeated words, base_failed, both distances, kept) in parts of a batch with
+    text and lang.  The distances are those to the nearest reference that was looked at."""
+    at = {r.key: i for i, r in enumerate(known)}
+    first = np.array([at.get(key_of(x), at[POOL]) for x in batch["lang"].to_pylist()], np.int64)
     for a, b, t in texts_of(batch["text"]):
-        repeat = t.repeat_words()
-        failed = (t.words < rules.min_words) | (100 * repeat > rules.repeat_percent * t.words)
+        repeat, failed = base_rules(t, rules)
         chars, near_chars, near_words = t.classes(), np.ones(t.n), np.ones(t.n)
-        for _, reference, slots, counts in known:
-            place = np.full(SLOTS, len(slots))
-            place[slots] = np.arange(len(slots))
-            k = len(slots) + 1
-            words = np.bincount(t.word_doc * k + place[t.slot], minlength=t.n * k).reshape(t.n, k)
-            near_chars = np.minimum(near_chars, distances(chars, reference))
-            near_words = np.minimum(near_words, distances(words, counts))
-        judged = (t.words >= rules.judged_words) & has_reference[a:b]
-        far = judged & ((near_chars > rules.most_chars_distance) | (near_words > rules.most_words_distance))
-        yield a, b, t, repeat, failed, near_chars, near_words, ~failed & ~far
+
+        def far():
+            return np.maximum(near_chars / rules.most_chars_distance, near_words / rules.most_words_distance)
+
+        def look(which, i):
+            if which.any():
+                c, w = both_distances(t, chars, which, known[i])
+                closer = np.flatnonzero(which)[np.maximum(c / rules.most_chars_distance, w / rules.most_words_distance) < far()[which]]
+                number = np.cumsum(which)[closer] - 1
+                near_chars[closer], near_words[closer] = c[number], w[number]
+
+        for i in set(first[a:b].tolist()):
+            look(first[a:b] == i, i)
+        judged = t.words >= rules.judged_words
+        for i in range(len(known)):
+            look(judged & (first[a:b] != i) & (far() > 1), i)
+        yield a, b, t, repeat, failed, near_chars, near_words, ~failed & ~(judged & (far() > 1))
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", against=None) -> DataFrame:
-    """Counts, distances to the nearest reference and verdict of every document."""
-    known = references(docs, text_col, lang_col) if against is None else against
+    """Counts, distances to the nearest reference and verdict of every document.  against: references
+    from elsewhere (the pool's among them) instead of those of docs."""
+    known = references(docs, rules, text_col, lang_col) if against is None else against
 
     def run(batches):
         for batch in batches:
@@ -201,7 +269,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_
 
 def kept(docs: DataFrame, rules: Rules = Rules(), against=None) -> DataFrame:
     """The rows of documents (text, lang and any other columns) that pass, as they are."""
-    known = references(docs) if against is None else against
+    known = references(docs, rules) if against is None else against
 
     def run(batches):
         for batch in batches:
