@@ -5,30 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import placed
+
+
+def at_places(df: DataFrame, keys: list[str], value: str, least: int, places: dict[str, Column]) -> DataFrame:
+    """keys, the values at the given places (of _n) in the sorted group, and n, where n is at least
+    least.  Found by place, so that no task holds a group; nulls do not count."""
+    ranked = placed(df.where(F.col(value).isNotNull()).select(*keys, value), keys, [F.col(value)]).where(F.col("_n") >= least)
+    picks = (F.max(F.when(F.col("_i") == at, F.col(value))).alias(name) for name, at in places.items())
+    return ranked.groupBy(*keys).agg(*picks, F.max("_n").alias("n"))
+
 
 def medians(df: DataFrame, levels: list[list[str]], value: str, least: int) -> list[DataFrame]:
     """One table a level: keys, exact median and n, where n is at least least."""
     out = []
     for keys in levels:
-        known = df.where(F.col(value).isNotNull())
-        out.append(known.groupBy(*keys).agg(F.median(value).alias("median"), F.count("*").alias("n")).where(F.col("n") >= least))
+        middle = at_places(df, keys, value, least, {"_low": F.floor((F.col("_n") - 1) / 2), "_high": F.floor(F.col("_n") / 2)})
+        out.append(middle.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias("median"), "n"))
     return out
 
 
 def index_quartiles(df: DataFrame, keys: list[str], value: str, least: int = 3) -> DataFrame:
-    """The elements at n/4, n/2 and 3n/4 of the sorted values (from 0, no interpolation), found by
-    rank so that no group is gathered in one row."""
-    from pyspark.sql import Window
-
-    by = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(by.orderBy(value)) - 1).withColumn("_n", F.count("*").over(by))
-    at = lambda share: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * share / 4), F.col(value)))
-    return ranked.where(F.col("_n") >= least).groupBy(*keys).agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"), F.max("_n").alias("n"))
+    """The elements at n/4, n/2 and 3n/4 of the sorted values (from 0, no interpolation)."""
+    return at_places(df, keys, value, least, {f"q{k}": F.floor(F.col("_n") * k / 4) for k in (1, 2, 3)})
 
 
-def moving_average(values: Column, keep: float = 0.7) -> Column:
-    """keep * old + (1 - keep) * new over an array in order, begun by its first value."""
-    return F.aggregate(F.slice(values, 2, F.size(values)), values[0].cast("double"), lambda old, new: F.lit(keep) * old + F.lit(round(1 - keep, 12)) * new)
+def moving_average(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str, keep: float = 0.7) -> DataFrame:
+    """keep * old + (1 - keep) * new over the rows of a key in order, begun by the first value, as the
+    sum of the values times what each still weighs at the end: a partial aggregate, no group in one row.
+    Nulls do not count."""
+    row = placed(df.where(F.col(value).isNotNull()), keys, order)
+    weight = F.pow(F.lit(keep), F.col("_n") - 1 - F.col("_i")) * F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(round(1 - keep, 12)))
+    return row.groupBy(*keys).agg(F.sum(F.col(value) * weight).alias(out))
 
 
 def rate(part: Column, whole: Column) -> Column:

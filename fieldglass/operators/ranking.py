@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import placed
+
 
 def global_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
-    """1..n over the whole table without gathering it in one task: a range sort, a count per
-    partition, and the counts of the partitions before added to the rank within.  order must be
-    total, so that the partitions are the same whenever they are computed."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    counts = cut.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # n rows
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return cut.withColumn("_within", within).join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_within")).drop("_part", "_within", "_start")
+    """1..n over the whole table without gathering it in one task.  order must be total for the ranks
+    to be the same in every run."""
+    return placed(df, [], order, "_place").withColumn(out, F.col("_place") + 1).drop("_place", "_n")
 
 
 def capped(df: DataFrame, group: list[str], order: list[Column], counts: Column, cap: int, out: str = "within_cap") -> DataFrame:
@@ -26,10 +23,13 @@ def capped(df: DataFrame, group: list[str], order: list[Column], counts: Column,
 
 
 def top_of_each(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each group, with their place and how many more the group has."""
-    by = Window.partitionBy(*group)
-    out = df.withColumn("place", F.row_number().over(by.orderBy(*order))).withColumn("more", F.greatest(F.count("*").over(by) - k, F.lit(0)))
-    return out.where(F.col("place") <= k)
+    """The first k rows of each group, with their place and how many more the group has.  Places are
+    limited before the shuffle (Spark pushes the limit on row_number down), sizes come from a partial
+    aggregate, so a large group costs its task k rows of each partition."""
+    first = df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("place") <= k).alias("a")
+    sizes = df.groupBy(*group).agg(F.count("*").alias("_size")).alias("b")
+    same = reduce(lambda a, b: a & b, (F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group))
+    return first.join(sizes, same).select("a.*", F.greatest(F.col("_size") - k, F.lit(0)).alias("more"))
 
 
 def round_robin(df: DataFrame, group: str, order: list[Column], limit: int) -> DataFrame:

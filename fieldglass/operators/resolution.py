@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -12,25 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import jaccard
+from .ranges import stored as cut
 
 # Fixed values of the pair score.
 SAME, TITLE_WORDS, TITLE_ORDER = 0.80, 0.6, 0.4
 AGES = [(300, -0.4), (90, -0.25), (45, -0.12)]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that the cluster shares and read back: cuts the lineage and survives
-    lost executors.  A folder of our own where spark.checkpoint.dir is unset."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="fieldglass-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def linked(rows: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
     """(id, cluster): rows that share a key, directly or through others, with the least id of all.
     Null keys link nothing.  A key's rows are pre-aggregated to its least label, so a key that a

@@ -28,13 +28,20 @@ def view_counts(df: DataFrame) -> DataFrame:
 
 def facets(df: DataFrame, columns: dict[str, Column], top: int) -> DataFrame:
     """facet, value, n: the most frequent values of each expression, nulls left out, ties by value.
-    One scan and one shuffle for all of them, whatever their number."""
-    pairs = F.array(*(F.struct(F.lit(name).alias("facet"), c.cast("string").alias("value")) for name, c in columns.items()))
-    counts = df.select(F.explode(pairs).alias("f")).select("f.*").where("value IS NOT NULL").groupBy("facet", "value").agg(F.count("*").alias("n"))
+    Rows are first counted by all facets together, so only their combinations are taken apart."""
+    together = df.select(*(c.cast("string").alias(name) for name, c in columns.items())).groupBy(*columns).agg(F.count("*").alias("_rows"))
+    pairs = F.array(*(F.struct(F.lit(name).alias("facet"), F.col(name).alias("value")) for name in columns))
+    counts = together.select(F.explode(pairs).alias("f"), "_rows").select("f.*", "_rows").where("value IS NOT NULL").groupBy("facet", "value").agg(F.sum("_rows").alias("n"))
     rank = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))
     return counts.withColumn("_r", rank).where(F.col("_r") <= top).drop("_r")
 
 
+#: Rows of a page.
+MOST = 1000
+
+
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """A page of at most 1000 rows."""
-    return df.orderBy(*order).offset(offset).limit(min(limit, 1000))
+    """A page of at most MOST rows; a larger one is refused."""
+    if not 0 < limit <= MOST or offset < 0:
+        raise ValueError(f"a page has 1 to {MOST} rows and no negative offset")
+    return df.orderBy(*order).offset(offset).limit(limit)

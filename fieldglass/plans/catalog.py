@@ -48,10 +48,10 @@ def filter_fields(spark, d):
     return table(spark, d, "part").where(ok).select("p_partkey")
 
 
-@query("SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%e%' AND list_contains(string_split(lower(p_type), ' '), 'steel') AND p_size < 10")
+@query("SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%e%' AND list_contains(string_split(lower(p_type), ' '), 'small') AND p_size < 10")
 def filter_text_tags_bool(spark, d):
     f = part_fields()
-    return table(spark, d, "part").where(all_of(f.where("name", ":", "E"), f.where("tags", "=", "STEEL"), f.where("small", "=", "yes"))).select("p_partkey")
+    return table(spark, d, "part").where(all_of(f.where("name", ":", "E"), f.where("tags", "=", "SMALL"), f.where("small", "=", "yes"))).select("p_partkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-03-01' AND CAST(o_orderdate AS DATE) <> DATE '1996-05-05'")
@@ -123,9 +123,8 @@ def anti_join(spark, d):
 )
 def newest_earlier_join(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("done"))
-    out = J.newest_earlier(e, "user_id", "ts", "done", "event_id", 3650)
-    near = J.newest_earlier(e, "user_id", "ts", "done", "event_id", 2).select("event_id", F.col("earlier_event_id").isNotNull().alias("near"))
-    return out.join(near, "event_id").select("event_id", "user_id", F.col("earlier_event_id").alias("last_id"), F.when(F.col("earlier_event_id").isNotNull(), F.col("near")).alias("close"))
+    out = J.newest_earlier(e, "user_id", "ts", "done", "event_id", 2)
+    return out.select("event_id", "user_id", F.col("last_event_id").alias("last_id"), F.when(F.col("last_event_id").isNotNull(), F.col("earlier_event_id").isNotNull()).alias("close"))
 
 
 @query(
@@ -177,11 +176,12 @@ def index_quartiles(spark, d):
 
 
 @query(
-    "SELECT user_id, list_reduce(list(CAST(length(event_type) AS DOUBLE) ORDER BY ts, event_id), lambda a, b: 0.7::DOUBLE * a + 0.3::DOUBLE * b) AS ewma FROM events GROUP BY user_id"
+    "SELECT user_id, floor(list_reduce(list(CAST(length(event_type) AS DOUBLE) ORDER BY ts, event_id), lambda a, b: 0.7::DOUBLE * a + 0.3::DOUBLE * b) * 1e9 + 0.5) / 1e9 AS ewma FROM events GROUP BY user_id"
 )
 def moving_average(spark, d):
-    e = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.length("event_type").cast("double").alias("v")))).alias("s"))
-    return e.select("user_id", A.moving_average(F.col("s.v")).alias("ewma"))
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", F.length("event_type").cast("double").alias("v"))
+    out = A.moving_average(e, ["user_id"], [F.asc("ts"), F.asc("event_id")], "v", "ewma")
+    return out.withColumn("ewma", F.floor(F.col("ewma") * 1e9 + 0.5) / F.lit(1e9))
 
 
 @query("SELECT strftime(o_orderdate, '%Y-W%W') AS week, count(*) AS n FROM orders GROUP BY 1")
@@ -189,10 +189,10 @@ def week_buckets(spark, d):
     return table(spark, d, "orders").groupBy(A.week_label(F.col("o_orderdate")).alias("week")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY (o_orderstatus = 'P'), o_totalprice DESC, o_orderkey) AS rank FROM orders")
+@query("SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate, row_number() OVER (ORDER BY (o_orderstatus = 'P'), o_totalprice DESC, o_orderkey) AS rank FROM orders")
 def global_rank(spark, d):
     o = table(spark, d, "orders").withColumn("late", F.col("o_orderstatus") == "P")
-    return R.global_rank(o, [F.asc("late"), F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_orderkey", "rank")
+    return R.global_rank(o, [F.asc("late"), F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "rank")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN sum(CASE WHEN o_orderstatus <> 'P' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey ROWS UNBOUNDED PRECEDING) <= 3 END AS within_cap FROM orders")
@@ -252,15 +252,17 @@ def business_days(spark, d):
 
 @query(
     "WITH o AS (SELECT c_custkey AS k, md5(c_name) AS h FROM customer WHERE c_custkey % 7 <> 0), n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN md5(c_name || 'x') ELSE md5(c_name) END AS h FROM customer WHERE c_custkey % 5 <> 0) "
-    "SELECT CASE WHEN o.k IS NULL THEN 'new' WHEN n.k IS NULL THEN 'delisted' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS action, count(*) AS n FROM o FULL JOIN n ON o.k = n.k GROUP BY 1"
+    "SELECT coalesce(o.k, n.k) AS k, coalesce(n.h, o.h) AS content_hash, CASE WHEN o.k IS NULL THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS first_seen, CASE WHEN n.k IS NULL THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-01' END AS last_seen, CASE WHEN n.k IS NULL THEN TIMESTAMP '2024-02-01' END AS delisted_at, CASE WHEN n.k % 2 = 0 THEN 'new text' WHEN o.k IS NOT NULL THEN 'old text' END AS description, "
+    "CASE WHEN o.k IS NULL THEN 'new' WHEN n.k IS NULL THEN 'delisted' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS action FROM o FULL JOIN n ON o.k = n.k"
 )
 def change_capture(spark, d):
     c = table(spark, d, "customer")
-    at, text = F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit(None).cast("string")
-    old = c.where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("k"), F.md5("c_name").alias("content_hash"), F.md5("c_name").alias("raw_hash"), at.alias("first_seen"), at.alias("last_seen"), F.lit(None).cast("timestamp").alias("delisted_at"), text.alias("description"))
+    at, now = (F.lit(f"2024-0{m}-01 00:00:00").cast("timestamp") for m in (1, 2))
+    old = c.where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("k"), F.md5("c_name").alias("content_hash"), F.md5("c_name").alias("raw_hash"), at.alias("first_seen"), at.alias("last_seen"), F.lit(None).cast("timestamp").alias("delisted_at"), F.lit("old text").alias("description"))
     h = F.when(F.col("c_custkey") % 11 == 0, F.md5(F.concat("c_name", F.lit("x")))).otherwise(F.md5("c_name"))
-    new = c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("k"), h.alias("content_hash"), h.alias("raw_hash"), at.alias("seen_at"), text.alias("description"))
-    return C.merge(old, new, ["k"], at, True).groupBy("action").agg(F.count("*").alias("n"))
+    new = c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("k"), h.alias("content_hash"), h.alias("raw_hash"), now.alias("seen_at"), F.when(F.col("c_custkey") % 2 == 0, "new text").alias("description"))
+    plain = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return C.merge(old, new, ["k"], now, True).select("k", "content_hash", plain("first_seen"), plain("last_seen"), plain("delisted_at"), "description", "action")
 
 
 @query("SELECT s_suppkey, CAST(list_sum(list_transform(range(0, CAST(s_suppkey % 5 AS BIGINT) + 1), lambda i: i * i)) AS BIGINT) AS cost FROM supplier")

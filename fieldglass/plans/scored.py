@@ -194,10 +194,10 @@ def session_events(spark, d):
     return L.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "30 minutes").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("SELECT user_id, count(*) AS seen_count, arg_min(event_type, (ts, event_type)) FILTER (event_type <> 'view') AS url, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS seen_count, arg_min(event_type, (event_id % 3 <> 0, ts, event_type)) FILTER (event_type <> 'view') AS url, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY user_id")
 def counter_upsert(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", F.lit(1).cast("bigint").alias("seen_count"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("url"), F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"))
-    return L.accumulated(e.where("event_id % 3 = 0").drop("event_id"), e.where("event_id % 3 <> 0").drop("event_id"), "user_id")
+    return A.accumulated(e.where("event_id % 3 = 0").drop("event_id"), e.where("event_id % 3 <> 0").drop("event_id"), ["user_id"])
 
 
 @query("SELECT event_type, count(*) AS sent, count(*) FILTER (user_id % 3 = 0) AS engaged, count(*) FILTER (user_id % 3 = 1) AS pending, CAST(count(*) FILTER (user_id % 3 = 0) AS DOUBLE) / nullif(count(*) - count(*) FILTER (user_id % 3 = 1), 0) AS precision FROM events GROUP BY event_type")

@@ -36,13 +36,6 @@ def backdated(known: DataFrame, late: DataFrame, key: str, seen: str) -> DataFra
     return both.groupBy(key).agg(F.min(seen).alias(seen), (~F.bool_or("_known")).alias("provisional"))
 
 
-def accumulated(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Counters (key, seen_count, url, first_seen, last_seen): counts add up, the url of the earliest
-    row that has one stays."""
-    first = F.min(F.when(F.col("url").isNotNull(), F.struct("first_seen", "url")))
-    return old.unionByName(new).groupBy(key).agg(F.sum("seen_count").alias("seen_count"), first.alias("_u"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")).select(key, "seen_count", F.col("_u.url").alias("url"), "first_seen", "last_seen")
-
-
 def quiet(at: Column, begin: int, end: int, zone: str = "America/New_York") -> Column:
     """Whether a UTC time falls in hours [begin, end) of the zone; may span midnight."""
     hour = F.hour(F.from_utc_timestamp(at, zone))

@@ -14,11 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def is_drift(rows: int, typical: float | None) -> bool:
-    """Far fewer rows than usual, or none where some are usual."""
-    return bool(typical) and ((typical >= 20 and rows < 0.2 * typical) or (rows == 0 and typical > 0))
-
-
 def first_of_each(batch: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Of repeated keys in a batch the first counts."""
     return batch.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
@@ -59,30 +54,16 @@ def changed_fields(old: dict[str, Column], new: dict[str, Column]) -> Column:
     return F.array_compact(names)
 
 
-def due(cadence_minutes: Column, failures: Column, last: Column, as_of: Column) -> Column:
-    """Time to poll again: cadence doubled for each failure up to 6, a day at most, a tenth early."""
-    wait = F.least(F.lit(1440.0), cadence_minutes * F.pow(F.lit(2.0), F.least(failures, F.lit(6))))
-    return last.isNull() | ((F.unix_timestamp(as_of) - F.unix_timestamp(last)) / 60 >= 0.9 * wait)
-
-
 def unseen(stream: DataFrame, history: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of a micro-batch whose key the history does not have, each once."""
+    """Rows of a batch whose key the history does not have, each once."""
     return stream.dropDuplicates(key).join(history.select(*key).distinct(), key, "left_anti")
 
 
 def run_stream(spark, folder: str, schema, table: str, key: list[str], checkpoint: str) -> None:
-    """Drains the JSON files of a folder into a Parquet table, each key once for ever.  The offsets
-    are in the checkpoint; a replayed micro-batch finds its own rows there already."""
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        import contextlib
-
-        from pyspark.errors import AnalysisException
-
-        rows = batch.dropDuplicates(key)
-        with contextlib.suppress(AnalysisException):  # the table does not exist before the first batch
-            rows = unseen(rows, spark.read.schema(batch.schema).parquet(table), key)
-        rows.write.mode("append").parquet(table)
-
-    query = spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Drains the JSON files of a folder into a Parquet table, each key once for ever.  Offsets and the
+    keys seen are in the checkpoint (in RocksDB, dealt by key, so the history is never read again); the
+    file sink commits each batch once."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = spark.readStream.schema(schema).json(folder).dropDuplicates(key)
+    query = rows.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()

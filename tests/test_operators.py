@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions import text as T
 from fieldglass.operators import aggregates as A
+from fieldglass.operators import joins as J
 from fieldglass.operators import ranking as R
+from fieldglass.operators import views as V
 from fieldglass.operators.predicates import Field, FieldError, Fields, mentions, negate
 from fieldglass.sources import payloads as P
 from fieldglass.streaming import capture as C
@@ -56,7 +58,6 @@ def test_capture_cycle(spark):
     assert three.where("delisted_at IS NULL").count() == 2
     four = C.merge(three.drop("action"), batch([(1, "x", None)], 4), ["k"], at(4), False)
     assert acts(four) == {1: "unchanged", 2: None}
-    assert C.is_drift(3, 100) and C.is_drift(0, 5) and not C.is_drift(30, 100) and not C.is_drift(0, None)
 
 
 def test_stream_takes_each_key_once(spark, tmp_path):
@@ -99,3 +100,52 @@ def test_counters_add_up(spark):
     old, new = spark.createDataFrame([("a", 2, None, 5, 6)], schema), spark.createDataFrame([("a", 3, "u", 1, 9), ("b", 1, None, 2, 2)], schema)
     got = {r.n: (r.seen_count, r.url, r.first_seen, r.last_seen) for r in A.accumulated(old, new, ["n"]).collect()}
     assert got == {"a": (5, "u", 1, 9), "b": (1, None, 2, 2)}
+
+
+def test_global_rank_of_two_million_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(2_000_000, numPartitions=16).select("id", F.xxhash64("id").alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("carried"))
+    ranked = R.global_rank(rows, [F.desc("v"), F.asc("id")])
+    n, distinct, low, high, same = ranked.agg(F.count("*"), F.count_distinct("rank"), F.min("rank"), F.max("rank"), F.count_if(F.col("carried") == F.sha2(F.col("id").cast("string"), 256))).first()
+    assert (n, distinct, low, high, same) == (2_000_000, 2_000_000, 1, 2_000_000, 2_000_000)
+    top = [r.id for r in ranked.where("rank <= 1000 OR rank > 1999000").orderBy("rank").collect()]
+    by_value = [F.desc("v"), F.asc("id")]
+    assert top[:1000] == [r.id for r in rows.orderBy(*by_value).limit(1000).collect()]
+    assert top[1000:] == [r.id for r in rows.orderBy(F.asc("v"), F.desc("id")).limit(1000).collect()][::-1]
+
+
+def test_places_in_groups_of_any_size(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(None if k % 7 == 0 else "big" if k % 3 else "small", k * 37 % 101) for k in range(300)] + [("one", 5), ("none", None)], "g string, v int")
+    got = {r.g: (r.median, r.n) for r in A.medians(rows, [["g"]], "v", 1)[0].collect()}
+    import statistics
+
+    want = {}
+    for k, v in [(r.g, r.v) for r in rows.collect() if r.v is not None]:
+        want.setdefault(k, []).append(v)
+    assert got == {k: (statistics.median(v), len(v)) for k, v in want.items()}
+    fold = {r.g: r.e for r in A.moving_average(rows, ["g"], [F.asc("v")], "v", "e").collect()}
+    for k, v in want.items():
+        e = None
+        for x in sorted(v):
+            e = x if e is None else 0.7 * e + 0.3 * x
+        assert abs(fold[k] - e) < 1e-9
+    assert A.medians(rows.limit(0), [["g"]], "v", 1)[0].count() == 0
+
+
+def test_chain_stops_and_doubles(spark):
+    rows = spark.createDataFrame([(k, k - 1 if k else None) for k in range(30)] + [(100, 101), (101, 100)], "k long, p long")
+    got = {(r.k, r.ancestor, r.depth) for r in J.chain(rows, "k", "p", 20).collect()}
+    want = {(k, k - d, d) for k in range(30) for d in range(1, min(k, 20) + 1)}
+    want |= {(k, k if d % 2 == 0 else 201 - k, d) for k in (100, 101) for d in range(1, 21)}
+    assert got == want
+    assert J.chain(rows.limit(0), "k", "p").count() == 0
+
+
+def test_pages_are_bounded(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        V.page(spark.range(3), [], 1001)
