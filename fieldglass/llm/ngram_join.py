@@ -173,13 +173,16 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
         })
 
     known = saved(on_chunks(staged, facts, "doc_id long, size long, one long, two long, token long, count long"), "facts")
-    rows = known.where("token IS NULL").select("doc_id", "size", "one", "two")
+    rows = known.where("token IS NULL").select(chunk_of("doc_id", chunks).alias("chunk"), "doc_id", "size", "one", "two")
     often = known.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT).toPandas()
     often = often.assign(token=often["token"].to_numpy(np.int64).view(U)).sort_values("token")
     frequent, counts = often["token"].to_numpy(U), often["count"].to_numpy(np.int64)
 
-    first = rows.where("size > 0").groupBy("one", "two", F.col("size").alias("s")).agg(F.min("doc_id").alias("rep"))
-    base = rows.join(first, (rows.one == first.one) & (rows.two == first.two) & (rows["size"] == first.s), "left").select("doc_id", "size", F.coalesce("rep", "doc_id").alias("rep"))
+    # copies meet per chunk first: a set that a third of all documents share is a row per chunk
+    own = rows.where("size > 0").groupBy("chunk", "one", "two", "size").agg(F.min("doc_id").alias("least"))
+    first = own.groupBy("one", "two", "size").agg(F.min("least").alias("rep"))
+    first = own.drop("least").join(first, ["one", "two", "size"])
+    base = rows.join(first, ["chunk", "one", "two", "size"], "left").select("doc_id", "size", F.coalesce("rep", "doc_id").alias("rep"))
     base = saved(base, "sets")
     active = base.where("size > 0 AND doc_id = rep").select(chunk_of("doc_id", chunks).alias("chunk"), "doc_id", F.lit(None).cast("binary").alias("body"))
 
