@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,12 +24,12 @@ def newest_earlier(rows: DataFrame, key: str, begin: str, end: str, order: str,
     return seen.select(F.col("_id").alias(order), F.col("_k").alias(key), F.col("_before.id").alias(f"last_{order}"), F.col("_before.at").alias("last_at"), F.when(close, F.col("_before.id")).alias(f"earlier_{order}"))
 
 
-def prefix_join(left: DataFrame, right: DataFrame, name: str, full: str, least: int = 4) -> DataFrame:
+def prefix_join(left: DataFrame, right: DataFrame, name: str, full: str, least: int = 4, first: Callable[[Column], Column] | None = None) -> DataFrame:
     """Rows whose right name equals the left one or continues it after a space; names of least letters.
-    Joined on the first word, which both must share."""
-    first = lambda c: F.split(F.col(c), " ")[0]
-    a = left.where(F.length(name) >= least).withColumn("_w", first(name))
-    b = right.withColumn("_w", first(full))
+    Joined on a beginning that both must share: the first word, or what first takes of a name."""
+    first = first or (lambda c: F.split(c, " ")[0])
+    a = left.where(F.length(name) >= least).withColumn("_w", first(F.col(name)))
+    b = right.withColumn("_w", first(F.col(full)))
     whole = (F.col(full) == F.col(name)) | F.startswith(F.col(full), F.concat(F.col(name), F.lit(" ")))
     return a.join(b, "_w").where(whole).drop("_w")
 

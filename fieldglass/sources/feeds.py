@@ -26,6 +26,12 @@ class Feed:
     types: dict[str, str] = field(default_factory=lambda: {"locations": "array<string>", "posted_at": "timestamp", "pay_min": "double", "pay_max": "double"})
 
 
+# Country codes of feeds that give no names.
+COUNTRY_NAMES = {
+    "us": "United States", "gb": "United Kingdom", "ca": "Canada", "in": "India", "de": "Germany", "sg": "Singapore", "ie": "Ireland", "pl": "Poland", "au": "Australia", "fr": "France", "nl": "Netherlands", "es": "Spain", "br": "Brazil", "mx": "Mexico", "jp": "Japan", "il": "Israel",
+    "ae": "United Arab Emirates", "ch": "Switzerland", "se": "Sweden", "it": "Italy", "pt": "Portugal", "cz": "Czech Republic", "ro": "Romania", "hu": "Hungary", "be": "Belgium", "dk": "Denmark", "no": "Norway", "fi": "Finland", "at": "Austria",
+}
+COUNTRIES = "map(" + ", ".join(f"'{code}', '{name}'" for code, name in COUNTRY_NAMES.items()) + ")"
 # The published layouts of posting feeds.
 FEEDS = {
     "offices_and_departments": Feed(
@@ -103,6 +109,26 @@ FEEDS = {
         must="offers",
         keep="coalesce(item.status, 'published') = 'published'",
     ),
+    "coded_countries": Feed(
+        "struct<content: array<struct<id: string, name: string, ref: string, releasedDate: string, location: struct<city: string, region: string, country: string, remote: boolean>, department: struct<label: string>, typeOfEmployment: struct<label: string>>>>",
+        "body.content",
+        {
+            "source_job_id": "item.id",
+            "title": "item.name",
+            "apply_url": "item.ref",
+            "locations": f"array(concat(CASE WHEN item.location.remote THEN 'Remote - ' ELSE '' END, concat_ws(', ', item.location.city, item.location.region, coalesce(element_at({COUNTRIES}, lower(item.location.country)), upper(item.location.country)))))",
+            "department": "item.department.label",
+            "employment_type": "item.typeOfEmployment.label",
+            "posted_at": "try_to_timestamp(item.releasedDate)",
+        },
+        must="content",
+    ),
+    "widget": Feed(
+        "struct<jobs: array<struct<shortcode: string, title: string, url: string, city: string, state: string, country: string, department: string, employment_type: string, published_on: string, description: string>>>",
+        "body.jobs",
+        {"source_job_id": "item.shortcode", "title": "item.title", "apply_url": "item.url", "locations": "array(concat_ws(', ', item.city, item.state, item.country))", "department": "item.department", "employment_type": "item.employment_type", "posted_at": "try_to_timestamp(item.published_on)", "description": "item.description"},
+        must="jobs",
+    ),
     "aggregated": Feed(
         "array<struct<id: string, company_name: string, title: string, url: string, active: boolean, is_visible: boolean, date_posted: bigint, locations: array<string>, degrees: array<string>>>",
         "body",
