@@ -14,7 +14,7 @@ Secrets: keys of KEY's form are spans wherever they stand; hexadecimal pieces of
 seeds only, and spans where a context bears them out.
 
 How often contexts occur is counted in a second pass over all texts.  It looks only for contexts
-that could be good: their last words are marked in a bitmap of BITMAP bits, a fixed size, and what
+that could be good: they and their last words are marked in a bitmap of BITMAP bits, a fixed size, and what
 the bitmap lets through too much a join drops.
 
 Null and empty texts have no spans; repeated rows and doc_ids are searched each on its own; rows
@@ -160,19 +160,23 @@ def bit_of(word: str) -> int:
 
 def occurrences(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(context, total): how often a word follows each wanted context, in all texts."""
-    bits = F.pmod(F.crc32(F.element_at(F.split("context", " "), -1)), F.lit(BITMAP)).alias("bit")
+    marked = F.explode(F.array("context", F.element_at(F.split("context", " "), -1)))
+    bits = F.pmod(F.crc32("marked"), F.lit(BITMAP)).alias("bit")
     bitmap = np.zeros(BITMAP // 8, np.uint8)
-    at = wanted.select(bits).distinct().toPandas()["bit"].to_numpy(np.int64)  # BITMAP numbers at most
+    at = wanted.select(marked.alias("marked")).select(bits).distinct().toPandas()["bit"].to_numpy(np.int64)  # BITMAP numbers at most
     np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     def count(batches):
         marks, known, counts = shared.value, {}, Counter()
 
+        def is_marked(context):
+            bit = bit_of(context)
+            return bool(marks[bit >> 3] >> (bit & 7) & 1)
+
         def possible(word):
             if (hit := known.get(word)) is None:
-                bit = bit_of(word)
-                hit = known[word] = bool(marks[bit >> 3] >> (bit & 7) & 1)
+                hit = known[word] = is_marked(word)
             return hit
 
         def told():
@@ -185,8 +189,8 @@ def occurrences(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text
                 for word in words[:-1]:
                     if possible(word):
                         counts[word] += 1
-                        if before:
-                            counts[f"{before} {word}"] += 1
+                        if before and is_marked(both := f"{before} {word}"):
+                            counts[both] += 1
                     before = word
                 if len(known) > 500_000:
                     known.clear()
