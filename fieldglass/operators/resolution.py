@@ -61,6 +61,12 @@ def order_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype=float)
 
 
+def order_ratio_bound(a: Column, b: Column) -> Column:
+    """No order_ratio is above this: every character of the shorter side in a common run."""
+    shorter, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
+    return F.coalesce(F.try_divide(2.0 * shorter, both.cast("double")), F.lit(0.0))
+
+
 def pair_score(title: Column, described: Column, pay: Column, days: Column, levels_differ: Column, same_board: Column) -> Column:
     """Evidence on a pair, from 0 to 1.  Null described, pay or days say nothing."""
     score = F.when(described.isNotNull(), title * 0.6 + described * 0.4).otherwise(title)
@@ -72,24 +78,62 @@ def pair_score(title: Column, described: Column, pay: Column, days: Column, leve
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
-def merged_best_first(rows: DataFrame, pairs: DataFrame, row_id: str, space: str, name: str, least: float = SAME) -> DataFrame:
+def merged_in_order(pairs: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+    """One connected part, merged pair by pair: pairs a, b, score; names id, s, n."""
+    up, held = {}, {}
+    for i, s, n in zip(names["id"], names["s"], names["n"]):
+        held.setdefault(i, {}).setdefault(s, n)
+
+    def root(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    # a row with two names of one space can merge with nothing that has a name there
+    for i, s, n in zip(names["id"], names["s"], names["n"]):
+        if held[i][s] != n:
+            held[i][s] = object()
+    for a, b, _ in pairs.sort_values(["score", "a", "b"], ascending=[False, True, True])[["a", "b", "score"]].itertuples(index=False):
+        x, y = sorted((root(a), root(b)))
+        of_x, of_y = held.get(x, {}), held.get(y, {})
+        if x != y and not any(s in of_x and of_x[s] != n for s, n in of_y.items()):
+            up[y] = x
+            held[x] = {**of_x, **of_y}
+    ids = list(up)
+    return pd.DataFrame({"id": ids, "cluster": [root(i) for i in ids]})
+
+
+#: Pairs of a connected part that one task merges by itself; larger parts take rounds over all of Spark.
+ONE_TASK = 20_000
+
+
+def merged_best_first(rows: DataFrame, pairs: DataFrame, row_id: str, space: str, name: str, least: float = SAME, one_task: int = ONE_TASK) -> DataFrame:
     """(id, cluster) as by merging pairs (a, b, score) in order of score, then a, then b, unless the
     cluster would hold two names of one space; cluster is its least id.  Null spaces hinder nothing.
 
     Rows connected by pairs without two names of a space anywhere among them merge at once, in any
-    order.  Among the others, each round drops pairs that can never merge any more and merges the
-    pairs that are best for both their clusters: no pair that comes earlier touches either of them,
-    so the outcome is that of the sequential order.  Rounds grow with the longest run of pairs at
-    one cluster that must wait for each other, at most the largest such connected part."""
+    order.  Of the others, parts of at most one_task pairs are merged in order by a task each.  The rest
+    goes in rounds: each drops pairs that can never merge any more and merges the pairs that are best
+    for both their clusters: no pair that comes earlier touches either of them, so the outcome is that
+    of the sequential order.  Rounds grow with the longest run of pairs at one cluster that must wait
+    for each other, at most the largest such connected part."""
     alone = rows.select(F.col(row_id).alias("id")).where("id IS NOT NULL").distinct()
     names = rows.where(F.col(space).isNotNull() & F.col(name).isNotNull()).select(F.col(row_id).alias("id"), F.col(space).alias("s"), F.col(name).alias("n"))
-    open_ = cut(pairs.where(F.col("score") >= least).select("a", "b", F.struct((-F.col("score")).alias("s"), "a", "b").alias("at")))
-    parts = linked(open_.select(F.explode(F.array("a", "b")).alias("id"), F.concat_ws(" ", "a", "b").alias("pair")), "id", ["pair"])
-    clashing = names.join(parts, "id").groupBy("cluster", "s").agg((F.min("n") != F.max("n")).alias("two")).where("two").select("cluster").distinct()
-    calm = cut(parts.join(clashing, "cluster", "left_anti"))
-    labels = cut(alone.join(calm, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster")))
-    open_ = cut(open_.join(calm.select(F.col("id").alias("a")), "a", "left_anti"))
-    while True:
+    good = cut(pairs.where(F.col("score") >= least).select("a", "b", "score"))
+    parts = linked(good.select(F.explode(F.array("a", "b")).alias("id"), F.concat_ws(" ", "a", "b").alias("pair")), "id", ["pair"])
+    named = cut(names.join(parts, "id"))
+    clashing = named.groupBy("cluster", "s").agg((F.min("n") != F.max("n")).alias("two")).where("two").select("cluster").distinct()
+    sizes = good.join(parts.select(F.col("id").alias("a"), "cluster"), "a").groupBy("cluster").agg(F.count("*").alias("pairs")).join(clashing, "cluster")
+    sized = cut(parts.join(sizes, "cluster", "left"))
+    calm = sized.where("pairs IS NULL").select("id", "cluster")
+    small, large = sized.where(F.col("pairs") <= one_task).select("id", "cluster"), sized.where(F.col("pairs") > one_task).select("id")
+    of_part = good.join(small.select(F.col("id").alias("a"), "cluster"), "a")
+    small_names = named.join(small.select("cluster").distinct(), "cluster")
+    merged = of_part.groupBy("cluster").cogroup(small_names.groupBy("cluster")).applyInPandas(merged_in_order, parts.schema)
+    settled = calm.unionByName(merged)
+    labels = cut(alone.join(settled, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster")))
+    open_ = cut(good.join(large.select(F.col("id").alias("a")), "a").select("a", "b", F.struct((-F.col("score")).alias("s"), "a", "b").alias("at")))
+    while not open_.isEmpty():
         held = names.join(labels, "id").select(F.col("cluster").alias("c"), "s", "n").distinct()
         of = labels.select(F.col("id").alias("a"), F.col("cluster").alias("x"))
         between = open_.join(of, "a").join(of.toDF("b", "y"), "b").where("x <> y")
@@ -97,11 +141,12 @@ def merged_best_first(rows: DataFrame, pairs: DataFrame, row_id: str, space: str
         clash = between.select("x", "y").join(held.toDF("x", "s", "nx"), "x").join(held.toDF("y", "s", "ny"), ["y", "s"]).where("nx <> ny").select("x", "y").distinct()
         free = cut(between.join(clash, ["x", "y"], "left_anti"))
         if free.isEmpty():
-            return labels
+            break
         best = free.select(F.explode(F.array("x", "y")).alias("c"), "at").groupBy("c").agg(F.min("at").alias("at"))
         mutual = free.join(best.toDF("x", "ax"), "x").join(best.toDF("y", "ay"), "y").where("at = ax AND at = ay").select(F.col("y").alias("cluster"), F.col("x").alias("to"))
         labels = cut(labels.join(mutual, "cluster", "left").select("id", F.coalesce("to", "cluster").alias("cluster")))
         open_ = free.select(F.col("at.a").alias("a"), F.col("at.b").alias("b"), "at")
+    return labels
 
 
 def representatives(rows: DataFrame, row_id: str, cluster: str, order: list[Column]) -> DataFrame:

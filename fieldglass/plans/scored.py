@@ -140,9 +140,13 @@ def clusters_of_near_names(spark, d):
     pairs = near.unionByName(of.where("id <> k").select(F.col("k").alias("ka"), F.col("id").alias("kb"), F.lit(1.0).alias("similarity")))
     for s in "ab":
         pairs = pairs.join(p.select(F.col("p_partkey").alias(f"k{s}"), F.col("p_name").alias(f"t{s}"), F.col("p_retailprice").alias(f"pay{s}")), f"k{s}")
-    title = N.TITLE_WORDS * F.col("similarity") + N.TITLE_ORDER * N.order_ratio("ta", "tb")
+    title = lambda ratio: N.TITLE_WORDS * F.col("similarity") + N.TITLE_ORDER * ratio
     pay = T.overlap_of_ranges(F.col("paya") * 0.9, F.col("paya") * 1.1, F.col("payb") * 0.9, F.col("payb") * 1.1)
-    scored = pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b"), N.pair_score(title, F.lit(None).cast("double"), pay, F.lit(None).cast("double"), F.lit(False), F.lit(False)).alias("score"))
+    none = F.lit(None).cast("double")
+    score = lambda ratio: N.pair_score(title(ratio), none, pay, none, F.lit(False), F.lit(False))
+    # only pairs that could reach the least score go to Python
+    pairs = pairs.where(score(N.order_ratio_bound(F.col("ta"), F.col("tb"))) >= N.SAME)
+    scored = pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b"), score(N.order_ratio("ta", "tb")).alias("score"))
     return N.merged_best_first(p, scored, "p_partkey", "p_type", "class")
 
 

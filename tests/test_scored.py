@@ -41,8 +41,9 @@ def test_linked(spark):
     assert N.linked(rows.limit(0), "id", ["u"]).count() == 0
 
 
-def test_merged_best_first(spark):
-    rnd = random.Random(5)
+@pytest.mark.parametrize("one_task, seed", [(20_000, 5), (0, 5), (20_000, 6), (7, 7)])
+def test_merged_best_first(spark, one_task, seed):
+    rnd = random.Random(seed)
     rows = [(i, rnd.choice(["s", "t", None]), rnd.randint(1, 3)) for i in range(16)]
     pairs = [(a, b, rnd.choice([0.7, 0.8, 0.9, 0.8 + rnd.random() / 5])) for a in range(16) for b in range(a + 1, 16) if rnd.random() < 0.25 and (a < 12) == (b < 12)]
     rows[12:] = [(i, None, None) for i in range(12, 16)]
@@ -54,7 +55,7 @@ def test_merged_best_first(spark):
             if all(seen.setdefault(name[i][0], name[i][1]) == name[i][1] for i in both if i in name):
                 for i in both:
                     of[i] = both
-    got = N.merged_best_first(spark.createDataFrame(rows, "id long, s string, n int"), spark.createDataFrame(pairs, "a long, b long, score double"), "id", "s", "n")
+    got = N.merged_best_first(spark.createDataFrame(rows, "id long, s string, n int"), spark.createDataFrame(pairs, "a long, b long, score double"), "id", "s", "n", one_task=one_task)
     assert {r.id: r.cluster for r in got.collect()} == {i: min(c) for i, c in of.items()}
 
 
