@@ -46,6 +46,12 @@ def url_identity(url: Column, tracking: str = "utm_[a-z]+|gclid|fbclid|ref|sourc
     return F.concat(host, path, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(pairs), "&"))).otherwise(""))
 
 
+def tidy_url(url: Column) -> Column:
+    """Without tracking parameters, and without ?, & or a slash at the end; empty for null."""
+    bare = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"[?&](utm_[a-z]+|ref|source|src|gh_src|lever-source(?:%5B%5D|\[\])?)=[^&#]*", "")
+    return F.regexp_replace(F.regexp_replace(bare, "[?&]+$", ""), "/+$", "")
+
+
 def first_rule(text: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:
     """Label of the first pattern found, ignoring case."""
     out = F.lit(default).cast("string")
