@@ -5,7 +5,8 @@ last, which returns the pieces of the packed sequences.
 
 In every stage rows without a doc_id are left out, since no result could name them; rows that repeat
 a doc_id and its text count once; different texts under one doc_id are documents of their own, in
-the order of their texts, and all of them go through.
+the order of their texts, and all of them go through.  An empty table gives an empty table with the
+same columns.  Other columns come through as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,34 +30,41 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+def of_rows(docs: DataFrame, row: str, found: DataFrame, how: str) -> DataFrame:
+    """docs (a) joined with what was found (b) for each row number (key)."""
+    return docs.alias("a").join(found.alias("b"), F.col(f"a.{row}") == F.col("b.key"), how)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that fail the rules go."""
-    return kept(numbered(docs).select(*docs.columns))
+    """Operator 5: documents that fail the rules go, those without a text among them."""
+    rows, _ = numbered(docs)
+    return kept(rows.select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3 on five words and a similarity of 0.8: of each component the smallest doc_id (and text) stays."""
-    rows = numbered(docs)
-    first = ngram_join(rows, n=5, num=80, den=100, id_col="_row").where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return rows.join(first, rows["_row"] == F.col("_kept"), "left_semi").select(*docs.columns)
+    """Operator 3 on five words and a similarity of 0.8: of each component the smallest doc_id (and text)
+    stays.  Documents without words are like no other and stay."""
+    rows, row = numbered(docs)
+    first = ngram_join(rows, n=5, num=80, den=100, id_col=row).where("doc_id = component_id").select(F.col("doc_id").alias("key"))
+    return of_rows(rows, row, first, "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: passages that an earlier document has are cut out."""
-    rows = numbered(docs)
-    cut = dedup_substrings(rows, window=PASSAGE, joined=False, id_col="_row").where("n_removed > 0").select(F.col("doc_id").alias("_cut"), F.col("kept").alias("_kept"))
-    together = rows.join(cut, rows["_row"] == F.col("_cut"), "left")
-    return counted(together.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns))
+    """Operator 6: passages that an earlier document has are cut out.  Null texts stay null."""
+    rows, row = numbered(docs)
+    cut = dedup_substrings(rows, window=PASSAGE, joined=False, id_col=row).where("n_removed > 0").select(F.col("doc_id").alias("key"), F.col("kept").alias("rest"))
+    text = F.coalesce("b.rest", "a.text").alias("text")
+    return counted(of_rows(rows, row, cut, "left").select(*(text if c == "text" else F.col(f"a.`{c}`") for c in docs.columns)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: personal data gives way to its kind."""
+    """Operator 8: personal data gives way to its kind.  Null texts stay null."""
     return counted(redacted(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: the pieces of the packed sequences."""
-    return pack(numbered(docs), window=4096, end=2)
+    """Operator 9: the pieces of the packed sequences.  A null or empty text is its end id alone."""
+    return pack(numbered(docs)[0], window=4096, end=2)
 
 
 STAGES = [
