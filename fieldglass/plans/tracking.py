@@ -26,7 +26,7 @@ def query(sql: str):
 AS_OF = "TIMESTAMP '1998-06-01'"
 # stages of applications over line items: one application an order, one event a line
 _STAGE = "['applied', 'oa_pending', 'screen', 'onsite', 'offer', 'rejected', 'ghosted'][1 + (l_partkey % 7)::INT]"
-_EVENTS = f"SELECT l_orderkey AS app, l_shipdate AS seen, l_linenumber AS n, CASE WHEN l_linenumber = 1 THEN 'applied' ELSE {_STAGE} END AS stage FROM lineitem"
+_EVENTS = f"SELECT l_orderkey AS app, l_shipdate AS seen, l_linenumber * 100000000 + l_partkey AS n, CASE WHEN l_linenumber = 1 THEN 'applied' ELSE {_STAGE} END AS stage FROM lineitem"
 _APPS = (
     f"e AS ({_EVENTS}), apps AS (SELECT app, arg_max(stage, (seen, n)) AS stage, min(seen) AS applied_at, min(seen) FILTER (stage IN ('oa_pending', 'screen', 'onsite', 'offer', 'rejected')) AS first_response_at FROM e GROUP BY app), "
     "a AS (SELECT *, stage IN ('rejected', 'ghosted') AS completed, CASE WHEN stage IN ('offer', 'rejected', 'ghosted') THEN stage END AS outcome FROM apps)"
@@ -35,7 +35,7 @@ _APPS = (
 
 def stage_events(spark, d):
     stages = F.array(*map(F.lit, ("applied", "oa_pending", "screen", "onsite", "offer", "rejected", "ghosted")))
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("app"), F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("n"), F.when(F.col("l_linenumber") == 1, "applied").otherwise(stages[(F.col("l_partkey") % 7).cast("int")]).alias("stage"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("app"), F.col("l_shipdate").alias("at"), (F.col("l_linenumber").cast("bigint") * 100_000_000 + F.col("l_partkey")).alias("n"), F.when(F.col("l_linenumber") == 1, "applied").otherwise(stages[(F.col("l_partkey") % 7).cast("int")]).alias("stage"))
 
 
 def applications(spark, d):
