@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import by_id, numbered, saved
+from .staging import by_id, numbered, saved, unused
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
@@ -265,14 +265,15 @@ def spans_text(spans):
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with <kind> in place of each span; overlapping spans become one, of the first kind.
     Rows that repeat an id and a text count once, other texts under an id are masked each by its own spans."""
-    rows = numbered(docs, id_col, text_col)
-    spans = personal_data(rows, "_row", text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("_spans_of"), F.col("spans").alias("_spans"))
-    together = rows.join(spans, rows["_row"] == F.col("_spans_of"), "left").drop("_row")
+    rows, row = numbered(docs, id_col, text_col)
+    found_at = unused(docs, "_spans")
+    spans = personal_data(rows, row, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("key"), F.col("spans").alias(found_at)).alias("b")
+    together = rows.alias("a").join(spans, F.col(f"a.{row}") == F.col("b.key"), "left").select(*(F.col(f"a.`{c}`") for c in docs.columns), F.col(f"b.{found_at}"))
 
     def mask(batches):
         for batch in batches:
             texts = batch[text_col].to_pylist()
-            for i, spans in enumerate(batch["_spans"].to_pylist()):
+            for i, spans in enumerate(batch[found_at].to_pylist()):
                 if spans:
                     out, at, text = [], 0, texts[i]
                     for s in sorted(spans, key=lambda s: (s["start"], s["kind"])):

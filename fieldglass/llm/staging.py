@@ -69,17 +69,28 @@ def by_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
 
 
-def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with an id under a _row of their own.  Where ids repeat, equal id and text are one row
-    (with the least of its other columns), and different texts are rows of their own, none of which
-    is lost; _row then numbers them by id and text.  Where no id repeats, _row is the id."""
-    docs = docs.withColumn("_row", F.col(id_col).cast("long")).where("_row IS NOT NULL")
-    if docs.groupBy("_row").count().where("count > 1").isEmpty():
-        return docs
-    other = [c for c in docs.columns if c not in (id_col, text_col, "_row")]
-    once = docs.groupBy(id_col, text_col).agg(F.min(F.struct("_row", *other)).alias("_rest"))
-    once = once.select(*(c if c in (id_col, text_col) else F.col("_rest")[c].alias(c) for c in docs.columns))
-    return saved(once.orderBy("_row", text_col).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name after as many underscores as it takes for df not to have it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """The rows with an id under a number of their own, and the name of its column, which docs did not
+    have.  Where ids repeat, equal id and text are one row (with the least of its other columns), and
+    different texts are rows of their own, none of which is lost; they are numbered by id and text.
+    Where no id repeats, the number is the id."""
+    row = unused(docs, "_row")
+    rows = docs.withColumn(row, F.col(id_col).cast("long")).where(F.col(row).isNotNull())
+    if rows.groupBy(row).count().where(F.col("count") > 1).isEmpty():
+        return rows, row
+    other = F.struct(row, *(c for c in docs.columns if c not in (id_col, text_col)))
+    rest = unused(docs, "_rest")
+    once = rows.groupBy(id_col, text_col).agg(F.min_by(other, F.to_json(other)).alias(rest))
+    once = once.select(*(F.col(c) if c in (id_col, text_col) else F.col(rest)[c].alias(c) for c in rows.columns))
+    return saved(once.orderBy(row, text_col).withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
