@@ -9,8 +9,9 @@ it is far from that, with the others one at a time; it fails only if no language
 distances, so a text under a wrong label stays.
 
 Languages are the values of the language column; null is a language of its own.  Those with less
-than one in SHARE of all words have no reference of their own, so there are SHARE references at most;
-their documents are compared first with the pooled reference of all documents.  Null and empty
+than one in SHARE of all words, or with fewer than LEAST_WORDS (too few to tell a language by), have
+no reference of their own, so there are SHARE references at most; their documents are compared first
+with the pooled reference of all documents.  Null and empty
 texts have no words: they fail the base rules, as all with fewer than min_words do.  Repeated rows
 and doc_ids are judged each on its own; rows without a doc_id are left out of the result; other
 columns are ignored.  An empty table gives an empty table.
@@ -29,7 +30,7 @@ from . import grams as g
 from .staging import filled, saved
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "symbol", "control", "beyond ASCII")
-COMMON, SHARE = 64, 1000
+COMMON, SHARE, LEAST_WORDS = 64, 1000, 2000
 #: Distinct words that a task holds before it hands on their counts.
 HELD = 1 << 19
 PART_BYTES = 1 << 20
@@ -189,12 +190,12 @@ def references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text",
     counted = saved(counted.groupBy("key", "is_class", "word").agg(F.sum("n").alias("n")), "words")
     sizes = counted.where("NOT is_class").groupBy("key").agg(F.sum("n").alias("words"))
     total = sizes.agg(F.sum("words")).first()[0] or 0
-    sizes = {r.key: r.words for r in sizes.where(F.col("words") * SHARE >= total).collect()} | {POOL: total}  # SHARE + 1 at most
+    sizes = {r.key: r.words for r in sizes.where((F.col("words") * SHARE >= total) & (F.col("words") >= LEAST_WORDS)).collect()} | {POOL: total}  # SHARE + 1 at most
     own = counted.where(F.col("key").isin(list(sizes)))
     pool = counted.groupBy("is_class", "word").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("key"), "is_class", "word", "n")
     either = own.unionByName(pool)
     # the most frequent of each share of the words, then of them
-    part = F.pmod(F.xxhash64("word"), F.lit(64))
+    part = F.pmod(F.xxhash64("word"), F.lit(1024))
     order = [F.desc("n"), F.asc("word")]
     some = either.where("NOT is_class").withColumn("r", F.row_number().over(Window.partitionBy("key", part).orderBy(*order))).where(F.col("r") <= COMMON)
     most = some.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("r") <= COMMON).drop("r")
