@@ -38,6 +38,12 @@ def matrix(blobs) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1) if blobs else np.zeros((0, 0))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, the largest component between a half and one: no square overflows or
+    vanishes, and as such a factor is exact, cosines stay what they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if len(x) else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
@@ -232,12 +238,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     def score(key, q, v):
         if not len(q) or not len(v):
             return pa.table({"query": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        reps, x = v["rep"].to_numpy(), matrix(v["v"].to_pylist())
+        reps, x = v["rep"].to_numpy(), scaled(matrix(v["v"].to_pylist()))
         length = np.sqrt((x * x).sum(1))
         out = []
         for a in range(0, len(q), 512):
             part = q.slice(a, 512)
-            y = matrix(part["v"].to_pylist())
+            y = scaled(matrix(part["v"].to_pylist()))
             near = (y @ x.T) / length
             take = min(len(reps), k + 9)
             best = np.argpartition(-near, take - 1, axis=1)[:, :take]
@@ -301,11 +307,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         """The vectors at the bound or above, k + 1 at most a query; ties by the exact score and the id."""
         query, rep, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(q) and len(v):
-            reps, x = v["rep"].to_numpy(), matrix(v["v"].to_pylist())
+            reps, x = v["rep"].to_numpy(), scaled(matrix(v["v"].to_pylist()))
             length = np.sqrt((x * x).sum(1))
             for a in range(0, len(q), 256):
                 part = q.slice(a, 256)
-                y = matrix(part["v"].to_pylist())
+                y = scaled(matrix(part["v"].to_pylist()))
                 size = np.sqrt((y * y).sum(1))
                 near = (y @ x.T) / length / size[:, None]
                 least = part["least"].to_numpy() - ROUNDING
