@@ -32,7 +32,7 @@ from .staging import filled, saved
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "symbol", "control", "beyond ASCII")
 COMMON, SHARE, LEAST_WORDS = 64, 1000, 2000
 #: Distinct words that a task holds before it hands on their counts.
-HELD = 1 << 19
+HELD = 1 << 18
 PART_BYTES = 1 << 20
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_distance double, words_distance double, kept boolean"
 
