@@ -16,7 +16,7 @@ from fieldglass.llm.ann import nearest  # noqa: E402
 from fieldglass.llm.bpe import bpe_round_trip  # noqa: E402
 from fieldglass.llm.packing import pack  # noqa: E402
 from fieldglass.llm.pii import BASE, KINDS, base_spans, candidates, contexts, personal_data, spans_text  # noqa: E402
-from fieldglass.llm.quality import CLASS, CLASSES, COMMON, Rules, judge, key_of  # noqa: E402
+from fieldglass.llm.quality import CLASS, CLASSES, COMMON, LEAST_WORDS, Rules, judge, key_of  # noqa: E402
 from fieldglass.llm.sstable import lookup, read_shards, write_shards  # noqa: E402
 from fieldglass.llm.tokens import Library, default_tokenizer  # noqa: E402
 
@@ -64,6 +64,14 @@ def test_fewer_than_five_neighbours(spark):
     assert got == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
 
 
+def test_neighbours_of_any_magnitude(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 8))
+    rows = lambda factor: spark.createDataFrame([(i, (v * factor[i % len(factor)]).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    said = lambda df: [(r.query_id, r.rank, r.vec_id, round(r.score, 12)) for r in nearest(df, df.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect()]
+    assert said(rows([1.0])) == said(rows([1e200, 1e-200, 1e-310 * 2**40, 1.0]))
+
+
 def test_shards_of_the_table(spark, ids):
     _, own = ids
     at, want = 0, {}
