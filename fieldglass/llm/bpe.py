@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .staging import by_id
-from .tokens import CACHED, Words, default_tokenizer, encoded
+from .tokens import CACHED, Words, default_tokenizer, encoded, flattened
 
 #: A word that its normaliser only lower-cases and its splitter leaves whole.
 PLAIN = re.compile("[A-Za-z]+").fullmatch
@@ -167,7 +167,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str | None = None, id_col: str =
     def run(batches):
         if path not in _models:
             model = PairIndex(path)
-            words = Words(model.encode)
+            words = Words(lambda new: flattened(model.encode(new)))
             _models[path] = (words, Decoded(model, words))
         words, decoded = _models[path]
         for batch in batches:

@@ -10,7 +10,11 @@ A shard holds documents in ascending order of id.  Layout, all numbers little-en
     filter   Bloom filter of the keys: BITS bits a key, HASHES hashes
     footer   FOOTER: places of index and filter, numbers of blocks, documents and ids, width, magic
 
-Repeated doc_ids are entries of their own, ordered by text; rows without a doc_id are left out; null
+Ids take 2 bytes where the vocabulary allows, else 4.  Texts are encoded where they lie; only doc_ids
+and packed ids are shuffled, once, to ranges cut at percentiles of doc_id.
+
+Repeated doc_ids are entries of their own, ordered by the crc32 of their packed ids; an id so frequent
+that several cuts fall on it fills several shards.  Rows without a doc_id are left out; null
 and empty texts hold only the end id; other columns are ignored; an empty table writes no shard.
 Files are named once per attempt, and only those that finished tasks report are read.
 """
@@ -29,12 +33,12 @@ from pyspark.sql import functions as F
 from . import files
 from . import grams as g
 from .staging import by_id, new_folder, partitions_for, saved
-from .tokens import default_tokenizer, encoded, library_words
+from .tokens import default_tokenizer, encoded_flat, largest_id, library_words
 
 BLOCK_BYTES, BITS, HASHES = 1 << 16, 10, 7
 FOOTER = struct.Struct("<QQQQQQB7s")
 MAGIC = b"FGSST01"
-SHARDS = "path string, first long, last long, documents long, tokens long, bytes long"
+SHARDS = "shard int, path string, first long, last long, documents long, tokens long, bytes long"
 
 
 def key_of(doc_id: int) -> bytes:
@@ -167,31 +171,57 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end: int = 2, fo
     Returns one row a shard, with the number of ids in the shards before it (start)."""
     path, folder = tokenizer or default_tokenizer(), folder or new_folder(docs.sparkSession, "shards")
 
+    width = 2 if max(largest_id(path), end) < 1 << 16 else 4
+
+    parts = partitions_for(docs, text_col)
+    rows = by_id(docs, id_col, text_col)
+    shares = F.array(*(F.lit(k / parts) for k in range(1, parts)))
+    cuts = np.array((rows.agg(F.percentile_approx("doc_id", shares, 10 * parts)).first()[0] if parts > 1 else None) or [], np.int64)
+
+    def encode(batches):
+        words = library_words(path)
+        for batch in batches:
+            ids = batch["doc_id"].to_numpy()
+            for a, flat, bounds, _, _ in encoded_flat(batch["text"], words, end):
+                own, flat = ids[a : a + len(bounds) - 1], flat.astype(f"<u{width}")
+                crc = np.array([zlib.crc32(flat[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())], np.int64)
+                low, high = np.searchsorted(cuts, own, "left"), np.searchsorted(cuts, own, "right")
+                part = low + crc * (high - low + 1) // (1 << 32)
+                packed = pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer((bounds * width).astype(np.int64)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(own, pa.int64()), pa.array(crc, pa.int64()), packed.cast(pa.binary())], ["part", "doc_id", "crc", "ids"])
+
     def write(batches):
-        words, out = library_words(path), None
-        first = last = None
+        out = None
+        shard = first = last = None
+
+        def finished():
+            size = out.close()
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), *(pa.array([x], pa.int64()) for x in (first, last, len(out.ids), out.tokens, size))], [f.split()[0] for f in SHARDS.split(", ")])
+
         for batch in batches:
-            ids = batch["doc_id"].to_numpy().tolist()
-            for a, texts, _, _ in encoded(batch["text"], words, end):
-                for d, x in zip(ids[a:], texts):
-                    if out is None:
-                        uri = files.new_file(folder, ".sst")
-                        out, first = ShardWriter(files.writer(uri), 4), d
-                    out.add(d, x)
-                    last = d
+            for part, d, x in zip(batch["part"].to_pylist(), batch["doc_id"].to_pylist(), batch["ids"]):
+                if part != shard:
+                    if out is not None:
+                        yield finished()
+                    uri = files.new_file(folder, ".sst")
+                    out, shard, first = ShardWriter(files.writer(uri), width), part, d
+                out.add(d, np.frombuffer(x.as_buffer(), f"<u{width}"))
+                last = d
         if out is not None:
-            size = out.close()
-            yield pa.RecordBatch.from_pydict({"path": [uri], "first": [first], "last": [last], "documents": [len(out.ids)], "tokens": [out.tokens], "bytes": [size]})
+            yield finished()
 
-    rows = by_id(docs, id_col, text_col).repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    shards = saved(rows.mapInArrow(write, SHARDS), "manifest")
-    before = Window.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = rows.mapInArrow(encode, "part int, doc_id long, crc long, ids binary").repartitionById(parts, "part")
+    shards = saved(ranged.sortWithinPartitions("part", "doc_id", "crc", "ids").drop("crc").mapInArrow(write, SHARDS), "manifest")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """One row a document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
 
+    def told(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
     def read(batches):
         for batch in batches:
             for uri, at in zip(batch["path"].to_pylist(), batch["start"].to_pylist()):
@@ -199,7 +229,11 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 for d, ids in Shard(uri).scan():
                     out.append((d, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    if len(out) == 10_000:
+                        yield told(out)
+                        out = []
+                if out:
+                    yield told(out)
 
     n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return shards.select("path", "start").repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
