@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Words for work away from an office, in part or in many places, and for the home country.
 REMOTE = r"(?i)\bremote\b|\banywhere\b|\bwork from home\b|\bwfh\b|\bdistributed\b|\bvirtual\b|\btelecommute\b"
 HYBRID = r"(?i)\bhybrid\b"
@@ -52,34 +54,54 @@ def place(raw: Column, known: Places) -> Column:
     """
     dashes = F.regexp_replace(F.regexp_replace(F.coalesce(raw, F.lit("")), "[–—]", "-"), r"\s+-\s+", ", ")
     text = F.btrim(F.regexp_replace(F.regexp_replace(dashes, "[()]", " "), r"\s+", " "), F.lit(" ,"))
-    low = F.lower(text)
-    remote, hybrid, many, home = (F.rlike(text, F.lit(p)) for p in (REMOTE, HYBRID, MULTIPLE, HOME_WORDS))
-    abroad = _first(low, [(w.lower(), c) for c, words in known.countries.items() for w in words])
-    codes = F.filter(F.regexp_extract_all(text, F.lit(STATE_MARK), 1), lambda s: s.isin(*known.states) & ~F.coalesce(s == abroad, F.lit(False)))
     shared = {a for a, _ in known.aliases(True)}
-    state = F.coalesce(F.try_element_at(codes, F.lit(1)), _first(low, [(n.lower(), s) for s, n in known.states.items() if n.lower() not in shared]))
-    strong, weak = _first(low, known.aliases(False)), _first(low, known.aliases(True))
-    metro = F.coalesce(strong, weak)
     bucket_of = F.create_map(*(F.lit(x) for m, (b, _, _) in known.metros.items() for x in (m, b)))
     states_of = F.create_map(*(c for m, (_, s, _) in known.metros.items() for c in (F.lit(m), F.array(*map(F.lit, s)))))
-    elsewhere = F.coalesce(state.isNotNull() & ~F.array_contains(states_of[metro], state), F.lit(False))
-    doubtful = strong.isNull() & abroad.isNotNull() & state.isNull()
-    metro = F.when(~elsewhere & ~doubtful, metro)
-    foreign = abroad.isNotNull() & state.isNull() & ~home
-    kind = F.when(metro.isNotNull(), "metro").when(foreign, "international").when(remote, "remote").when(many, "multiple").when(state.isNotNull() | home, "us_unknown").otherwise("unknown")
-    sure = F.when(metro.isNotNull(), F.when(strong.isNull(), 0.6).otherwise(0.9)).when(foreign | remote, 0.8).when(many | state.isNotNull(), 0.7).when(home, 0.5).when(text != "", 0.2).otherwise(0.0)
-    at_home = kind.isin("metro", "remote", "multiple", "us_unknown")
-    bucket = F.when(metro.isNotNull() & ~(remote & ~hybrid), bucket_of[metro]).when(metro.isNotNull() | (kind == "remote"), "remote").otherwise("elsewhere")
-    return F.struct(
-        kind.alias("kind"),
-        metro.alias("metro"),
-        F.when(metro.isNotNull(), F.coalesce(state, states_of[metro][0])).when(kind.isin("remote", "us_unknown"), state).alias("state"),
-        F.when(at_home, "US").when(foreign, abroad).alias("country"),
-        bucket.alias("bucket"),
-        remote.alias("remote"),
-        hybrid.alias("hybrid"),
-        sure.alias("confidence"),
-    )
+
+    def marks(t):
+        low, text = t["low"], t["text"]
+        flags = {n: F.rlike(text, F.lit(p)) for n, p in (("remote", REMOTE), ("hybrid", HYBRID), ("many", MULTIPLE), ("home", HOME_WORDS))}
+        abroad = _first(low, [(w.lower(), c) for c, words in known.countries.items() for w in words])
+        named = _first(low, [(n.lower(), s) for s, n in known.states.items() if n.lower() not in shared])
+        codes = F.filter(F.regexp_extract_all(text, F.lit(STATE_MARK), 1), lambda s: s.isin(*known.states))
+        return F.struct(*(c.alias(n) for n, c in flags.items()), (text != "").alias("said"), abroad.alias("abroad"), named.alias("named"), codes.alias("codes"), _first(low, known.aliases(False)).alias("strong"), _first(low, known.aliases(True)).alias("weak"))
+
+    def stated(f):
+        codes = F.filter(f["codes"], lambda s: ~F.coalesce(s == f["abroad"], F.lit(False)))
+        return F.struct(f.alias("f"), F.coalesce(F.try_element_at(codes, F.lit(1)), f["named"]).alias("state"), F.coalesce(f["strong"], f["weak"]).alias("metro"))
+
+    def settled(x):
+        f, state = x["f"], x["state"]
+        elsewhere = F.coalesce(state.isNotNull() & ~F.array_contains(states_of[x["metro"]], state), F.lit(False))
+        doubtful = f["strong"].isNull() & f["abroad"].isNotNull() & state.isNull()
+        return F.struct(f.alias("f"), state.alias("state"), F.when(~elsewhere & ~doubtful, x["metro"]).alias("metro"), (f["abroad"].isNotNull() & state.isNull() & ~f["home"]).alias("foreign"))
+
+    def sorted_out(x):
+        f, state, metro, foreign = x["f"], x["state"], x["metro"], x["foreign"]
+        kind = F.when(metro.isNotNull(), "metro").when(foreign, "international").when(f["remote"], "remote").when(f["many"], "multiple").when(state.isNotNull() | f["home"], "us_unknown").otherwise("unknown")
+        return F.struct(x.alias("x"), kind.alias("kind"))
+
+    def described(y):
+        x, kind = y["x"], y["kind"]
+        f, state, metro, foreign = x["f"], x["state"], x["metro"], x["foreign"]
+        sure = F.when(metro.isNotNull(), F.when(f["strong"].isNull(), 0.6).otherwise(0.9)).when(foreign | f["remote"], 0.8).when(f["many"] | state.isNotNull(), 0.7).when(f["home"], 0.5).when(f["said"], 0.2).otherwise(0.0)
+        at_home = kind.isin("metro", "remote", "multiple", "us_unknown")
+        bucket = F.when(metro.isNotNull() & ~(f["remote"] & ~f["hybrid"]), bucket_of[metro]).when(metro.isNotNull() | (kind == "remote"), "remote").otherwise("elsewhere")
+        return F.struct(
+            kind.alias("kind"),
+            metro.alias("metro"),
+            F.when(metro.isNotNull(), F.coalesce(state, states_of[metro][0])).when(kind.isin("remote", "us_unknown"), state).alias("state"),
+            F.when(at_home, "US").when(foreign, f["abroad"]).alias("country"),
+            bucket.alias("bucket"),
+            f["remote"].alias("remote"),
+            f["hybrid"].alias("hybrid"),
+            sure.alias("confidence"),
+        )
+
+    said = let(text, lambda t: F.struct(t.alias("text"), F.lower(t).alias("low")))
+    for step in (marks, stated, settled, sorted_out, described):
+        said = let(said, step)
+    return said
 
 
 def apart(raw: Column) -> Column:

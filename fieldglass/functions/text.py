@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it: as the element of an array of one."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squashed(text: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
