@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # How years of experience are stated.
 YEARS_RANGE = r"(?i)(\d{1,2})\s*\+?\s*(?:-|–|to)?\s*(\d{1,2})?\s*\+?\s*(?:years|yrs)(?:'|’)?\s+(?:of\s+)?(?:relevant |professional |industry |related |hands[- ]on |work |software |full[- ]time |practical |prior |demonstrated |proven |overall )*(?:experience|exp\b)"
 YEARS_MINIMUM = r"(?i)(?:minimum(?:\s+of)?|at\s+least|min\.?)\s+(\d{1,2})\s*\+?\s*(?:years|yrs)|(\d{1,2})\s+or\s+more\s+(?:years|yrs)"
@@ -61,10 +63,13 @@ def posted_pay(text: Column) -> Column:
     )
     ranges = F.arrays_zip(found.alias("said"), low.alias("lo"), high.alias("hi"), places.alias("at"))
 
-    def judged(r):
-        around = F.substring(text, F.greatest(r["at"] - 159, F.lit(1)), F.least(r["at"], F.lit(160)) + F.length(r["said"]) + 80)
+    def around(r):
+        near = F.substring(text, F.greatest(r["at"] - 159, F.lit(1)), F.least(r["at"], F.lit(160)) + F.length(r["said"]) + 80)
         shortly = F.substring(text, F.greatest(r["at"] - 59, F.lit(1)), F.least(r["at"], F.lit(60)))
-        lo, hi = amount(r["lo"]), amount(r["hi"])
+        return F.struct(r.alias("r"), near.alias("around"), shortly.alias("shortly"), amount(r["lo"]).alias("lo"), amount(r["hi"]).alias("hi"))
+
+    def judged(x):
+        r, around, shortly, lo, hi = (x[n] for n in ("r", "around", "shortly", "lo", "hi"))
         dollars, hourly, yearly = F.contains(r["said"], F.lit("$")), F.rlike(around, F.lit(PAY_HOURLY)), F.rlike(around, F.lit(PAY_YEARLY))
         foreign = F.rlike(around, F.lit(PAY_FOREIGN)) & ~dollars & ~F.contains(around, F.lit("USD"))
         by_hour = hourly & (lo < 500)
@@ -73,9 +78,11 @@ def posted_pay(text: Column) -> Column:
         points = 55 + F.when(yearly | hourly, 25).otherwise(0) + F.when(dollars, 10).otherwise(0) - F.when(other, 25).otherwise(0)
         return F.struct((~foreign & sane).alias("ok"), points.alias("points"), F.when(by_hour, 0).otherwise(1).alias("yearly"), (-r["at"]).alias("first"), lo.alias("low"), hi.alias("high"))
 
-    fit = F.filter(F.transform(ranges, judged), lambda c: c["ok"] & (c["points"] >= 50))
-    best = F.array_max(fit)
-    return F.when(best.isNotNull(), F.struct(best["low"].alias("low"), best["high"].alias("high"), F.when(best["yearly"] == 1, "year").otherwise("hour").alias("interval"), (best["points"] / 100).alias("confidence")))
+    fit = F.filter(F.transform(ranges, lambda r: let(around(r), judged)), lambda c: c["ok"] & (c["points"] >= 50))
+    def said(best):
+        return F.when(best.isNotNull(), F.struct(best["low"].alias("low"), best["high"].alias("high"), F.when(best["yearly"] == 1, "year").otherwise("hour").alias("interval"), (best["points"] / 100).alias("confidence")))
+
+    return let(F.array_max(fit), said)
 
 
 # Titles that are not for beginners, and titles that are.

@@ -14,10 +14,15 @@ from ..functions import text as T
 GUARDED = ("base_posted_min", "base_posted_max", "base_posted_interval", "comp_source", "graduation_window")
 
 
-def from_text(text: Column, title: Column, tags: list[tuple[str, str]], earliest: tuple[int, int]) -> dict[str, Column]:
-    """What the description alone says; all null without one."""
+def read(df: DataFrame, text: str, earliest: tuple[int, int]) -> DataFrame:
+    """df with what takes long to find in a text, each in a column of its own so that it is found once."""
+    return df.withColumns({"_pay": X.posted_pay(F.col(text)), "_start": Q.start_signal(F.col(text), *earliest)})
+
+
+def from_text(text: Column, title: Column, tags: list[tuple[str, str]]) -> dict[str, Column]:
+    """What the description alone says; all null without one.  For rows that read() went over."""
     there = F.coalesce(F.length(text) > 0, F.lit(False))
-    pay, start = X.posted_pay(text), Q.start_signal(text, *earliest)
+    pay, start = F.col("_pay"), F.col("_start")
     out = {
         "requires_clearance": Q.needs_clearance(text),
         "requires_advanced_degree": Q.needs_degree(text, title),
@@ -54,8 +59,8 @@ def built(
     out = rows.withColumns({"title": title, "title_normalized": T.title_key(title), "description_fetched": F.coalesce(F.length("description") > 0, F.lit(False))})
     out = out.withColumns({"role_family": T.first_rule(F.col("title"), families, "unknown"), "seniority": T.first_rule(F.col("title"), levels, "unknown"), "_places": F.transform(P.apart(F.col("places")), lambda x: P.place(x, known))})
     out = out.withColumn("_together", P.together(F.col("_places"), known))
-    said = from_text(F.col("description"), F.col("title"), tags, earliest)
-    out = out.withColumns({f"_{name}": c for name, c in said.items()})
+    said = from_text(F.col("description"), F.col("title"), tags)
+    out = read(out, "description", earliest).withColumns({f"_{name}": c for name, c in said.items()})
     stated = F.coalesce(F.col("pay_min"), F.col("pay_max")).isNotNull()
     by_year = lambda c: T.annual(F.col(c), F.coalesce("pay_interval", F.lit("year")))
     beginners = X.for_beginners(F.col("title"))
@@ -91,16 +96,16 @@ def built(
         }
     )
     seen = F.to_json(F.struct("title", "metros", F.substring("description", 1, 20_000).alias("description"), "base_posted_min", "base_posted_max", "employment_type", "deadline", "apply_url"))
-    return out.withColumn("content_hash", F.sha2(seen, 256)).drop("_places", "_together", *(f"_{n}" for n in said))
+    return out.withColumn("content_hash", F.sha2(seen, 256)).drop("_places", "_together", "_pay", "_start", *(f"_{n}" for n in said))
 
 
 def backfilled(rows: DataFrame, texts: DataFrame, key: str, tags: list[tuple[str, str]], earliest: tuple[int, int]) -> DataFrame:
     """rows with what a description that came later (key, text) says: the GUARDED columns only where they are
     null, the others by the text.  Rows without a new text stay as they are."""
-    names = [n for n in from_text(F.lit(""), F.lit(""), tags, earliest) if n in rows.columns]
+    names = [n for n in from_text(F.lit(""), F.lit(""), tags) if n in rows.columns]
     new = texts.select(F.col(key).alias("_key"), F.col("text").alias("_text")).where("length(_text) > 0").dropDuplicates(["_key"])
-    both = rows.join(new, rows[key] == F.col("_key"), "left")
-    said = from_text(F.col("_text"), F.col("title"), tags, earliest)
+    both = read(rows.join(new, rows[key] == F.col("_key"), "left"), "_text", earliest)
+    said = from_text(F.col("_text"), F.col("title"), tags)
     fresh = both.withColumns({f"_new_{n}": said[n] for n in names})
     there = F.col("_key").isNotNull()
     columns = {n: F.coalesce(n, f"_new_{n}") if n in GUARDED else F.when(there, F.col(f"_new_{n}")).otherwise(F.col(n)) for n in names}
