@@ -1,9 +1,10 @@
 """Words, n-grams and context-chosen anchors of many texts at once, in numpy.
 
 Words are the runs of bytes other than space and 0x09-0x0D, which is how ``bytes.split()`` and the
-pattern ``[^\\x20\\x09-\\x0D]+`` cut a text.  Hashes are polynomials modulo 2**64 over random
-values of the bytes, passed through a 64-bit finaliser; all of it is a fixed rule, so any task on
-any machine computes the same values.
+pattern ``[^\\x20\\x09-\\x0D]+`` cut a text.  Hashes are two polynomials modulo the prime 2**31 - 1, with bases
+of their own, over random values of the bytes, passed together through a 64-bit finaliser.  (Modulo a
+power of two, strings such as Thue and Morse's collide under every base.)  All of it is a fixed
+rule, so any task on any machine, and any retry, computes the same values.
 """
 
 from __future__ import annotations
@@ -32,33 +33,70 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+P, HALF = U((1 << 31) - 1), U(31)
+#: Bases of the two polynomials.
+BASES = (1_105_250_839, 1_836_311_903)
+LENGTH = U(0xD6E8FEB86659FD93)
+
+_powers = [np.ones(1, np.uint32) for _ in range(4)]
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """x modulo P, not fully: below 2**33 of any x, below 2**32 of a product of two."""
+    return (x & P) + (x >> HALF)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo P."""
+    x = folded(folded(x))
+    return np.where(x >= P, x - P, x)
 
 
 def powers(n: int) -> list[np.ndarray]:
-    """BASE**i and its inverse for i < n at least."""
+    """For i < n at least, each base to the i, then the inverse of each."""
     if len(_powers[0]) < n:
         n = max(n, 1 << 20)
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            x = np.full(n, base, U)
+        for k, base in enumerate((*BASES, *(pow(b, -1, int(P)) for b in BASES))):
+            x, have = np.empty(n, np.uint32), 1
             x[0] = 1
-            _powers[k] = np.cumprod(x)
+            while have < n:
+                more = min(have, n - have)
+                x[have : have + more] = reduced(x[:more].astype(U) * U(pow(base, have, int(P))))
+                have += more
+            _powers[k] = x
     return _powers
 
 
 def sums(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values * BASE**i, from 0."""
-    out = np.empty(len(values) + 1, U)
-    out[0] = 0
-    np.cumsum(values * powers(len(values))[0][: len(values)], out=out[1:])
+    """For both polynomials, prefix sums from 0; the first takes the low 31 bits of the values, the second the next."""
+    out, n = np.zeros((2, len(values) + 1), U), len(values)
+    for k in range(2):
+        own = values & P if k == 0 else (values >> HALF) & P
+        np.cumsum(folded(own * powers(n)[k][:n]), out=out[k, 1:])
     return out
 
 
+def settled(between: list[np.ndarray], inverse: list[np.ndarray], length) -> np.ndarray:
+    """The hash of a span from its two sums, the inverses of the powers where it starts, and its length."""
+    low, high = (reduced(folded(folded(b)) * i) for b, i in zip(between, inverse))
+    return mix((low | (high << U(32))) + length * LENGTH)
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of values[start:end], the same wherever the values stand."""
     if not len(start):
         return np.zeros(0, U)
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+    inverse = powers(prefix.shape[1])[2:]
+    return settled([x[end] - x[start] for x in prefix], [x[start] for x in inverse], (end - start).astype(U))
+
+
+def run_hashes(prefix: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k consecutive values."""
+    n = prefix.shape[1] - k
+    if n <= 0:
+        return np.zeros(0, U)
+    inverse = powers(prefix.shape[1])[2:]
+    return settled([x[k:] - x[:-k] for x in prefix], [x[:n] for x in inverse], np.array([k], U))
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +139,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive values; those that cross texts are for the caller to leave out."""
-    at = np.arange(max(0, len(values) - k + 1))
-    return span_hash(sums(values), at, at + k)
+    return run_hashes(sums(values), k)
 
 
 def window_min(keys: np.ndarray, w: int) -> np.ndarray:

@@ -8,10 +8,12 @@
    cannot have a link.  This drops most documents before any list is formed.
 4. The remaining documents meet on the n-grams of their prefixes.  Pairs are kept if they pass the
    length, the positional and the suffix filter (overlap of histograms over parts of the hash
-   range; parts that are full in both sets pass).  A list longer than longest_list is not expanded: its documents are only put in one group.
+   range; parts that are full in both sets pass).  Pairs that a list has in one group already are
+   left out, so a list of many copies costs about its length.
 5. Groups, the components of those pairs, are verified exactly: whole sets meet by group, and
    every pair of a group is counted once by matrix product.  A group larger than block is cut in
-   blocks, and each pair of blocks is a task of its own, so no task holds a large group.
+   blocks, and each block, and each pair of blocks, is counted for itself (of two blocks only the
+   pairs across), so no task holds a large group.
 
 Null and empty texts and texts without words have no n-grams, link with nothing and are their own
 component; a text with fewer words than n has its whole sequence as its only n-gram; of rows that
@@ -35,6 +37,8 @@ U = np.uint64
 #: n-grams in the table of frequent ones, and those that a chunk names for it.
 FREQUENT, NAMED = 1 << 16, 1 << 12
 PARTS = 32
+#: Lists up to here are expanded many at once, longer ones one by one, with the same filters.
+SHORT = 64
 PART_BYTES = 1 << 20
 #: A histogram counts to here; a part of the hash range where a set has as many or more n-grams is full.
 FULL = 65535
@@ -112,36 +116,60 @@ def may_share(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
     return (both.sum(1, dtype=np.int64) >= least) | (both == FULL).any(1)
 
 
-def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Which pairs of the sets have intersection / union >= num / den, by matrix product."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    often = count > 1
-    number = np.cumsum(often) - 1
-    row, column = row[often[column]], number[column[often[column]]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for c in range(0, int(often.sum()), 2048):
-        a, b = np.searchsorted(column, (c, c + 2048))
-        m = np.zeros((len(sets), 2048), np.float32)
-        m[row[a:b], column[a:b] - c] = 1
-        both += m @ m.T
-    both = np.rint(both).astype(np.int64)
-    return den * both >= num * (sizes[:, None] + sizes[None, :] - both)
-
-
-def least_labels(link: np.ndarray, label: np.ndarray) -> np.ndarray:
+def linked(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which pairs of a set on the left and one on the right have intersection / union >= num / den, by
+    matrix product.  A product of 2048 columns is exact in 32 bits, their sum is kept in 64."""
+    sizes = [np.array([len(s) for s in side], np.int64) for side in (left, right)]
+    known, column = np.unique(np.concatenate(left + right), return_inverse=True)
+    at, own = np.cumsum(sizes[0])[-1], np.zeros((2, len(known)), bool)
+    own[0, column[:at]] = own[1, column[at:]] = True
+    both = own.all(0)
+    number = np.cumsum(both) - 1
+    sides = []
+    for side, c in zip(sizes, (column[:at], column[at:])):
+        row, shared = np.repeat(np.arange(len(side)), side), both[c]
+        row, c = row[shared], number[c[shared]]
+        order = np.argsort(c, kind="stable")
+        sides.append((row[order], c[order]))
+    count = np.zeros((len(left), len(right)))
+    for c in range(0, int(both.sum()), 2048):
+        m = []
+        for size, (row, column) in zip(sizes, sides):
+            a, b = np.searchsorted(column, (c, c + 2048))
+            m.append(np.zeros((len(size), 2048), np.float32))
+            m[-1][row[a:b], column[a:b] - c] = 1
+        count += m[0] @ m[1].T
+    count = count.astype(np.int64)
+    return den * count >= num * (sizes[0][:, None] + sizes[1][None, :] - count)
+
+
+def least_labels(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least label that each on the left and on the right reaches over these links."""
+    most = np.iinfo(np.int64).max
     while True:
-        lower = np.where(link, label[None, :], np.iinfo(np.int64).max).min(1)
-        lower = np.minimum(lower, label)
-        if (lower == label).all():
-            return label
-        label = lower
-
-
-def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", longest_list: int = 64, block: int = 768) -> DataFrame:
+        lower = np.minimum(right, np.where(link, left[:, None], most).min(0))
+        other = np.minimum(left, np.where(link, lower[None, :], most).min(1))
+        if (lower == right).all() and (other == left).all():
+            return left, right
+        left, right = other, lower
+
+
+def passing(members: int, passes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Pairs of a list's members (by size) that join all it has to pass(places, other places): each
+    member in turn against those after it that are not in its group yet."""
+    group, a, b = np.arange(members), [], []
+    for x in range(members):
+        y = np.flatnonzero(group[x + 1 :] != group[x]) + x + 1
+        if len(y):
+            y = y[passes(np.full(len(y), x), y)]
+            if len(y):
+                group[np.isin(group, group[y])] = group[x]
+                a.append(np.full(len(y), x))
+                b.append(y)
+    return a, b
+
+
+def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 768) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable over links, where two
     documents link if den * |intersection| >= num * |union| of their sets of word n-grams."""
     spark = docs.sparkSession
@@ -249,20 +277,26 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
         edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
         length = np.diff(edge)
         start, of = np.repeat(edge[:-1], length), np.repeat(length, length)
-        rank = np.where(of <= longest_list, np.arange(len(token)) - start, 0)
-        a, b = [], []
-        for x, y in pairs_below(rank, start, 0, 1 << 18):
+
+        def passes(x, y):
+            x, y = np.maximum(x, y), np.minimum(x, y)  # x is the larger set
             least = -(-num * (size[x] + size[y]) // (num + den))
             ok = need(size[x]) <= size[y]
             ok &= np.minimum(place[x], place[y]) + 1 + np.minimum(size[x] - place[x], size[y] - place[y]) - 1 >= least
-            x, y, least = x[ok], y[ok], least[ok]
-            ok = may_share(parts[x], parts[y], least)
+            ok[ok] = may_share(parts[x[ok]], parts[y[ok]], least[ok])
+            return ok
+
+        rank = np.where(of <= SHORT, np.arange(len(token)) - start, 0)
+        a, b = [], []
+        for x, y in pairs_below(rank, start, 0, 1 << 18):
+            ok = passes(x, y)
             a.append(doc[x[ok]])
             b.append(doc[y[ok]])
-        long = of > longest_list
-        a.append(doc[long])
-        b.append(doc[start[long]])
-        v, root = forest(*(np.concatenate(x) for x in (a, b)))
+        for at, members in zip(edge[:-1][length > SHORT].tolist(), length[length > SHORT].tolist()):
+            x, y = passing(members, lambda x, y, at=at: passes(x + at, y + at))
+            a += [doc[v + at] for v in x]
+            b += [doc[v + at] for v in y]
+        v, root = forest(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)))
         apart = [(x, y) for x, y in zip(v, root) if x != y]
         return pa.table({"a": pa.array([x for x, _ in apart], pa.int64()), "b": pa.array([y for _, y in apart], pa.int64())})
 
@@ -282,7 +316,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
                     group, k = where[d]
                     own = int(g.mix(np.array([d], np.int64).view(U))[0] % U(k))
                     for other in range(k):
-                        sent.setdefault((group, min(own, other), max(own, other)), []).append((d, s.token[s.start[i] : s.start[i] + s.size[i]]))
+                        sent.setdefault((group, min(own, other), max(own, other)), []).append((own, d, s.token[s.start[i] : s.start[i] + s.size[i]]))
         if not sent:
             return messages([])
         keys = list(sent)
@@ -290,16 +324,18 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
         return messages([message(chunk, b, [(keys[i], sent[keys[i]]) for i in x]) for b, x in by_bucket(mixed, buckets)])
 
     def verified(bucket, table):
-        groups: dict[tuple[int, int, int], dict] = {}
+        groups: dict[tuple[int, int, int], dict[int, dict]] = {}
         for _, body in bodies(table):
             for key, members in body:
-                groups.setdefault(key, {}).update(members)
+                for own, d, tokens in members:
+                    groups.setdefault(key, {}).setdefault(own, {})[d] = tokens
         out = []
-        for (_, i, j), members in sorted(groups.items()):
-            ids = np.array(sorted(members), np.int64)
-            if len(ids) > 1:
-                label = least_labels(linked([members[d] for d in ids.tolist()], num, den), ids)
-                out += [(a, b) for a, b in zip(ids.tolist(), label.tolist()) if a != b]
+        for (_, i, j), blocks in sorted(groups.items()):
+            left, right = (sorted(blocks.get(x, {})) for x in (i, j))
+            if len(left) and len(right) and (i != j or len(left) > 1):
+                link = linked([blocks[i][d] for d in left], [blocks[j][d] for d in right], num, den)
+                labels = least_labels(link, np.array(left, np.int64), np.array(right, np.int64))
+                out += [(a, b) for a, b in zip(left + right, np.concatenate(labels).tolist()) if a != b]
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 

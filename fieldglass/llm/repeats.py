@@ -13,6 +13,7 @@ same distance from equal anchors, so comparing regions by (doc_id, start) compar
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +44,21 @@ class Part:
             self.bounds = offsets
             self.values = g.BYTES[data]
         self.prefix = g.sums(self.values)
-        at = np.arange(max(0, len(self.values) - plan.gram + 1))
-        self.anchor, self.first, self.last = g.anchors(g.span_hash(self.prefix, at, at + plan.gram), self.bounds, plan.window, plan.gram)
+        self.anchor, self.first, self.last = g.anchors(g.run_hashes(self.prefix, plan.gram), self.bounds, plan.window, plan.gram)
         self.key = g.span_hash(self.prefix, self.anchor, self.anchor + plan.gram)
 
     def content(self, plan: Plan, which: np.ndarray) -> np.ndarray:
-        """Hash of each region's values and of the place of its anchor."""
-        first, last = self.first[which], self.last[which]
-        return g.mix(g.span_hash(self.prefix, first, last + plan.window) ^ g.mix((self.anchor[which] - first).astype(U)))
+        """Digest of each region's bytes (words: joined by a space) and of the place of its anchor.
+        Regions of equal digests are taken to be equal, so it is a cryptographic one."""
+        first, end = self.first[which], self.last[which] + plan.window
+        place = (self.anchor[which] - first).tolist()
+        if plan.unit == "word":
+            first, end = self.starts[first], self.ends[end - 1]
+        whole, out = self.data.tobytes(), []
+        for a, b, p in zip(first.tolist(), end.tolist(), place):
+            own = b" ".join(whole[a:b].split()) if plan.unit == "word" else whole[a:b]
+            out.append(blake2b(own, digest_size=8, person=p.to_bytes(16, "little")).digest())
+        return np.frombuffer(b"".join(out), U)
 
     def doc(self, which: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, self.first[which], "right") - 1

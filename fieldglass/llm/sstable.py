@@ -11,7 +11,8 @@ A shard holds documents in ascending order of id.  Layout, all numbers little-en
     footer   FOOTER: places of index and filter, numbers of blocks, documents and ids, width, magic
 
 Ids take 2 bytes where the vocabulary allows, else 4.  Texts are encoded where they lie; only doc_ids
-and packed ids are shuffled, once, to ranges cut at percentiles of doc_id.
+and packed ids are shuffled, once, to ranges cut by a sample of doc_ids of bounded size; a range fills
+as many shards as it needs, so the plan and what the driver holds do not grow with their number.
 
 Repeated doc_ids are entries of their own, ordered by the crc32 of their packed ids; an id so frequent
 that several cuts fall on it fills several shards.  Rows without a doc_id are left out; null
@@ -38,7 +39,9 @@ from .tokens import default_tokenizer, encoded_flat, largest_id, library_words
 BLOCK_BYTES, BITS, HASHES = 1 << 16, 10, 7
 FOOTER = struct.Struct("<QQQQQQB7s")
 MAGIC = b"FGSST01"
-SHARDS = "shard int, path string, first long, last long, documents long, tokens long, bytes long"
+#: Ids in the sample that ranges are cut by, ranges at most, and bytes after which a range goes on in another shard.
+SAMPLE, MOST_RANGES, SHARD_BYTES = 1 << 17, 1 << 16, 64 << 20
+SHARDS = "shard long, path string, first long, last long, documents long, tokens long, bytes long"
 
 
 def key_of(doc_id: int) -> bytes:
@@ -166,6 +169,15 @@ class Shard:
         return out
 
 
+def id_cuts(rows: DataFrame, parts: int) -> np.ndarray:
+    """parts - 1 ids at about equal shares of the rows, from a sample of some SAMPLE ids."""
+    if parts == 1 or not (n := rows.count()):
+        return np.zeros(0, np.int64)
+    some = rows.select("doc_id") if n <= SAMPLE else rows.select("doc_id").sample(SAMPLE / n, seed=7)
+    ids = np.sort(some.toPandas()["doc_id"].to_numpy(np.int64))
+    return ids[np.arange(1, parts) * len(ids) // parts] if len(ids) else ids
+
+
 def write_shards(docs: DataFrame, tokenizer: str | None = None, end: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text, appends the end id and writes shards that follow each other in doc_id.
     Returns one row a shard, with the number of ids in the shards before it (start)."""
@@ -173,10 +185,9 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end: int = 2, fo
 
     width = 2 if max(largest_id(path), end) < 1 << 16 else 4
 
-    parts = partitions_for(docs, text_col)
+    parts = min(partitions_for(docs, text_col), MOST_RANGES)
     rows = by_id(docs, id_col, text_col)
-    shares = F.array(*(F.lit(k / parts) for k in range(1, parts)))
-    cuts = np.array((rows.agg(F.percentile_approx("doc_id", shares, 10 * parts)).first()[0] if parts > 1 else None) or [], np.int64)
+    cuts = id_cuts(rows, parts)
 
     def encode(batches):
         words = library_words(path)
@@ -192,18 +203,19 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end: int = 2, fo
 
     def write(batches):
         out = None
-        shard = first = last = None
+        shard = first = last = number = None
 
         def finished():
             size = out.close()
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), *(pa.array([x], pa.int64()) for x in (first, last, len(out.ids), out.tokens, size))], [f.split()[0] for f in SHARDS.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([shard << 32 | number], pa.int64()), pa.array([uri]), *(pa.array([x], pa.int64()) for x in (first, last, len(out.ids), out.tokens, size))], [f.split()[0] for f in SHARDS.split(", ")])
 
         for batch in batches:
             for part, d, x in zip(batch["part"].to_pylist(), batch["doc_id"].to_pylist(), batch["ids"]):
-                if part != shard:
+                if part != shard or out.at >= SHARD_BYTES:
                     if out is not None:
                         yield finished()
                     uri = files.new_file(folder, ".sst")
+                    number = number + 1 if part == shard else 0
                     out, shard, first = ShardWriter(files.writer(uri), width), part, d
                 out.add(d, np.frombuffer(x.as_buffer(), f"<u{width}"))
                 last = d

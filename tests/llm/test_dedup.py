@@ -5,8 +5,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from fieldglass.llm.ngram_join import histograms, may_share, ngram_join
+from fieldglass.llm import grams as g
+from fieldglass.llm import ngram_join as ngram
+from fieldglass.llm.ngram_join import histograms, may_share, ngram_join, passing
+from fieldglass.llm.quality import judge
+from fieldglass.llm.staging import size_of, stage
 from fieldglass.llm.substring_dedup import Automaton, dedup_substrings
 from fieldglass.llm.suffix_dedup import common, dedup_byte_substrings, front_coded, decoded, merge
 
@@ -29,8 +34,6 @@ def passages(seed, docs=80):
 
 
 def frame(spark, rows):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(rows, "doc_id long, text string")
     return df.withColumn("chunk", F.lit(1)).withColumn("bucket", F.lit("x")).withColumn("body", F.lit(None).cast("string"))
 
@@ -149,10 +152,11 @@ def brute_join(rows, n, num):
     return {d: (len(sets[d]), label[d]) for d in ids}
 
 
-@pytest.mark.parametrize(("n", "num", "longest", "block"), [(3, 90, 64, 768), (5, 80, 64, 768), (3, 90, 4, 12)])
-def test_join(spark, n, num, longest, block):
+@pytest.mark.parametrize(("n", "num", "short", "block"), [(3, 90, 64, 768), (5, 80, 64, 768), (3, 90, 4, 12)])
+def test_join(spark, monkeypatch, n, num, short, block):
+    monkeypatch.setattr(ngram, "SHORT", short)  # reaches the tasks with the function that names it
     rows = near_copies()
-    got = ngram_join(frame(spark, rows), n, num, 100, longest_list=longest, block=block).collect()
+    got = ngram_join(frame(spark, rows), n, num, 100, block=block).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_join(rows, n, num)
 
 
@@ -179,3 +183,64 @@ def test_join_of_loose_sets(spark, num):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(frame(spark, rows), 3, num, 100).collect()}
     assert got == brute_join(rows, 3, num)
     assert got[2] == (5, 1)  # 5 of 10 n-grams
+
+
+def test_pairs_of_a_list_join_what_passes():
+    rng = random.Random(9)
+    for _ in range(50):
+        n = rng.randrange(1, 40)
+        near = {(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < rng.choice([0.02, 0.1, 0.9])}
+        a, b = passing(n, lambda x, y: np.array([(i, j) in near for i, j in zip(x.tolist(), y.tolist())]))
+        pairs = list(zip(np.concatenate(a).tolist(), np.concatenate(b).tolist())) if a else []
+        assert set(pairs) <= near
+        of = {v: v for v in range(n)}, {v: v for v in range(n)}
+        for label, links in zip(of, (near, pairs)):
+            for _ in range(n):
+                for x, y in links:
+                    label[x] = label[y] = min(label[x], label[y])
+        assert of[0] == of[1]
+
+
+def thue_morse():
+    """Two strings of 1024 letters that collide under every polynomial modulo 2**64."""
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_whose_polynomials_collide(spark):
+    x, y = thue_morse()
+    head = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{head} {x}"), (2, f"{head} {y}"), (3, f"{x}\n{y}\n{x}")]
+    assert {r.doc_id: r.n_removed for r in dedup_substrings(frame(spark, rows)).collect()} == {1: 0, 2: 0, 3: 0}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(frame(spark, rows)).collect()} == {1: (18, 1), 2: (18, 2), 3: (1, 3)}
+    assert {r.doc_id: r.n_removed for r in dedup_byte_substrings(frame(spark, [(1, x), (2, y)]), 1024).collect()} == {1: 0, 2: 0}
+    got = {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in judge(frame(spark, [*rows, (4, f"{head} {x} {head} {y}")]).withColumn("lang", F.lit("en"))).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (1, 0), 4: (0, 38)}
+
+
+def test_hashes_are_those_of_the_spans():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 2**63, 3000, np.uint64)
+    values = np.r_[values, values[100:900]]
+    prefix = g.sums(values)
+    start, length = rng.integers(0, 2000, 500), rng.integers(0, 900, 500)
+    assert (g.span_hash(prefix, start, start + length) == [plain_hash(values[a : a + n].tolist()) for a, n in zip(start.tolist(), length.tolist())]).all()
+    assert (g.run_hashes(prefix, 7)[[5, 3001]] == [plain_hash(values[5:12].tolist()), plain_hash(values[3001:3008].tolist())]).all()
+    assert g.run_hashes(prefix, 9000).size == 0 == g.span_hash(prefix, start[:0], start[:0]).size
+
+
+def plain_hash(values):
+    p = 2**31 - 1
+    low, high = (sum((v >> 31 * k) % 2**31 * pow(b, i, p) for i, v in enumerate(values)) % p for k, b in enumerate(g.BASES))
+    return int(g.mix(np.array([((low | high << 32) + len(values) * int(g.LENGTH)) % 2**64], np.uint64))[0])
+
+
+def test_size_follows_the_texts(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    joined = docs.join(labels, "doc_id", "left").join(labels.select("doc_id", F.col("toxic").alias("t")), "doc_id", "left")
+    assert stage(joined)[1:] == stage(docs)[1:]
+    assert size_of(joined) == size_of(docs) > 0 == size_of(docs.limit(0))
+    one = ngram_join(joined).orderBy("doc_id").collect()
+    assert one == ngram_join(docs).orderBy("doc_id").collect()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 from fieldglass.llm import queries as q  # noqa: E402
+from fieldglass.llm import sstable  # noqa: E402
 from fieldglass.llm.ann import nearest  # noqa: E402
 from fieldglass.llm.bpe import bpe_round_trip  # noqa: E402
 from fieldglass.llm.packing import pack  # noqa: E402
@@ -280,6 +281,27 @@ def test_repeated_and_missing_ids(spark):
     assert sorted((r.doc_id, r.n_email, r.spans[0].start) for r in spans) == [(1, 1, 0), (1, 1, 3)]
 
 
+def test_ranges_go_on_in_further_shards(spark, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 1)  # a shard a block
+    monkeypatch.setattr(sstable, "SAMPLE", 50)
+    docs = spark.range(400).selectExpr("id * 3 AS doc_id", "concat(repeat('some words ', 600), id) AS text")
+    shards = write_shards(docs)
+    held = shards.orderBy("shard").collect()
+    assert len(held) > 8 and all(a["last"] < b["first"] for a, b in zip(held, held[1:]))
+    rows = sorted(read_shards(shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == list(range(0, 1200, 3))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
+    asked = spark.createDataFrame([(0,), (597,), (1197,), (4,)], "doc_id long")
+    assert sorted(r.doc_id for r in lookup(shards, asked).collect()) == [0, 597, 1197]
+
+
+def test_cuts_follow_a_bounded_sample(spark):
+    rows = spark.range(300_000).selectExpr("id AS doc_id")
+    cuts = sstable.id_cuts(rows, 16)
+    assert len(cuts) == 15 and all(abs(c - 300_000 * (k + 1) / 16) < 3000 for k, c in enumerate(cuts))
+    assert sstable.id_cuts(rows.limit(0), 16).size == 0
+
+
 def test_one_id_over_several_shards(spark):
     df = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text")).unionByName(spark.range(100).select((F.col("id") * 3).alias("doc_id"), F.lit("x").alias("text")))
     shards = write_shards(df)
