@@ -5,23 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the folder that the cluster shares and read back: cuts the lineage and survives
-    lost executors.  Where spark.checkpoint.dir is unset, a folder of our own in local mode, else an error."""
-    spark = df.sparkSession
+def folder_for(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares.  Where spark.checkpoint.dir is unset, a folder of
+    our own in local mode, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that they share")
         folder = "file://" + tempfile.mkdtemp(prefix="fieldglass-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
+    path = folder_for(df.sparkSession, "stored")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def placed(df: DataFrame, keys: list[str], order: list[Column], place: str = "_i", size: str = "_n") -> DataFrame:
