@@ -13,7 +13,7 @@ from ..operators import views as V
 from ..operators.predicates import Field, Fields, all_of, any_of, mentions, negate
 from ..sources import payloads as P
 from ..streaming import capture as C
-from . import cycles, intake, reads, rules, scored, stores, tracking
+from . import cycles, fits, intake, reads, rules, scored, stores, tracking
 
 FLAGSHIP = "facets_one_pass"
 _QUERIES: dict = {}
@@ -278,8 +278,8 @@ def activity_span(spark, d):
 
 
 def queries() -> dict:
-    return {**_QUERIES, **scored.QUERIES, **intake.QUERIES, **rules.QUERIES, **tracking.QUERIES, **reads.QUERIES, **cycles.QUERIES, **stores.QUERIES}
+    return {**_QUERIES, **scored.QUERIES, **intake.QUERIES, **rules.QUERIES, **tracking.QUERIES, **reads.QUERIES, **cycles.QUERIES, **stores.QUERIES, **fits.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_SQL, **scored.SQL, **intake.SQL, **rules.SQL, **tracking.SQL, **reads.SQL, **cycles.SQL, **stores.SQL}
+    return {**_SQL, **scored.SQL, **intake.SQL, **rules.SQL, **tracking.SQL, **reads.SQL, **cycles.SQL, **stores.SQL, **fits.SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import posting_index as I
 from ..operators.ranges import folder_for
 from ..sources import stored as P
 from ..streaming import timers as M
@@ -144,3 +145,25 @@ def emitted_once(spark, d):
     low, high = (r for r in e.select(F.percentile_approx("at", [0.4, 0.7]).alias("p")).first()["p"])
     got = in_waves(spark, e, "once", F.when(F.col("at") <= F.lit(low), 0).when(F.col("at") <= F.lit(high), 1).otherwise(2), 3, lambda s: M.keyed(s, M.EmitOnce()))
     return got.select("key", "tier", F.col("at").cast("timestamp_ntz").alias("at"), "id")
+
+
+SEARCHES = {"both": "tions Thing", "caps": "HANDED onsh", "one": "hand", "run": "handing.onshes", "none": "  "}
+_ENDS = "(s|e|es|ed|ing|ings)?"
+_NOW = "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN coalesce(text, '') || ' handing onshes' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7 UNION ALL SELECT doc_id + 50000000, 'a new thing: tions' FROM documents WHERE doc_id % 20 = 9"
+
+
+@query(
+    f"WITH n AS ({_NOW}), w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+') AS w FROM n), h AS (SELECT doc_id, list_transform(w, lambda x: CASE WHEN regexp_full_match(x, 'tion{_ENDS}') THEN 't' WHEN regexp_full_match(x, 'thing{_ENDS}') THEN 'g' WHEN regexp_full_match(x, 'hand{_ENDS}') THEN 'h' WHEN regexp_full_match(x, 'onsh{_ENDS}') THEN 'o' ELSE '-' END) AS k FROM w) "
+    "SELECT unnest(list_filter([CASE WHEN list_has_all(k, ['t', 'g']) THEN 'both' END, CASE WHEN list_has_all(k, ['h', 'o']) THEN 'caps' END, CASE WHEN list_contains(k, 'h') THEN 'one' END, CASE WHEN contains(array_to_string(k, ''), 'ho') THEN 'run' END], lambda x: x IS NOT NULL)) AS query, doc_id FROM h"
+)
+def stemmed_search(spark, d):
+    """An index of all documents, then a generation of changes: texts that gain words, documents that go, and new ones."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    path, k = folder_for(spark, "index"), F.col("doc_id") % 10
+    I.write_generation(docs.select("doc_id", F.lit(None).cast("string").alias("old"), F.col("text").alias("new")), path, 0)
+    longer = F.concat(F.coalesce("text", F.lit("")), F.lit(" handing onshes"))
+    changed = docs.where(k.isin(3, 7)).select("doc_id", F.col("text").alias("old"), F.when(k == 3, longer).alias("new"))
+    added = docs.where("doc_id % 20 = 9").select((F.col("doc_id") + 50_000_000).alias("doc_id"), F.lit(None).cast("string").alias("old"), F.lit("a new thing: tions").alias("new"))
+    I.write_generation(changed.unionByName(added), path, 1)
+    now = docs.where(k != 7).select("doc_id", F.when(k == 3, longer).otherwise(F.col("text")).alias("text")).unionByName(added.select("doc_id", F.col("new").alias("text")))
+    return I.search(spark, path, SEARCHES, now)
