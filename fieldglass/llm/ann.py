@@ -3,14 +3,16 @@
 Centroids come from balanced bisection of a bounded sample (SAMPLE_BYTES); every vector is indexed.
 A vector goes to the lists of its nearest centroids, found by a beam search of a graph over the
 centroids in memory: to the nearest, and as a boundary vector to further ones within REPLICATE of
-its distance, unless a chosen centroid lies nearer to them than the vector does.  Lists larger than
-LIST vectors are cut into sublists, so no task holds a large list.  A query first takes the lists
-whose centroids lie within PRUNE of its nearest centroid's distance, LISTS of them at most.  What
-it finds there is only a bound: then it takes every other vector (once, from the list of its nearest
-centroid) that the bound does not rule out, so the result is exact.  A list is ruled out if by the
-triangle inequality of angles, with the list's widest angle, nothing in it can be as near as the
-(k + 1)-th found.  On vectors without clusters that rules out little, and the work is that of
-comparing all queries with all vectors, in blocks of BLOCK_BYTES.
+its distance, unless a chosen centroid lies nearer to them than the vector does.  A query asks the
+lists whose centroids lie within PRUNE of its nearest centroid's distance, however many that are (where
+that are more than the beam, all centroids are compared instead).  Lists of over LIST vectors are cut
+in sublists and the queries of a list in shares, so a task compares a bounded number of both.
+
+What the lists do not hold is not found.  Recall of the 5 nearest, every fiftieth vector asked, is in
+the README; on vectors without clusters a large part of the lists lies within the ratio, on clustered
+ones a few hundredths.  A query that finds fewer than k others there, and with ``exact`` every query,
+goes on to the lists that the bound found so far does not rule out: if by the triangle inequality of
+angles, with the list's widest angle, nothing in it can be as near as the (k + 1)-th found.
 
 Equal vectors are one vector with its k + 1 smallest ids: no other of them can be among the k
 nearest of any query.  Ties go to the smaller id.  Vectors that are null, empty, zero, of another
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from .staging import saved
 
 SAMPLE_BYTES, CENTROIDS, LIST = 16 << 20, 4096, 512
-REPLICATE, COPIES, PRUNE, LISTS, BEAM, DEGREE = 1.15, 4, 1.4, 112, 128, 16
+REPLICATE, COPIES, PRUNE, BEAM, DEGREE = 1.15, 4, 1.4, 128, 16
+#: Queries of a list that meet a sublist in one task.
+QUERIES = 8192
 #: Bytes of vectors, and of queries, that meet in one task of the exact pass; what angles and scores may be off by rounding.
 BLOCK_BYTES, ROUNDING = 8 << 20, 1e-6
 
@@ -129,6 +133,23 @@ def blocks_of(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
+def within(centroids: Centroids, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, centroid) of the centroids within ratio of the distance of each row's nearest.  Rows for which
+    the whole beam is as near are compared with all centroids."""
+    ids, sims = centroids.search(x)
+    d = distance(sims)
+    hit = d <= ratio * d[:, :1] + 1e-6
+    row, col = np.nonzero(hit)
+    full = np.flatnonzero(hit.all(1)) if ids.shape[1] < len(centroids.points) else np.zeros(0, np.int64)
+    some = ~np.isin(row, full)
+    row, near = row[some], ids[row[some], col[some]]
+    if len(full):
+        d = distance(x[full] @ centroids.points.T)
+        more, other = np.nonzero(d <= ratio * d.min(1, keepdims=True) + 1e-6)
+        row, near = np.r_[row, full[more]], np.r_[near, other]
+    return row, near
+
+
 def lists_of(centroids: Centroids, x: np.ndarray) -> list[list[int]]:
     """The lists that each vector is put in."""
     ids, sims = centroids.search(x, 4 * COPIES)
@@ -144,10 +165,9 @@ def lists_of(centroids: Centroids, x: np.ndarray) -> list[list[int]]:
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", list_size: int = 128, prune: float = PRUNE, most_lists: int = LISTS) -> DataFrame:
-    """query_id, rank, vec_id and score (cosine in double precision) of the k nearest vectors of
-    each query, itself not counted.  queries: rows of vectors, by id.  prune and most_lists say
-    what is looked at first; they change the work, not the result."""
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", list_size: int = 128, prune: float = PRUNE, exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id and score (cosine in double precision) of the k nearest vectors found for
+    each query, itself not counted.  queries: rows of vectors, by id."""
     spark = vectors.sparkSession
 
     def valid(batches):
@@ -217,23 +237,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 own = batch.slice(a, 1024)
-                ids, sims = shared.value.search(unit(matrix(own["v"].to_pylist())))
-                d = distance(sims)
-                row, col = np.nonzero((d <= prune * d[:, :1] + 1e-6) & (np.arange(ids.shape[1]) < most_lists))
-                near = ids[row, col]
-                row, near, sub = np.repeat(row, cuts[near]), np.repeat(near, cuts[near]), np.concatenate([np.arange(c) for c in cuts[near]]) if len(near) else near
+                row, near = within(shared.value, unit(matrix(own["v"].to_pylist())), prune)
                 out = own.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), pa.array(sub, pa.int32()), out["rep"], out["v"]], ["list", "sub", "rep", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), out["rep"], out["v"]], ["list", "rep", "v"])
 
     asked = pick(queries).mapInArrow(valid, "vec_id long, v binary").where(F.length("v") == width.w).select(F.col("vec_id").alias("query_id"), "v").distinct()
     asked = saved(asked.join(distinct.select("v", "rep"), "v"), "queries")
-    wanted = asked.groupBy("rep").agg(F.first("v").alias("v")).mapInArrow(ask, "list int, sub int, rep long, v binary")
-
-    def split(batches):
-        for batch in batches:
-            own = np.maximum(cuts[batch["list"].to_numpy()], 1)
-            mixed = (batch["rep"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            yield pa.RecordBatch.from_arrays([batch["list"], pa.array((mixed % own.astype(np.uint64)).astype(np.int32)), batch["rep"], batch["v"]], ["list", "sub", "rep", "v"])
+    wanted = saved(asked.groupBy("rep").agg(F.first("v").alias("v")).mapInArrow(ask, "list int, rep long, v binary"), "wanted")
+    shares_of = np.ones(lists, np.int64)  # of the queries of each list
+    for r in wanted.groupBy("list").count().collect():  # CENTROIDS rows at most
+        shares_of[r.list] = -(-r["count"] // QUERIES)
+
+    def dealt(of: np.ndarray, every: np.ndarray, queries: bool):
+        """Each row to one of its list's parts in ``of``, and to every one of its parts in ``every``."""
+
+        def run(batches):
+            for batch in batches:
+                at = batch["list"].to_numpy()
+                mixed = (batch["rep"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                one = (mixed % np.maximum(of[at], 1).astype(np.uint64)).astype(np.int32)
+                row = np.repeat(np.arange(len(at)), every[at])
+                other = np.concatenate([np.arange(c) for c in every[at]]).astype(np.int32) if len(row) else np.zeros(0, np.int32)
+                out = batch.take(pa.array(row))
+                sub, share = (other, one[row]) if queries else (one[row], other)
+                yield pa.RecordBatch.from_arrays([out["list"], pa.array(sub, pa.int32()), pa.array(share, pa.int32()), out["rep"], out["v"]], ["list", "sub", "share", "rep", "v"])
+
+        return run
 
     def score(key, q, v):
         if not len(q) or not len(v):
@@ -255,20 +284,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         query, rep, exact = (np.concatenate(z) for z in zip(*out))
         return pa.table({"query": pa.array(query, pa.int64()), "rep": pa.array(rep, pa.int64()), "score": pa.array(exact, pa.float64())})
 
-    vectors_by_list = posted.drop("off").mapInArrow(split, "list int, sub int, rep long, v binary")
-    scored = wanted.groupBy("list", "sub").cogroup(vectors_by_list.groupBy("list", "sub")).applyInArrow(score, "query long, rep long, score double")
+    met = "list int, sub int, share int, rep long, v binary"
+    to_ask = wanted.mapInArrow(dealt(shares_of, cuts, True), met)
+    listed = posted.drop("off").join(F.broadcast(wanted.select("list").distinct()), "list", "left_semi").mapInArrow(dealt(cuts, shares_of, False), met)  # CENTROIDS rows at most
+    scored = to_ask.groupBy("list", "sub", "share").cogroup(listed.groupBy("list", "sub", "share")).applyInArrow(score, "query long, rep long, score double")
 
     def top(found):
         found = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
         return found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1).drop("r")
 
+    def ranked(best):
+        found = best.join(distinct.select("rep", "ids"), "rep").groupBy("query").agg(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("i")))))).alias("near"))
+        other = F.slice(F.filter("near", lambda c: c["i"] != F.col("query_id")), 1, k)
+        rows = asked.join(found, asked.rep == found["query"]).select("query_id", F.posexplode(other).alias("p", "c"))
+        return rows.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("c.i").alias("vec_id"), (-F.col("c.s")).alias("score"))
+
     seen = saved(top(scored), "seen")
     bound = seen.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("query", F.when(F.col("n") > k, F.col("least")).alias("least"))
+    asking = asked.groupBy("rep").agg(F.first("v").alias("v"))
+    asking = asking.join(bound, asking.rep == bound["query"], "left").select("rep", "v", "least")
+    if not exact:
+        asking = saved(asking.where("least IS NULL"), "unsettled")
+        if asking.isEmpty():
+            return ranked(seen)
     held = {r.list: (r.n, r.off) for r in homes.groupBy("list").agg(F.count("*").alias("n"), F.max("off").alias("off")).collect()}  # CENTROIDS rows at most
     widest = np.array([held[i][1] if i in held else -np.inf for i in range(lists)])
     most_rows = max(LIST, BLOCK_BYTES // width.w)
     first, parts = blocks_of(np.array([held[i][0] if i in held else 0 for i in range(lists)], np.int64), most_rows)
-    asking = asked.groupBy("rep").agg(F.first("v").alias("v"))
     shares = max(1, -(-asking.count() // most_rows))
 
     def rest(batches):
@@ -288,8 +330,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
                 blocks = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(block, pa.int32()))
                 yield pa.RecordBatch.from_arrays([own["rep"], own["v"], pa.array(least), blocks], ["rep", "v", "least", "blocks"])
 
-    open_ = asking.join(bound, asking.rep == bound["query"], "left").select("rep", "v", "least")
-    open_ = saved(open_.mapInArrow(rest, "rep long, v binary, least double, blocks array<int>"), "open")
+    open_ = saved(asking.mapInArrow(rest, "rep long, v binary, least double, blocks array<int>"), "open")
     share = F.pmod(F.xxhash64("rep"), F.lit(shares)).cast("int").alias("share")
     sent = open_.select(F.explode("blocks").alias("block"), share, "rep", "v", "least")
 
@@ -327,8 +368,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         return pa.table({"query": pa.array(np.concatenate(query), pa.int64()), "rep": pa.array(np.concatenate(rep), pa.int64()), "score": pa.array(np.concatenate(score))})
 
     more = sent.groupBy("block", "share").cogroup(wide.groupBy("block", "share")).applyInArrow(nearer, "query long, rep long, score double")
-    best = top(seen.unionByName(more))
-    found = best.join(distinct.select("rep", "ids"), "rep").groupBy("query").agg(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("i")))))).alias("near"))
-    other = F.slice(F.filter("near", lambda c: c["i"] != F.col("query_id")), 1, k)
-    rows = asked.join(found, asked.rep == found["query"]).select("query_id", F.posexplode(other).alias("p", "c"))
-    return rows.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("c.i").alias("vec_id"), (-F.col("c.s")).alias("score"))
+    return ranked(top(seen.unionByName(more)))

@@ -7,10 +7,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass.llm import queries
+from fieldglass.llm import ann, queries
 from fieldglass.llm.ann import blocks_of, nearest
 from fieldglass.llm.pii import base_spans, luhn, personal_data, redacted, spans_text
 from fieldglass.llm.quality import judge
@@ -91,11 +92,49 @@ def test_neighbours_in_many_lists(spark, clusters):
     if clusters:
         x = (rng.normal(size=(clusters, 32))[rng.integers(clusters, size=4000)] + 0.05 * x).astype(np.float32).astype(float)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = nearest(df, df.where("vec_id % 20 = 0"), 5, list_size=6).collect()  # 666 lists
+    got = nearest(df, df.where("vec_id % 20 = 0"), 5, list_size=6, exact=True).collect()  # 666 lists
     assert {(r.query_id, r.vec_id) for r in got} == brute_neighbours(x, np.arange(0, 4000, 20), 5)
     assert len(got) == 200 * 5
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+@pytest.mark.parametrize("size", [2000, 8000, 20_000])
+def test_recall_of_the_lists_alone(spark, monkeypatch, clusters, size):
+    """What the distance ratio finds, without the exact pass, with more lists than a beam and the queries of a list in shares."""
+    monkeypatch.setattr(ann, "QUERIES", 10)
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(size, 64)).astype(np.float32).astype(float)
+    if clusters:
+        x = (rng.normal(size=(clusters, 64))[rng.integers(clusters, size=size)] + 0.4 * x).astype(np.float32).astype(float)
+    asked = np.arange(0, size, size // 100)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(size), "embedding": x.tolist()}))
+    got = {(r.query_id, r.vec_id) for r in nearest(df, df.where(F.col("vec_id") % (size // 100) == 0), 5).collect()}
+    assert len(got) == 5 * len(asked)
+    recall = len(got & brute_neighbours(x, asked, 5)) / len(got)
+    print(f"recall of {size} vectors in {clusters or 'no'} clusters: {recall:.3f}")
+    assert recall >= 0.95
+
+
+def test_lists_within_the_ratio():
+    rng = np.random.default_rng(2)
+    centroids = ann.Centroids(rng.normal(size=(400, 16)))
+    x = ann.unit(rng.normal(size=(30, 16)))
+    d = ann.distance(x @ centroids.points.T)
+    for ratio in (1.0, 1.05, 1.6):
+        row, near = ann.within(centroids, x, ratio)
+        asked = set(zip(row.tolist(), near.tolist()))
+        want = set(zip(*(v.tolist() for v in np.nonzero(d <= ratio * d.min(1, keepdims=True) + 1e-6))))
+        assert len(asked) == len(row) and len(asked & want) >= 0.98 * len(want)
+
+
+def test_few_vectors_in_the_lists_asked(spark):
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(size=(3, 8)) * 0.01 + [1, 0, 0, 0, 0, 0, 0, 0], rng.normal(size=(500, 8)) * 0.01 - [1, 0, 0, 0, 0, 0, 0, 0]]
+    df = spark.createDataFrame([(i, v.tolist(), i, "x") for i, v in enumerate(x)], "vec_id long, embedding array<double>, rep long, list string")
+    got = nearest(df, df.where("vec_id = 0"), 5, list_size=2, prune=1.0).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == brute_neighbours(x, np.array([0]), 5)
+
+
 def test_blocks_of_lists():
     first, parts = blocks_of(np.array([3, 0, 4, 25, 2, 8, 1]), 10)
     assert first.tolist() == [0, 0, 0, 1, 4, 4, 5] and parts.tolist() == [1, 1, 1, 3, 1, 1, 1]
