@@ -5,9 +5,11 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import jaccard
 from .ranges import stored as cut
@@ -79,7 +81,7 @@ def pair_score(title: Column, described: Column, pay: Column, days: Column, leve
 
 
 def merged_in_order(pairs: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-    """One connected part, merged pair by pair: pairs a, b, score; names id, s, n."""
+    """Whole connected parts, merged pair by pair: pairs a, b, score; names id, s, n."""
     up, held = {}, {}
     for i, s, n in zip(names["id"], names["s"], names["n"]):
         held.setdefault(i, {}).setdefault(s, n)
@@ -103,35 +105,90 @@ def merged_in_order(pairs: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "cluster": [root(i) for i in ids]})
 
 
-#: Pairs of a connected part that one task merges by itself; larger parts take rounds over all of Spark.
-ONE_TASK = 20_000
+def least_of_each(edges: list[tuple]) -> dict:
+    """Each vertex of these edges with the least that it reaches."""
+    up: dict = {}
+
+    def root(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for x, y in edges:
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return {x: root(x) for x in list(up)}
+
+
+#: Edges that one task contracts at a time, and pairs of connected parts that one task merges.
+HELD, ONE_TASK = 500_000, 20_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) to the least vertex that each reaches over the edges of its task, HELD of them at a time."""
+    kind = edges.schema["a"].dataType
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            held += zip(batch["a"].to_pylist(), batch["b"].to_pylist())
+            if len(held) > HELD:
+                yield told(held)
+                held = []
+        yield told(held)
+
+    def told(held):
+        a, b = (list(x) for x in zip(*least_of_each(held).items())) if held else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(a, like), pa.array(b, like)], names=["a", "b"])
+
+    like = to_arrow_type(kind)
+    return edges.select("a", "b").mapInArrow(run, StructType([StructField("a", kind), StructField("b", kind)]))
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(id, cluster): the least vertex that each vertex of edges (a, b) reaches.  Each task contracts its own
+    edges first; what is left goes to one task if it is no more than HELD edges, else through ``linked``."""
+    left = cut(contracted(edges))
+    if left.count() <= HELD:
+        return cut(contracted(left.coalesce(1)).toDF("id", "cluster"))
+    return linked(left.select(F.explode(F.array("a", "b")).alias("id"), F.concat_ws(" ", "a", "b").alias("pair")), "id", ["pair"])
 
 
 def merged_best_first(rows: DataFrame, pairs: DataFrame, row_id: str, space: str, name: str, least: float = SAME, one_task: int = ONE_TASK) -> DataFrame:
     """(id, cluster) as by merging pairs (a, b, score) in order of score, then a, then b, unless the
     cluster would hold two names of one space; cluster is its least id.  Null spaces hinder nothing.
 
-    Rows connected by pairs without two names of a space anywhere among them merge at once, in any
-    order.  Of the others, parts of at most one_task pairs are merged in order by a task each.  The rest
-    goes in rounds: each drops pairs that can never merge any more and merges the pairs that are best
+    Connected parts of at most one_task pairs are merged in order, about one_task pairs of whole parts
+    to a task: parts have nothing to do with each other, so a task's order is that of each.  Of larger
+    parts those without two names of a space anywhere merge at once, in any order.  The rest goes in
+    rounds: each drops pairs that can never merge any more and merges the pairs that are best
     for both their clusters: no pair that comes earlier touches either of them, so the outcome is that
     of the sequential order.  Rounds grow with the longest run of pairs at one cluster that must wait
     for each other, at most the largest such connected part."""
     alone = rows.select(F.col(row_id).alias("id")).where("id IS NOT NULL").distinct()
     names = rows.where(F.col(space).isNotNull() & F.col(name).isNotNull()).select(F.col(row_id).alias("id"), F.col(space).alias("s"), F.col(name).alias("n"))
     good = cut(pairs.where(F.col("score") >= least).select("a", "b", "score"))
-    parts = linked(good.select(F.explode(F.array("a", "b")).alias("id"), F.concat_ws(" ", "a", "b").alias("pair")), "id", ["pair"])
-    named = cut(names.join(parts, "id"))
-    clashing = named.groupBy("cluster", "s").agg((F.min("n") != F.max("n")).alias("two")).where("two").select("cluster").distinct()
-    sizes = good.join(parts.select(F.col("id").alias("a"), "cluster"), "a").groupBy("cluster").agg(F.count("*").alias("pairs")).join(clashing, "cluster")
-    sized = cut(parts.join(sizes, "cluster", "left"))
-    calm = sized.where("pairs IS NULL").select("id", "cluster")
-    small, large = sized.where(F.col("pairs") <= one_task).select("id", "cluster"), sized.where(F.col("pairs") > one_task).select("id")
-    of_part = good.join(small.select(F.col("id").alias("a"), "cluster"), "a")
-    small_names = named.join(small.select("cluster").distinct(), "cluster")
-    merged = of_part.groupBy("cluster").cogroup(small_names.groupBy("cluster")).applyInPandas(merged_in_order, parts.schema)
-    settled = calm.unionByName(merged)
-    labels = cut(alone.join(settled, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster")))
+    total = good.count()
+    parts = connected(good)
+    of_part = good.join(parts.select(F.col("id").alias("a"), "cluster"), "a")
+    large = of_part.groupBy("cluster").count().where(F.col("count") > one_task).select("cluster") if total > one_task else None
+    large = None if large is None or (large := cut(large)).isEmpty() else large
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // max(1, one_task) + 1)
+
+    def by_task(df):
+        df = df if large is None else df.join(large, "cluster", "left_anti")
+        return df.toDF(*df.columns).withColumn("_task", F.pmod(F.xxhash64("cluster"), F.lit(tasks))).drop("cluster").groupBy("_task")
+
+    named = names.join(parts, "id")
+    merged = by_task(of_part).cogroup(by_task(named)).applyInPandas(merged_in_order, parts.schema)
+    if large is None:
+        return cut(alone.join(merged, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster")))
+    clashing = named.join(large, "cluster").groupBy("cluster", "s").agg((F.min("n") != F.max("n")).alias("two")).where("two").select("cluster").distinct()
+    clashing = cut(clashing)
+    calm = parts.join(large, "cluster").join(clashing, "cluster", "left_anti").select("id", "cluster")
+    labels = cut(alone.join(merged.unionByName(calm), "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster")))
+    large = parts.join(clashing, "cluster").select("id")
     open_ = cut(good.join(large.select(F.col("id").alias("a")), "a").select("a", "b", F.struct((-F.col("score")).alias("s"), "a", "b").alias("at")))
     while not open_.isEmpty():
         held = names.join(labels, "id").select(F.col("cluster").alias("c"), "s", "n").distinct()
