@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fit as K
+from ..operators import upkeep as U
 from ..sources import pages as W
 from .rules import table
 
@@ -71,3 +72,18 @@ def resume_fit(spark, d):
     matched = F.array_join(F.transform("f.matched", lambda m: F.concat(m["strength"], F.lit("="), F.coalesce(m["evidence"], F.lit("-")))), "|")
     gaps = F.array_join(F.transform("f.gaps", lambda g: F.concat_ws(":", g["gap"], g["severity"])), "|")
     return p.select("id", fixed("f.fit").alias("fit"), fixed("f.stack").alias("stack"), matched.alias("matched"), gaps.alias("gaps"), F.col("f.archetype").alias("archetype"), F.col("f.hours").alias("hours"))
+
+
+@query("""WITH RECURSIVE f AS (SELECT CAST(quality AS DOUBLE) AS y, ln(1 + length(coalesce(text, ''))) AS a, CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS DOUBLE) AS b, CAST(length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) AS DOUBLE) AS c FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+    s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(c) AS mc, stddev_pop(c) AS sc, count(*) AS n FROM f),
+    z AS MATERIALIZED (SELECT y, (a - ma) / coalesce(nullif(sa, 0), 1) AS a, (b - mb) / coalesce(nullif(sb, 0), 1) AS b, (c - mc) / coalesce(nullif(sc, 0), 1) AS c, CAST(n AS DOUBLE) AS n FROM f, s),
+    g AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS wa, CAST(0 AS DOUBLE) AS wb, CAST(0 AS DOUBLE) AS wc, CAST(0 AS DOUBLE) AS w0
+        UNION ALL SELECT i + 1, wa - 0.1 * (d.ga / d.n + 0.5 * wa / d.n), wb - 0.1 * (d.gb / d.n + 0.5 * wb / d.n), wc - 0.1 * (d.gc / d.n + 0.5 * wc / d.n), w0 - 0.1 * d.g0 / d.n
+        FROM (SELECT i, wa, wb, wc, w0, max(n) AS n, sum(e * a) AS ga, sum(e * b) AS gb, sum(e * c) AS gc, sum(e) AS g0 FROM (SELECT g.*, z.a, z.b, z.c, z.n, 1 / (1 + exp(-greatest(-30, least(30, wa * a + wb * b + wc * c + w0)))) - y AS e FROM g, z WHERE i < 800) GROUP BY ALL) d)
+    SELECT unnest(['length', 'symbols', 'capitals']) AS feature, CAST(floor(unnest([wa, wb, wc]) * 1000000 + 0.5) AS BIGINT) AS weight FROM g WHERE i = 800""")
+def label_weights(spark, d):
+    """What speaks for quality: 800 steps of descent on three features of every labelled text."""
+    text = F.coalesce("text", F.lit(""))
+    only = lambda kept: F.length(F.regexp_replace(text, f"[^{kept}]", ""))
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("quality", F.log(1.0 + F.length(text)).alias("length"), only("#*$%&|<>").alias("symbols"), only("A-Z").alias("capitals"))
+    return U.descended_weights(rows, ["length", "symbols", "capitals"], "quality").select("feature", F.floor(F.col("weight") * 1_000_000 + 0.5).cast("bigint").alias("weight"))

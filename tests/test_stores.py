@@ -13,6 +13,7 @@ from pyspark.sql.datasource import EqualTo, In
 from fieldglass.functions.stems import asked, stem, stems
 from fieldglass.operators import fit as K
 from fieldglass.operators import posting_index as I
+from fieldglass.operators import upkeep as U
 from fieldglass.sources import stored as P
 from fieldglass.streaming import timers as M
 
@@ -215,3 +216,19 @@ def test_fit_of_one_posting(spark):
     assert a.explanation == "stack 0.33 over 3 tags; embedding sim 0.60; domain bonus +0.12"
     assert (b.stack, b.archetype, b.hours, [g.gap for g in b.gaps]) == (0.55, "leetcode_grind", 30, ["Big Tech stack mismatch"]) and abs(b.fit - (0.7 * 0.55 + 0.15)) < 1e-12
     assert abs(c.stack - 0.44) < 1e-12 and abs(c.fit - (0.22 + 0.1)) < 1e-12 and c.matched == [] and c.archetype == "behavioral_heavy"
+
+
+def test_descent_step_by_step(spark):
+    rng = random.Random(8)
+    points = [(rng.gauss(0, 2), rng.gauss(1, 1), 3.0, int(rng.random() < 0.4)) for _ in range(40)] * 2 + [(None, 1.0, 3.0, 1)]
+    rows = spark.createDataFrame(points, "a double, b double, c double, y int")
+    x = np.array([p[:3] for p in points[:80]])
+    z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+    y, w, b = np.array([p[3] for p in points[:80]]), np.zeros(3), 0.0
+    for _ in range(30):
+        e = 1 / (1 + np.exp(-(z @ w + b))) - y
+        w, b = w - 0.1 * (z.T @ e / 80 + 0.5 * w / 80), b - 0.1 * e.mean()
+    for one_fit in (100, 5):  # in one task, and a pass a step
+        got = {r.feature: r.weight for r in U.descended_weights(rows, ["a", "b", "c"], "y", steps=30, one_fit=one_fit).collect()}
+        assert np.allclose([got[c] for c in "abc"], w, atol=1e-9)
+    assert [r.weight for r in U.descended_weights(rows.limit(0), ["a"], "y").collect()] == [0.0]
