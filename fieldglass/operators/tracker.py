@@ -135,6 +135,38 @@ def imported(current: DataFrame, saved: DataFrame, key: list[str]) -> DataFrame:
     return both.withColumns({"status": F.when(takes, F.coalesce("_status", "status")).otherwise(F.col("status")), "notes": F.coalesce("_notes", "notes")}).select(*current.columns)
 
 
+#: What a person decided about a posting; an export has the natural key and those of these that the rows have.
+WORKFLOW = {"status": "string", "status_changed_at": "timestamp", "dismiss_reason": "string", "starred": "boolean", "snooze_until": "timestamp", "tags_user": "array<string>", "notes": "string", "referral_secured": "boolean"}
+
+
+def export_workflow(postings: DataFrame, key: list[str], folder: str) -> None:
+    """The postings on which anything was decided (another status than new, a star, notes, tags, a snooze, a
+    referral) as compressed JSON lines; an export written again replaces its folder."""
+    have = [c for c in WORKFLOW if c in postings.columns]
+    said = {"status": F.col("status") != "new", "starred": F.col("starred"), "notes": F.col("notes") != "", "tags_user": F.size("tags_user") > 0, "snooze_until": F.col("snooze_until").isNotNull(), "referral_secured": F.col("referral_secured")} if have else {}
+    decided = F.lit(False)
+    for c in have:
+        if c in said:
+            decided = decided | F.coalesce(said[c], F.lit(False))
+    postings.where(decided).select(*key, *have).write.mode("overwrite").option("compression", "gzip").json(folder)
+
+
+def import_workflow(postings: DataFrame, key: list[str], folder: str) -> DataFrame:
+    """postings with the decisions of an export by natural key.  A posting that is applied to now takes only
+    those of one that was, too; status_changed_at is kept where the export has none; all others that the
+    export names take all that it says, and the rest stays.  Of an export's rows with one key one counts."""
+    have = [c for c in WORKFLOW if c in postings.columns]
+    kinds = dict(postings.dtypes)
+    saved = postings.sparkSession.read.schema(", ".join(f"`{c}` {kinds[c]}" for c in [*key, *have])).json(folder)
+    saved = saved.groupBy(*key).agg(F.min(F.struct(*have)).alias("_in"))
+    both = postings.join(saved, key, "left")
+    takes = F.col("_in").isNotNull() & ((F.coalesce("status", F.lit("")) != "applied") | F.coalesce(F.col("_in.status") == "applied", F.lit(False)))
+    new = {c: F.col(f"_in.{c}") for c in have}
+    if "status_changed_at" in new:
+        new["status_changed_at"] = F.coalesce(new["status_changed_at"], "status_changed_at")
+    return both.withColumns({c: F.when(takes, v).otherwise(F.col(c)) for c, v in new.items()}).select(*postings.columns)
+
+
 def cross_tab(rows: DataFrame, down: str, across: str, names: list[str]) -> DataFrame:
     """Counts of each value of down by the named values of across."""
     return rows.groupBy(down).agg(*(F.count_if(F.col(across) == v).alias(v) for v in names))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import quals as Q
 from ..functions import text as X
 from ..functions import urls as U
+from ..operators import discovery as D
 from ..operators import tracker as T
+from ..operators.ranges import folder_for
 from .rules import POSTINGS, postings, table
 
 QUERIES: dict = {}
@@ -181,3 +183,51 @@ def counts_by_model(spark, d):
 def url_key_backfill(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 3 > 0 THEN 'http://a.com/1' || right('00000' || o_orderkey, 5) END").alias("a"), F.expr("CASE WHEN o_orderkey % 2 = 0 THEN 'http://c.com/2' || right('00000' || o_orderkey, 5) END").alias("c"))
     return o.select("o_orderkey", F.coalesce(U.url_key(F.col("a")), U.url_key(F.col("c"))).alias("k"))
+
+
+_NAMES = """SELECT o_custkey % 60 AS k, CASE WHEN o_custkey % 60 >= 40 THEN 'House ' || (o_custkey % 60 - 20) || ' West' ELSE 'House ' || (o_custkey % 60) || CASE WHEN o_orderkey % 2 = 0 THEN ' Inc.' ELSE '' END || CASE WHEN o_custkey % 60 % 9 = 4 THEN ' Bank' ELSE '' END END AS name,
+    CASE WHEN o_custkey % 60 >= 40 THEN NULL WHEN o_custkey % 5 = 1 THEN 'https://boards.greenhouse.io/h' || (o_custkey % 60) || '/jobs/1' WHEN o_custkey % 5 = 2 THEN 'https://jobs.lever.co/s' || (o_custkey % 60 // 10) WHEN o_custkey % 5 = 3 THEN 'https://example.com/x' WHEN o_custkey % 5 = 4 THEN 'https://jobs.lever.co/r' || (o_custkey % 60) END AS url, o_orderdate AS t0 FROM orders"""
+
+
+@query(
+    f"""WITH r AS ({_NAMES}), q AS (SELECT k, trim(replace(lower(name), ' inc.', '')) AS key, count(*) AS seen, trim(regexp_replace(lower(arg_min(name, (t0, name))), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM r GROUP BY 1, 2),
+    s AS (SELECT *, CASE WHEN k < 40 AND k % 5 = 1 THEN 'greenhouse' WHEN k < 40 AND k % 5 IN (2, 4) THEN 'lever' END AS provider, CASE WHEN k % 5 = 1 THEN 'h' || k WHEN k % 5 = 2 THEN 's' || (k // 10) ELSE 'r' || k END AS board FROM q),
+    o AS (SELECT *, CASE WHEN key IN ('house 3', 'house 8') THEN 'linked' WHEN provider IS NULL THEN 'unresolvable' WHEN k % 5 = 4 AND k % 2 = 0 THEN 'known' WHEN k % 5 = 1 AND k % 3 = 0 THEN 'failed' WHEN k % 5 = 1 AND k % 7 = 0 OR k % 5 = 4 AND k % 3 = 0 THEN 'waiting' ELSE 'found' END AS one FROM s),
+    b AS (SELECT *, row_number() OVER (PARTITION BY provider, board ORDER BY seen DESC, key) AS turn FROM o WHERE one = 'found'),
+    e AS (SELECT key, base || CASE WHEN base = 'house-12' THEN '-3' ELSE '' END AS slug, provider, board FROM b WHERE turn = 1),
+    l AS (SELECT o.key, min(e.slug) AS slug FROM o JOIN e ON starts_with(o.key, e.key || ' ') GROUP BY o.key)
+    SELECT o.key, CASE WHEN e.key IS NOT NULL THEN 'added' WHEN o.one = 'linked' THEN 'linked' WHEN l.key IS NOT NULL THEN 'linked' WHEN o.one = 'found' THEN 'known' ELSE o.one END AS outcome,
+        CASE WHEN e.key IS NOT NULL THEN e.slug WHEN o.one = 'linked' THEN 'given-' || o.k WHEN l.key IS NOT NULL THEN l.slug WHEN o.one = 'known' THEN 'board-' || o.k WHEN o.one = 'found' THEN (SELECT e.slug FROM e WHERE e.provider = o.provider AND e.board = o.board) END AS company
+    FROM o LEFT JOIN e ON e.key = o.key LEFT JOIN l ON l.key = o.key"""
+)
+def discovery_loop(spark, d):
+    """Names of all orders against a registry made of suppliers' numbers: linked, known, failed, waiting, added, and
+    linked to what was added."""
+    rows = table(spark, d, "orders").selectExpr("o_custkey", "o_orderkey", "o_orderdate AS at", "o_custkey % 60 AS k").selectExpr(
+        "CASE WHEN k >= 40 THEN concat('House ', k - 20, ' West') ELSE concat('House ', k, CASE WHEN o_orderkey % 2 = 0 THEN ' Inc.' ELSE '' END, CASE WHEN k % 9 = 4 THEN ' Bank' ELSE '' END) END AS name",
+        "CASE WHEN k >= 40 THEN NULL WHEN k % 5 = 1 THEN concat('https://boards.greenhouse.io/h', k, '/jobs/1') WHEN k % 5 = 2 THEN concat('https://jobs.lever.co/s', k div 10) WHEN k % 5 = 3 THEN 'https://example.com/x' WHEN k % 5 = 4 THEN concat('https://jobs.lever.co/r', k) END AS url",
+        "at",
+    )
+    n = spark.range(60).withColumnRenamed("id", "k")
+    given = n.where("k IN (3, 8)").selectExpr("concat('House ', k) AS name", "concat('given-', k) AS slug", "CAST(NULL AS STRING) AS provider", "CAST(NULL AS STRING) AS board")
+    given = given.union(n.where("k % 5 = 4 AND k % 2 = 0").selectExpr("concat('Board of ', k)", "concat('board-', k)", "'lever'", "concat('r', k)"))
+    given = given.union(n.where("k IN (1, 2)").selectExpr("concat('Other ', k)", "CASE WHEN k = 1 THEN 'house-12' ELSE 'house-12-2' END", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)"))
+    visits = n.where("k % 5 = 1").selectExpr("'greenhouse' AS provider", "concat('h', k) AS board", "k % 3 <> 0 AND k % 7 <> 0 AS ok", "k AS n", "CASE WHEN k % 3 = 0 THEN DATE'1998-01-01' ELSE DATE'1990-01-01' END AS at")
+    visits = visits.union(n.where("k % 5 = 4 AND k % 3 <> 0").selectExpr("'lever'", "concat('r', k)", "true", "k", "DATE'1997-01-01'")).union(n.where("k < 4").selectExpr("'lever'", "concat('s', k)", "true", "k", "DATE'1997-01-01'"))
+    half = F.col("at") < F.lit("1995-06-01")
+    queue = D.queued(rows.where(~half), "name", "url", "at", D.queued(rows.where(half), "name", "url", "at"))
+    return D.discovered(queue, given, visits, F.lit("1998-01-10").cast("date"))[0]
+
+
+@query(
+    "WITH p AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN 'applied' WHEN c_custkey % 7 = 1 THEN 'shortlisted' ELSE 'new' END AS st, c_custkey % 5 = 0 AS starred, CASE WHEN c_custkey % 11 = 0 THEN 'n' || c_custkey WHEN c_custkey % 11 = 1 THEN '' END AS notes FROM customer) "
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'applied' WHEN st <> 'new' OR starred OR notes <> '' THEN st ELSE 'new' END AS status, CASE WHEN c_custkey % 3 <> 0 OR st = 'applied' THEN CASE WHEN st <> 'new' OR starred OR notes <> '' THEN notes END END AS notes FROM p"
+)
+def workflow_round_trip(spark, d):
+    """What was decided, exported as compressed JSON lines and read into postings built anew, a third of them applied to meanwhile."""
+    i = F.col("c_custkey")
+    p = table(spark, d, "customer").select("c_custkey", "c_name", F.when(i % 7 == 0, "applied").when(i % 7 == 1, "shortlisted").otherwise("new").alias("status"), (i % 5 == 0).alias("starred"), F.when(i % 11 == 0, F.concat(F.lit("n"), i)).when(i % 11 == 1, "").alias("notes"))
+    folder = folder_for(spark, "workflow")
+    T.export_workflow(p, ["c_name"], folder)
+    rebuilt = p.select("c_custkey", "c_name", F.when(i % 3 == 0, "applied").otherwise("new").alias("status"), F.lit(False).alias("starred"), F.lit(None).cast("string").alias("notes"))
+    return T.import_workflow(rebuilt, ["c_name"], folder).select("c_custkey", "status", "notes")
