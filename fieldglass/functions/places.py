@@ -13,7 +13,7 @@ from .text import let
 # Words for work away from an office, in part or in many places, and for the home country.
 REMOTE = r"(?i)\bremote\b|\banywhere\b|\bwork from home\b|\bwfh\b|\bdistributed\b|\bvirtual\b|\btelecommute\b"
 HYBRID = r"(?i)\bhybrid\b"
-MULTIPLE = r"(?i)\bmultiple\b|\bvarious( locations)?\b|\bother locations\b|\bnationwide\b|\bopen to (any|all) (us )?locations?\b|\bany (us )?location\b|\bflexible location\b"
+MULTIPLE = r"(?i)\bmultiple (locations|cities|offices)\b|\bvarious( locations)?\b|\bother locations\b|\bmultiple\b|\bnationwide\b|\bopen to (any|all) (us )?locations?\b|\bany (us )?location\b|\bflexible location\b"
 HOME_WORDS = r"(?i)\bunited states( of america)?\b|\busa\b|\bu\.s\.a?\.?\b|\bus\b|\bamerica\b"
 STATE_MARK = r"(?:^|[,\s\-/(])([A-Z]{2})(?=$|[,\s)\-/.])"
 APART = r"(?i)\s*(?:;|\||•|\n| or )\s*"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quals import MONTHS
 from ..functions.text import tokens
 from .joins import newest_earlier
 from .ranges import stored
@@ -58,13 +59,12 @@ def month_day(text: Column, as_of: Column) -> Column:
     that lies over two days ahead.  Null for others."""
     pattern = r"^\s*([A-Za-z]{3})[a-z]*\.?\s+(\d{1,2})(?:,?\s*(\d{4}))?\s*$"
     part = lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
-    month = F.nullif(F.ceil(F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(part(1))) / 3).cast("int"), F.lit(0))
-    aligned = F.pmod(F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(part(1))), F.lit(3)) == 1
+    month = F.nullif(F.array_position(F.array(*(F.lit(m[:3]) for m in MONTHS)), F.lower(part(1))), F.lit(0))
     date = lambda year: F.try_to_date(F.concat_ws("-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(2), 2, "0")))
     stated = part(3).try_cast("int")
     here = date(F.year(as_of))
     rolled = F.when(here > F.date_add(as_of, 2), date(F.year(as_of) - 1)).otherwise(here)
-    return F.when(aligned, F.when(stated.isNotNull(), date(stated)).otherwise(rolled))
+    return F.when(month > 0, F.when(stated.isNotNull(), date(stated)).otherwise(rolled))
 
 
 def representative_order() -> list[Column]:

@@ -101,9 +101,10 @@ def built(
 
 def backfilled(rows: DataFrame, texts: DataFrame, key: str, tags: list[tuple[str, str]], earliest: tuple[int, int]) -> DataFrame:
     """rows with what a description that came later (key, text) says: the GUARDED columns only where they are
-    null, the others by the text.  Rows without a new text stay as they are."""
+    null, the others by the text.  Rows without a new text stay as they are; of several new texts of a key the
+    first in order of the texts counts."""
     names = [n for n in from_text(F.lit(""), F.lit(""), tags) if n in rows.columns]
-    new = texts.select(F.col(key).alias("_key"), F.col("text").alias("_text")).where("length(_text) > 0").dropDuplicates(["_key"])
+    new = texts.select(F.col(key).alias("_key"), F.col("text").alias("_text")).where("length(_text) > 0").groupBy("_key").agg(F.min("_text").alias("_text"))
     both = read(rows.join(new, rows[key] == F.col("_key"), "left"), "_text", earliest)
     said = from_text(F.col("_text"), F.col("title"), tags)
     fresh = both.withColumns({f"_new_{n}": said[n] for n in names})

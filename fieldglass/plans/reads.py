@@ -173,7 +173,8 @@ def alert_bodies(spark, d):
 
 @query("WITH x AS (SELECT user_id, list(event_type ORDER BY ts DESC, event_id DESC) AS a FROM events GROUP BY 1), f AS (SELECT user_id, list_distinct(a) AS ds, a FROM x) SELECT user_id, array_to_string(list_transform(list_sort(list_transform(ds, lambda e: {'p': list_position(a, e), 'e': e})), lambda s: s.e)[1:3], ',') AS newest FROM f")
 def newest_kinds(spark, d):
-    e = table(spark, d, "events").groupBy("user_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))).alias("x"))
+    last = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("at"))  # a row a kind
+    e = last.groupBy("user_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("at", "event_type")))).alias("x"))
     return e.select("user_id", F.array_join(W.newest_union(F.slice(F.col("x.event_type"), 1, 2), F.col("x.event_type"), 3), ",").alias("newest"))
 
 
