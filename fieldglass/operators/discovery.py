@@ -46,12 +46,14 @@ def numbered_slugs(new: DataFrame, taken: DataFrame) -> DataFrame:
         both = left.withColumn("r", place).join(held, "base", "left").withColumn("held", F.coalesce("held", F.array().cast("array<bigint>")))
         free = F.get(F.filter(F.sequence(F.lit(1).cast("long"), F.col("r") + F.size("held")), lambda n: ~F.array_contains(F.col("held"), n)), F.col("r") - 1)
         given = both.withColumn("slug", F.when(free == 1, F.col("base")).otherwise(F.concat_ws("-", "base", free)))
-        # a base may itself end in a number: of two rows with one slug the one seen more often has it, the other is asked again
-        first = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("seen"), "key"))
-        given = stored(given.withColumn("first", first).select("key", "base", "seen", "slug", "first"))
-        some = given.where("first = 1").select("key", "slug")
+        # a base may itself end in a number: of two rows with one slug the one seen more often has it; the other,
+        # and those after it with its base, are asked again
+        turn = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("seen"), "key"))
+        lost = F.min(F.when(F.col("turn") > 1, F.col("r"))).over(Window.partitionBy("base"))
+        given = stored(given.withColumn("turn", turn).withColumn("fine", F.coalesce(F.col("r") < lost, F.lit(True))).select("key", "base", "seen", "slug", "fine"))
+        some = given.where("fine").select("key", "slug")
         done = some if done is None else done.unionByName(some)
-        left = given.where("first > 1").select("key", "base", "seen")
+        left = given.where("NOT fine").select("key", "base", "seen")
     return done if done is not None else new.select("key", F.col("base").alias("slug"))
 
 

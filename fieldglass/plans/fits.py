@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fit as K
+from ..operators import rescore as R
 from ..operators import upkeep as U
+from ..operators.ranges import stored
 from ..sources import pages as W
 from .rules import table
 
@@ -87,3 +89,28 @@ def label_weights(spark, d):
     only = lambda kept: F.length(F.regexp_replace(text, f"[^{kept}]", ""))
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("quality", F.log(1.0 + F.length(text)).alias("length"), only("#*$%&|<>").alias("symbols"), only("A-Z").alias("capitals"))
     return U.descended_weights(rows, ["length", "symbols", "capitals"], "quality").select("feature", F.floor(F.col("weight") * 1_000_000 + 0.5).cast("bigint").alias("weight"))
+
+
+def order_scores() -> R.Scores:
+    c = F.col
+    return R.Scores(
+        R.Derived("pay", lambda s: F.least(F.lit(1.0), c("o_totalprice") / s["floor"]), ("o_totalprice",), ("floor",)),
+        R.Derived("open", lambda s: c("o_orderstatus").isin("O", "P"), ("o_orderstatus",)),
+        R.Derived("urgent", lambda s: F.when(c("open"), (6 - F.substring("o_orderpriority", 1, 1).cast("int")) * s["urgency"]).otherwise(0.0), ("open", "o_orderpriority"), ("urgency",)),
+        R.Derived("score", lambda s: F.floor((c("pay") * s["pay_weight"] + c("urgent")) * 1000 + 0.001).cast("bigint"), ("pay", "urgent"), ("pay_weight",)),
+    )
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 97 = 0 THEN 'F' WHEN o_orderkey % 89 = 0 THEN 'O' ELSE o_orderstatus END AS st, o_orderpriority FROM orders),
+    x AS (SELECT o_orderkey, st, least(1.0, o_totalprice / 250000.0::DOUBLE) AS pay, st IN ('O', 'P') AS open, CASE WHEN st IN ('O', 'P') THEN (6 - CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) * 0.125::DOUBLE ELSE 0.0 END AS urgent FROM o)
+    SELECT o_orderkey, st AS o_orderstatus, open, CAST(floor((pay * 2.0::DOUBLE + urgent) * 1000 + 0.001) AS BIGINT) AS score FROM x""")
+def targeted_rescore(spark, d):
+    """Scores kept as a table; then some orders change status and one weight changes, and only what they reach is computed."""
+    scores, settings = order_scores(), {"floor": 250000.0, "urgency": 0.25, "pay_weight": 2.0}
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    kept = stored(scores.computed(o, settings))
+    k = F.col("o_orderkey")
+    changes = o.where((k % 97 == 0) | (k % 89 == 0)).select(k, F.when(k % 97 == 0, "F").otherwise("O").alias("o_orderstatus"))
+    kept = stored(R.patched(kept, "o_orderkey", scores.after_action(kept, "o_orderkey", changes, settings)))
+    kept = R.patched(kept, "o_orderkey", scores.after_settings(kept, "o_orderkey", settings, settings | {"urgency": 0.125}))
+    return kept.select("o_orderkey", "o_orderstatus", "open", "score")

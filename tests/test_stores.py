@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In
 
 from fieldglass.functions.stems import asked, stem, stems
+from fieldglass.operators import discovery as D
 from fieldglass.operators import fit as K
 from fieldglass.operators import posting_index as I
+from fieldglass.operators import rescore as R
+from fieldglass.operators import tracker as T
 from fieldglass.operators import upkeep as U
+from fieldglass.plans.fits import order_scores
 from fieldglass.sources import stored as P
 from fieldglass.streaming import timers as M
 
@@ -232,3 +236,48 @@ def test_descent_step_by_step(spark):
         got = {r.feature: r.weight for r in U.descended_weights(rows, ["a", "b", "c"], "y", steps=30, one_fit=one_fit).collect()}
         assert np.allclose([got[c] for c in "abc"], w, atol=1e-9)
     assert [r.weight for r in U.descended_weights(rows.limit(0), ["a"], "y").collect()] == [0.0]
+
+
+def test_what_a_change_reaches(spark, capsys, tmp_path):
+    scores = order_scores()
+    assert scores.reached({"o_orderstatus"}) == ["open", "urgent", "score"] and scores.reached(settings={"pay_weight"}) == ["score"]
+    assert scores.reached({"unheard of"}) == [] and scores.read(["urgent", "score"]) == ["o_orderpriority", "open", "pay"]
+    with pytest.raises(ValueError, match="declared later"):
+        R.Scores(R.Derived("a", lambda s: F.lit(1), ("b",)), R.Derived("b", lambda s: F.lit(1), ()))
+    with pytest.raises(ValueError, match="needs itself"):
+        R.Scores(R.Derived("a", lambda s: F.lit(1), ("a",)))
+    rows = [(i, i * 1000.0, "OFP"[i % 3], f"{1 + i % 5}-X") for i in range(60)]
+    settings = {"floor": 20000.0, "urgency": 0.5, "pay_weight": 1.0}
+    full = scores.computed(spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderstatus string, o_orderpriority string"), settings)
+    full.coalesce(1).sortWithinPartitions("o_orderkey").write.parquet(f"file://{tmp_path}/kept")
+    kept = spark.read.parquet(f"file://{tmp_path}/kept")
+    changes = spark.createDataFrame([(3, "F"), (4, "O"), (4, "P"), (999, "F"), (None, "F")], "o_orderkey long, o_orderstatus string")
+    new = scores.after_action(kept, "o_orderkey", changes, settings)
+    assert new.columns == ["o_orderkey", "o_orderstatus", "open", "urgent", "score"] and [r.o_orderkey for r in new.orderBy("o_orderkey").collect()] == [3, 4]
+    new.explain("formatted")
+    assert re.search(r"PushedFilters: \[.*In\(o_orderkey", capsys.readouterr().out)
+    after = scores.computed(spark.createDataFrame([(i, p, {3: "F", 4: "O"}.get(i, s), t) for i, p, s, t in rows], "o_orderkey long, o_totalprice double, o_orderstatus string, o_orderpriority string"), settings)
+    assert sorted(map(tuple, R.patched(kept, "o_orderkey", new).collect())) == sorted(map(tuple, after.collect()))
+    weights = scores.after_settings(kept, "o_orderkey", settings, settings | {"pay_weight": 3.0})
+    weights.explain("formatted")
+    assert re.search(r"ReadSchema: struct<o_orderkey:bigint,pay:double,urgent:double>", capsys.readouterr().out)
+    same = scores.after_settings(kept, "o_orderkey", settings, settings)
+    assert same.columns == ["o_orderkey"] and R.patched(kept, "o_orderkey", same).columns == kept.columns
+
+
+def test_slugs_that_are_taken(spark):
+    new = spark.createDataFrame([("a", "x", 1), ("b", "x", 5), ("c", "x-2", 9), ("d", "y", 1), ("e", "x", 5), ("f", "z-3", 1)], "key string, base string, seen long")
+    taken = spark.createDataFrame([("x-3",), ("y",), ("z",), ("other-9",)], "slug string")
+    assert {r.key: r.slug for r in D.numbered_slugs(new, taken).collect()} == {"b": "x", "c": "x-2", "e": "x-4", "a": "x-5", "d": "y-2", "f": "z-3"}
+    assert D.numbered_slugs(new.limit(0), taken).count() == 0
+
+
+def test_workflow_goes_by_the_natural_key(spark, tmp_path):
+    columns = "board string, job string, status string, status_changed_at timestamp, starred boolean, notes string, tags_user array<string>, title string"
+    old = spark.createDataFrame([("b", "1", "applied", datetime(2024, 1, 2), False, None, None, "t"), ("b", "2", "new", None, True, "", [], "t"), ("b", "3", "new", None, None, "", [], "t"), ("b", "4", "dismissed", None, False, "why", ["x"], "t"), ("b", "5", "shortlisted", None, False, None, None, "t")], columns)
+    T.export_workflow(old, ["board", "job"], f"file://{tmp_path}/w")
+    T.export_workflow(old, ["board", "job"], f"file://{tmp_path}/w")
+    at = datetime(2020, 1, 1)
+    now = spark.createDataFrame([("b", j, s, at, False, None, None, "new title") for j, s in (("1", "new"), ("2", "new"), ("3", "new"), ("4", "applied"), ("6", "new"))], columns)
+    got = {r.job: (r.status, r.status_changed_at, r.starred, r.notes, r.tags_user, r.title) for r in T.import_workflow(now, ["board", "job"], f"file://{tmp_path}/w").collect()}
+    assert got == {"1": ("applied", datetime(2024, 1, 2), False, None, None, "new title"), "2": ("new", at, True, "", [], "new title"), "3": ("new", at, False, None, None, "new title"), "4": ("applied", at, False, None, None, "new title"), "6": ("new", at, False, None, None, "new title")}
