@@ -8,12 +8,26 @@ from pyspark.sql import functions as F
 from .ranges import placed
 
 
-def at_places(df: DataFrame, keys: list[str], value: str, least: int, places: dict[str, Column]) -> DataFrame:
+#: Values of a group that may be sorted in one row.
+SMALL = 50_000
+
+
+def at_places(df: DataFrame, keys: list[str], value: str, least: int, places: dict[str, Column], small: int = SMALL) -> DataFrame:
     """keys, the values at the given places (of _n) in the sorted group, and n, where n is at least
-    least.  Found by place, so that no task holds a group; nulls do not count."""
-    ranked = placed(df.where(F.col(value).isNotNull()).select(*keys, value), keys, [F.col(value)]).where(F.col("_n") >= least)
+    least; nulls do not count.  Groups are counted first: those of at most small values are sorted in
+    a row each, larger ones found by place, so that no task holds one; both give the same."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > small).select(*(F.col(k).alias(f"_{k}") for k in keys))
+    none = large.isEmpty()
+    of_large = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    few = rows if none else rows.join(large, of_large, "left_anti")
+    listed = few.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_v")).withColumn("_n", F.size("_v").cast("long")).where(F.col("_n") >= least)
+    found = listed.select(*keys, *(F.get("_v", at.cast("int")).alias(name) for name, at in places.items()), F.col("_n").alias("n"))
+    if none:
+        return found
+    ranked = placed(rows.join(large, of_large, "left_semi"), keys, [F.col(value)]).where(F.col("_n") >= least)
     picks = (F.max(F.when(F.col("_i") == at, F.col(value))).alias(name) for name, at in places.items())
-    return ranked.groupBy(*keys).agg(*picks, F.max("_n").alias("n"))
+    return found.unionByName(ranked.groupBy(*keys).agg(*picks, F.max("_n").alias("n")))
 
 
 def medians(df: DataFrame, levels: list[list[str]], value: str, least: int) -> list[DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In
 
 from fieldglass.functions.stems import asked, stem, stems
+from fieldglass.operators import aggregates as A
 from fieldglass.operators import discovery as D
 from fieldglass.operators import fit as K
 from fieldglass.operators import posting_index as I
@@ -281,3 +282,17 @@ def test_workflow_goes_by_the_natural_key(spark, tmp_path):
     now = spark.createDataFrame([("b", j, s, at, False, None, None, "new title") for j, s in (("1", "new"), ("2", "new"), ("3", "new"), ("4", "applied"), ("6", "new"))], columns)
     got = {r.job: (r.status, r.status_changed_at, r.starred, r.notes, r.tags_user, r.title) for r in T.import_workflow(now, ["board", "job"], f"file://{tmp_path}/w").collect()}
     assert got == {"1": ("applied", datetime(2024, 1, 2), False, None, None, "new title"), "2": ("new", at, True, "", [], "new title"), "3": ("new", at, False, None, None, "new title"), "4": ("applied", at, False, None, None, "new title"), "6": ("new", at, False, None, None, "new title")}
+
+
+def test_places_in_small_and_large_groups(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(9)])) for _ in range(400)] + [("c", 1), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    want = {}
+    for k in {k for k, _ in rows}:
+        v = sorted(v for x, v in rows if x == k and v is not None)
+        if len(v) >= 2:
+            want[k] = (v[len(v) // 4], v[-1], len(v))
+    for small in (0, 100, 1000):
+        got = A.at_places(df, ["k"], "v", 2, {"q": F.floor(F.col("_n") / 4), "top": F.col("_n") - 1}, small).collect()
+        assert {r.k: (r.q, r.top, r.n) for r in got} == want and len(got) == len(want)
