@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import cycle as Y
 from ..operators import estimates as E
+from ..operators import reports as O
 from ..operators import resolution as N
 from ..sources import feeds as S
 from .intake import listed
@@ -132,3 +133,28 @@ _TRACKED = chosen("o_orderkey % 4", ["'http://x.com/a/' || o_orderkey || '?utm_s
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'http://x.com/a/' || o_orderkey || '&b=1' WHEN 1 THEN 'http://x.com/a/' || o_orderkey WHEN 2 THEN 'http://x.com/a/' || o_orderkey || '?b=1' ELSE '' END AS url FROM orders")
 def tidy_urls(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.tidy_url(F.expr(_TRACKED)).alias("url"))
+
+
+_PAY = "CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN 0 ELSE priority / 2 END AS low, CASE WHEN id % 4 < 2 THEN NULL ELSE priority END AS high, CASE WHEN id % 8 < 5 THEN priority END AS est, CASE id % 3 WHEN 0 THEN 'new_york' WHEN 1 THEN '' END AS metro"
+_LINE = "'• C' || company_id || ' — job ' || id || ' · ' || coalesce(nullif(replace(metro, '_', ' '), ''), '?') || ' · ' || CASE WHEN low <> 0 AND high <> 0 THEN '$' || CAST(round_even(low / 1000, 0) AS BIGINT) || '–' || CAST(round_even(high / 1000, 0) AS BIGINT) || 'k' WHEN est <> 0 THEN '~$' || CAST(round_even(est / 1000, 0) AS BIGINT) || 'k est' ELSE 'no comp' END || ' · ' || CASE beats_baseline WHEN 'clearly_better' THEN 'clearly better' WHEN 'worse' THEN 'worse' ELSE '—' END || chr(10) || '  http://x/' || id"
+
+
+@query(
+    f"""WITH p AS (SELECT *, {_LINE} AS line FROM (SELECT *, {_PAY} FROM ({POSTINGS}))),
+    f AS (SELECT * FROM p WHERE first_seen_at >= TIMESTAMP '1998-07-20' AND in_scope AND NOT is_stretch AND floor_result IN ('pass', 'exempt') AND is_cluster_canonical AND delisted_at IS NULL ORDER BY role_family NULLS FIRST, priority DESC, id LIMIT 120),
+    g AS (SELECT coalesce(role_family, 'other') AS c, count(*) AS n, list(line ORDER BY priority DESC, id) AS l FROM f GROUP BY 1),
+    t AS (SELECT * FROM p WHERE status = 'shortlisted' AND in_scope ORDER BY priority DESC, id LIMIT 7),
+    s AS (SELECT 0 AS part, 0 AS r, '' AS nm, 'head' AS section, (SELECT count(*) FROM f) AS n, (SELECT count(*) FROM f) || ' new postings cleared the floor in the last 24h.' AS body
+        UNION ALL SELECT 1, CASE c WHEN 'sales' THEN 1 WHEN 'ml_ai' THEN 2 ELSE 9 END, c, c, n, upper(replace(c, '_', ' ')) || ' (' || n || ')' || chr(10) || array_to_string(l[1:8], chr(10)) || CASE WHEN n > 8 THEN chr(10) || '  … and ' || (n - 8) || ' more in the dashboard' ELSE '' END FROM g
+        UNION ALL SELECT 2, 0, '', 'today', count(*), array_to_string(['TODAY''S QUEUE (' || count(*) || ')'] || coalesce(list(line ORDER BY priority DESC, id), []), chr(10)) FROM t
+        UNION ALL SELECT 3, 0, '', 'follow_ups', count(*), 'FOLLOW-UPS DUE' || chr(10) || string_agg('• #' || c_custkey || ' ' || c_name, chr(10) ORDER BY c_custkey) FROM customer WHERE c_custkey % 300 = 7 HAVING count(*) > 0)
+    SELECT CAST(row_number() OVER (ORDER BY part, r, nm) AS INTEGER) AS place, section, n, body FROM s"""
+)
+def daily_digest(spark, d):
+    p = postings(spark, d).selectExpr("*", *_PAY.split(", CASE", 1)[:1], *(f"CASE{x}" for x in _PAY.split(", CASE")[1:]))
+    line = O.posting_line(F.concat(F.lit("C"), "company_id"), F.concat(F.lit("job "), "id"), F.col("metro"), O.pay_text(F.col("low"), F.col("high"), F.col("est")), F.col("beats_baseline"), F.concat(F.lit("http://x/"), "id"))
+    p = p.withColumn("line", line).withColumnRenamed("role_family", "category")
+    new = p.where("first_seen_at >= TIMESTAMP '1998-07-20' AND in_scope AND NOT is_stretch AND floor_result IN ('pass', 'exempt') AND is_cluster_canonical AND delisted_at IS NULL")
+    today = p.where("status = 'shortlisted' AND in_scope").select(F.struct((-F.col("priority")).alias("p"), "id").alias("rank"), "line")
+    due = table(spark, d, "customer").where("c_custkey % 300 = 7").select(F.col("c_custkey").alias("id"), F.concat(F.lit("• #"), "c_custkey", F.lit(" "), "c_name").alias("line"))
+    return O.daily(new, today, due, {"sales": 1, "ml_ai": 2}, places=7)

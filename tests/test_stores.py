@@ -15,6 +15,7 @@ from fieldglass.operators import aggregates as A
 from fieldglass.operators import discovery as D
 from fieldglass.operators import fit as K
 from fieldglass.operators import posting_index as I
+from fieldglass.operators import reports as O
 from fieldglass.operators import rescore as R
 from fieldglass.operators import tracker as T
 from fieldglass.operators import upkeep as U
@@ -296,3 +297,16 @@ def test_places_in_small_and_large_groups(spark):
     for small in (0, 100, 1000):
         got = A.at_places(df, ["k"], "v", 2, {"q": F.floor(F.col("_n") / 4), "top": F.col("_n") - 1}, small).collect()
         assert {r.k: (r.q, r.top, r.n) for r in got} == want and len(got) == len(want)
+
+
+def test_lines_and_sections_of_a_report(spark):
+    pay = spark.createDataFrame([(120500.0, 121500.0, None), (0.0, 9.0, 80_000.0), (None, None, None), (1.0, None, 0.0)], "low double, high double, est double")
+    assert [r[0] for r in pay.select(O.pay_text(F.col("low"), F.col("high"), F.col("est"))).collect()] == ["$120–122k", "~$80k est", "no comp", "no comp"]
+    line = O.posting_line(F.lit(None).cast("string"), F.lit("T"), F.lit("new_york"), F.lit("p"), F.lit("arguably_better"), F.lit("u"))
+    assert spark.range(1).select(line).first()[0] == "•  — T · new york · p · arguably better\n  u"
+    new = spark.createDataFrame([(i, "ab"[i % 2], float(i), f"l{i}") for i in range(20)] + [(99, None, 1.0, "x")], "id long, category string, priority double, line string")
+    today = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "rank long, line string")
+    none = spark.createDataFrame([], "id long, line string")
+    got = [(r.section, r.n, r.body) for r in O.daily(new, today, none, {"b": 1}, shown=2, places=2).orderBy("place").collect()]
+    assert got == [("head", 21, "21 new postings cleared the floor in the last 24h."), ("b", 10, "B (10)\nl19\nl17\n  … and 8 more in the dashboard"), ("a", 10, "A (10)\nl18\nl16\n  … and 8 more in the dashboard"), ("other", 1, "OTHER (1)\nx"), ("today", 2, "TODAY'S QUEUE (2)\na\nb")]
+    assert [r.n for r in O.daily(new.limit(0), today.limit(0), none, {}).orderBy("place").collect()] == [0, 0]
