@@ -141,7 +141,7 @@ _LINE = "'• C' || company_id || ' — job ' || id || ' · ' || coalesce(nullif
 
 @query(
     f"""WITH p AS (SELECT *, {_LINE} AS line FROM (SELECT *, {_PAY} FROM ({POSTINGS}))),
-    f AS (SELECT * FROM p WHERE first_seen_at >= TIMESTAMP '1998-07-20' AND in_scope AND NOT is_stretch AND floor_result IN ('pass', 'exempt') AND is_cluster_canonical AND delisted_at IS NULL ORDER BY role_family NULLS FIRST, priority DESC, id LIMIT 120),
+    f AS (SELECT * FROM p WHERE first_seen_at >= TIMESTAMP '2001-07-20' AND in_scope AND NOT is_stretch AND floor_result IN ('pass', 'exempt') AND is_cluster_canonical AND delisted_at IS NULL ORDER BY role_family NULLS FIRST, priority DESC, id LIMIT 120),
     g AS (SELECT coalesce(role_family, 'other') AS c, count(*) AS n, list(line ORDER BY priority DESC, id) AS l FROM f GROUP BY 1),
     t AS (SELECT * FROM p WHERE status = 'shortlisted' AND in_scope ORDER BY priority DESC, id LIMIT 7),
     s AS (SELECT 0 AS part, 0 AS r, '' AS nm, 'head' AS section, (SELECT count(*) FROM f) AS n, (SELECT count(*) FROM f) || ' new postings cleared the floor in the last 24h.' AS body
@@ -154,7 +154,7 @@ def daily_digest(spark, d):
     p = postings(spark, d).selectExpr("*", *_PAY.split(", CASE", 1)[:1], *(f"CASE{x}" for x in _PAY.split(", CASE")[1:]))
     line = O.posting_line(F.concat(F.lit("C"), "company_id"), F.concat(F.lit("job "), "id"), F.col("metro"), O.pay_text(F.col("low"), F.col("high"), F.col("est")), F.col("beats_baseline"), F.concat(F.lit("http://x/"), "id"))
     p = p.withColumn("line", line).withColumnRenamed("role_family", "category")
-    new = p.where("first_seen_at >= TIMESTAMP '1998-07-20' AND in_scope AND NOT is_stretch AND floor_result IN ('pass', 'exempt') AND is_cluster_canonical AND delisted_at IS NULL")
+    new = p.where("first_seen_at >= TIMESTAMP '2001-07-20' AND in_scope AND NOT is_stretch AND floor_result IN ('pass', 'exempt') AND is_cluster_canonical AND delisted_at IS NULL")
     today = p.where("status = 'shortlisted' AND in_scope").select(F.struct((-F.col("priority")).alias("p"), "id").alias("rank"), "line")
     due = table(spark, d, "customer").where("c_custkey % 300 = 7").select(F.col("c_custkey").alias("id"), F.concat(F.lit("• #"), "c_custkey", F.lit(" "), "c_name").alias("line"))
     return O.daily(new, today, due, {"sales": 1, "ml_ai": 2}, places=7)

@@ -113,7 +113,7 @@ def engagement_timers(spark, d):
     sent = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.lit("sent").alias("kind"), F.col("o_orderdate").cast("timestamp").alias("at"))
     engaged = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.lit("engaged").alias("kind"), F.col("l_shipdate").cast("timestamp").alias("at"))
     end = spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit("end").alias("kind"), F.lit("2100-01-01").cast("timestamp").alias("at"))
-    wave = F.when(F.col("at") <= "1994-06-30", 0).when(F.col("at") <= "1996-12-31", 1).when(F.col("at") < "2100-01-01", 2).otherwise(3)
+    wave = F.when(F.col("at") <= "1997-06-30", 0).when(F.col("at") <= "1999-06-30", 1).when(F.col("at") < "2100-01-01", 2).otherwise(3)
     got = in_waves(spark, sent.union(engaged).union(end), "engagement", wave, 4, lambda s: M.keyed(s, M.Engagement(), at="at"))
     return got.select("key", "outcome", F.col("at").cast("timestamp_ntz").alias("at"))
 
@@ -134,7 +134,7 @@ def provisional_sightings(spark, d):
 def row_count_drift(spark, d):
     o = table(spark, d, "orders").groupBy(F.substring("o_orderpriority", 1, 1).cast("long").alias("key"), F.date_trunc("month", "o_orderdate").cast("timestamp").alias("at")).agg(F.count("*").alias("m"))
     n = F.when(F.month("at") == 7, F.floor(F.col("m") / 10)).when((F.month("at") == 11) & (F.col("key") > 2), 0).otherwise(F.col("m")).cast("long")
-    got = in_waves(spark, o.select("key", "at", n.alias("n")), "drift", F.when(F.col("at") < "1994-01-01", 0).when(F.col("at") < "1996-06-01", 1).otherwise(2), 3, lambda s: M.keyed(s, M.RowCounts()))
+    got = in_waves(spark, o.select("key", "at", n.alias("n")), "drift", F.when(F.col("at") < "1997-06-01", 0).when(F.col("at") < "1999-06-01", 1).otherwise(2), 3, lambda s: M.keyed(s, M.RowCounts()))
     return got.select("key", F.col("at").cast("timestamp_ntz").alias("at"), "n", "typical", "drifted")
 
 

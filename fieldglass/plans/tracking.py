@@ -214,7 +214,7 @@ def discovery_loop(spark, d):
     given = given.union(n.where("k IN (1, 2)").selectExpr("concat('Other ', k)", "CASE WHEN k = 1 THEN 'house-12' ELSE 'house-12-2' END", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)"))
     visits = n.where("k % 5 = 1").selectExpr("'greenhouse' AS provider", "concat('h', k) AS board", "k % 3 <> 0 AND k % 7 <> 0 AS ok", "k AS n", "CASE WHEN k % 3 = 0 THEN DATE'1998-01-01' ELSE DATE'1990-01-01' END AS at")
     visits = visits.union(n.where("k % 5 = 4 AND k % 3 <> 0").selectExpr("'lever'", "concat('r', k)", "true", "k", "DATE'1997-01-01'")).union(n.where("k < 4").selectExpr("'lever'", "concat('s', k)", "true", "k", "DATE'1997-01-01'"))
-    half = F.col("at") < F.lit("1995-06-01")
+    half = F.col("at") < F.lit("1998-06-01")
     queue = D.queued(rows.where(~half), "name", "url", "at", D.queued(rows.where(half), "name", "url", "at"))
     return D.discovered(queue, given, visits, F.lit("1998-01-10").cast("date"))[0]
 
