@@ -52,11 +52,16 @@ def duplicates(postings: DataFrame, applications: DataFrame, posting_id: str, cl
     return found.join(best, ["p", "check"]).select(F.col("p").alias(posting_id), F.col("a").alias(application_id), reason.alias("reason"))
 
 
-def siblings(postings: DataFrame, posting_id: str, cluster: str) -> DataFrame:
-    """(posting_id, siblings): the other members of a posting's cluster, ascending, by one array a cluster."""
-    groups = postings.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.array_sort(F.collect_set(posting_id)).alias("_all"))
+def siblings(postings: DataFrame, posting_id: str, cluster: str, asked: DataFrame | None = None) -> DataFrame:
+    """(posting_id, siblings): the other members of a posting's cluster, ascending, by one array a cluster.
+    asked (posting_id): only for these, and no other cluster is gathered; for all postings the result
+    has as many values as the squares of the clusters' sizes."""
+    own = postings if asked is None else postings.join(asked.select(posting_id).distinct(), posting_id, "left_semi")
+    members = postings.where(F.col(cluster).isNotNull())
+    members = members if asked is None else members.join(own.select(cluster).distinct(), cluster, "left_semi")
+    groups = members.groupBy(cluster).agg(F.array_sort(F.collect_set(posting_id)).alias("_all"))
     others = F.filter("_all", lambda x: x != F.col(posting_id))
-    return postings.join(groups, cluster, "left").select(posting_id, F.coalesce(others, F.array().cast(groups.schema["_all"].dataType)).alias("siblings"))
+    return own.join(groups, cluster, "left").select(posting_id, F.coalesce(others, F.array().cast(groups.schema["_all"].dataType)).alias("siblings"))
 
 
 def state_of_actions(log: DataFrame, key: str, at: str, order: str) -> DataFrame:

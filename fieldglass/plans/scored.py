@@ -231,3 +231,17 @@ def cosine_to_one(spark, d):
     q = F.array(*map(F.lit, one.v)) if one else F.lit(None).cast("array<double>")
     near = dot(F.col("v"), q) / (F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(q, q)) + 1e-12)
     return e.select("vec_id", tamed(near).alias("cosine"))
+
+
+_SAID = "CASE WHEN length(text) % 5 = 0 THEN '' WHEN length(text) % 5 = 1 THEN ' You bring ' || length(text) % 9 || '-' || (length(text) % 9 + 2) || ' years of experience. ' WHEN length(text) % 5 = 2 THEN ' At least ' || length(text) % 11 || ' years of experience, ideally ' || (length(text) % 11 + 1) || '+ years of experience. ' WHEN length(text) % 5 = 3 THEN ' We ask for ' || length(text) % 13 || '+ years of professional experience. ' ELSE ' 99+ years of experience ' END"
+
+
+@query(
+    f"WITH t AS (SELECT doc_id, substr(text, 1, CAST(length(text) // 2 AS BIGINT)) || {_SAID} || substr(text, CAST(length(text) // 2 AS BIGINT) + 1) AS t FROM documents WHERE text IS NOT NULL), "
+    r"n AS (SELECT doc_id, list_concat(list_concat(regexp_extract_all(t, '(?i)(\d+)\s*-\s*\d+ years', 1), regexp_extract_all(t, '(?i)(\d+)\+ years', 1)), regexp_extract_all(t, '(?i)at least (\d+) years', 1)) AS n FROM t) "
+    "SELECT doc_id, list_min(list_filter(list_transform(n, lambda x: CAST(x AS DOUBLE)), lambda x: x <= 15)) AS years FROM n"
+)
+def years_in_texts(spark, d):
+    """What a sentence in the middle of each whole text asks for."""
+    t = table(spark, d, "documents").where("text IS NOT NULL").selectExpr("doc_id", f"concat(substr(text, 1, CAST(length(text) div 2 AS INT)), {_SAID}, substr(text, CAST(length(text) div 2 AS INT) + 1)) AS t")
+    return t.select("doc_id", X.least_years(F.col("t")).alias("years"))

@@ -310,3 +310,10 @@ def test_lines_and_sections_of_a_report(spark):
     got = [(r.section, r.n, r.body) for r in O.daily(new, today, none, {"b": 1}, shown=2, places=2).orderBy("place").collect()]
     assert got == [("head", 21, "21 new postings cleared the floor in the last 24h."), ("b", 10, "B (10)\nl19\nl17\n  … and 8 more in the dashboard"), ("a", 10, "A (10)\nl18\nl16\n  … and 8 more in the dashboard"), ("other", 1, "OTHER (1)\nx"), ("today", 2, "TODAY'S QUEUE (2)\na\nb")]
     assert [r.n for r in O.daily(new.limit(0), today.limit(0), none, {}).orderBy("place").collect()] == [0, 0]
+
+
+def test_siblings_of_the_asked(spark):
+    rows = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 8), (5, None), (6, 8)], "id long, c long")
+    asked = spark.createDataFrame([(2,), (5,), (2,), (99,)], "id long")
+    assert sorted((r.id, r.siblings) for r in T.siblings(rows, "id", "c", asked).collect()) == [(2, [1, 3]), (5, [])]
+    assert {r.id: r.siblings for r in T.siblings(rows, "id", "c").collect()} == {1: [2, 3], 2: [1, 3], 3: [1, 2], 4: [6], 5: [], 6: [4]}
