@@ -150,11 +150,19 @@ def keyed(stream: DataFrame, processor: StatefulProcessor, mode: str = "Append",
 
 def drained(spark: SparkSession, rows: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drains what is there of a stream into Parquet files, a folder a batch, and returns all of them with
-    their batch.  A batch that is done again writes its folder anew, so each counts once."""
+    their batch.  A batch that is done again writes its folder anew, so each counts once.  State has no more
+    partitions than twice the tasks that run at once: each batch opens all of them."""
+
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), 2 * spark.sparkContext.defaultParallelism))
+    try:
+        rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(rows.schema.add("batch", "long")).parquet(table)
 
 
