@@ -5,8 +5,9 @@ A vector goes to the lists of its nearest centroids, found by a beam search of a
 centroids in memory: to the nearest, and as a boundary vector to further ones within REPLICATE of
 its distance, unless a chosen centroid lies nearer to them than the vector does.  A query asks the
 lists whose centroids lie within PRUNE of its nearest centroid's distance, however many that are (where
-that are more than the beam, all centroids are compared instead).  Lists of over LIST vectors are cut
-in sublists and the queries of a list in shares, so a task compares a bounded number of both.
+that are more than the beam, all centroids are compared instead).  Lists lie in blocks of BLOCK_BYTES, a
+larger one in several, and the queries of a block in shares, so a task compares a bounded number of both
+and gives k + 1 rows a query, however many lists it has.
 
 What the lists do not hold is not found.  Recall of the 5 nearest, every fiftieth vector asked, is in
 the README; on vectors without clusters a large part of the lists lies within the ratio, on clustered
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +33,9 @@ from .staging import saved
 
 SAMPLE_BYTES, CENTROIDS, LIST = 16 << 20, 4096, 512
 REPLICATE, COPIES, PRUNE, BEAM, DEGREE = 1.15, 4, 1.4, 128, 16
-#: Queries of a list that meet a sublist in one task.
+#: Queries that meet a block in one task.
 QUERIES = 8192
-#: Bytes of vectors, and of queries, that meet in one task of the exact pass; what angles and scores may be off by rounding.
+#: Bytes of vectors that meet queries in one task; what angles and scores may be off by rounding.
 BLOCK_BYTES, ROUNDING = 8 << 20, 1e-6
 
 
@@ -173,12 +175,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     def valid(batches):
         """id and components as bytes."""
         for batch in batches:
-            ids, blobs = [], []
-            for i, v in zip(batch["vec_id"].to_pylist(), batch["v"].to_pylist()):
-                if v and None not in v and np.isfinite(x := np.array(v, np.float64)).all() and x.any():
-                    ids.append(i)
-                    blobs.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["vec_id", "v"])
+            has = pc.greater(pc.list_value_length(batch["v"]), 0)
+            ids, lists = batch["vec_id"].filter(has), batch["v"].filter(has)
+            x = lists.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+            end = np.cumsum(pc.list_value_length(lists).to_numpy())
+            start = np.r_[0, end[:-1]].astype(np.int64)
+            fine = np.zeros(len(end), bool)
+            if len(end):
+                fine = np.logical_and.reduceat(np.isfinite(x), start) & np.logical_or.reduceat(x != 0, start)
+            data = x.tobytes()
+            blobs = [data[8 * a : 8 * b] for a, b in zip(start[fine].tolist(), end[fine].tolist())]
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(fine)), pa.array(blobs, pa.binary())], ["vec_id", "v"])
 
     def combine(batches):
         """Within a task, the k + 1 smallest ids of each vector."""
@@ -230,64 +237,82 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     posted = saved(distinct.mapInArrow(post, "list int, rep long, v binary, off double"), "postings")
     homes = posted.where("off IS NOT NULL")  # every vector once, with its angle to the list's centroid
-    sizes = {r.list: -(-r["count"] // LIST) for r in posted.groupBy("list").count().collect()}  # CENTROIDS rows at most
-    cuts = np.array([sizes.get(i, 0) for i in range(lists)], np.int64)
+    sizes = {r.list: r["count"] for r in posted.groupBy("list").count().collect()}  # CENTROIDS rows at most
+    most_rows = max(LIST, BLOCK_BYTES // width.w)
+    at_block, in_blocks = blocks_of(np.array([sizes.get(i, 0) for i in range(lists)], np.int64), most_rows)
 
     def ask(batches):
+        """A row for each block that holds lists which the query asks, with those lists."""
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 own = batch.slice(a, 1024)
                 row, near = within(shared.value, unit(matrix(own["v"].to_pylist())), prune)
-                out = own.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), out["rep"], out["v"]], ["list", "rep", "v"])
+                run, place = np.repeat(np.arange(len(near)), in_blocks[near]), np.concatenate([np.arange(c) for c in in_blocks[near]]) if len(near) else near
+                row, near, block = row[run], near[run], at_block[near][run] + place
+                order = np.lexsort((near, block, row))
+                row, near, block = row[order], near[order], block[order]
+                edge = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])]) if len(row) else np.zeros(0, np.int64)
+                held = pa.ListArray.from_arrays(pa.array(np.r_[edge, len(row)], pa.int32()), pa.array(near, pa.int32()))
+                out = own.take(pa.array(row[edge]))
+                yield pa.RecordBatch.from_arrays([pa.array(block[edge], pa.int32()), out["rep"], out["v"], held], ["block", "rep", "v", "lists"])
 
     asked = pick(queries).mapInArrow(valid, "vec_id long, v binary").where(F.length("v") == width.w).select(F.col("vec_id").alias("query_id"), "v").distinct()
     asked = saved(asked.join(distinct.select("v", "rep"), "v"), "queries")
-    wanted = saved(asked.groupBy("rep").agg(F.first("v").alias("v")).mapInArrow(ask, "list int, rep long, v binary"), "wanted")
-    shares_of = np.ones(lists, np.int64)  # of the queries of each list
-    for r in wanted.groupBy("list").count().collect():  # CENTROIDS rows at most
-        shares_of[r.list] = -(-r["count"] // QUERIES)
-
-    def dealt(of: np.ndarray, every: np.ndarray, queries: bool):
-        """Each row to one of its list's parts in ``of``, and to every one of its parts in ``every``."""
-
-        def run(batches):
-            for batch in batches:
-                at = batch["list"].to_numpy()
-                mixed = (batch["rep"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                one = (mixed % np.maximum(of[at], 1).astype(np.uint64)).astype(np.int32)
-                row = np.repeat(np.arange(len(at)), every[at])
-                other = np.concatenate([np.arange(c) for c in every[at]]).astype(np.int32) if len(row) else np.zeros(0, np.int32)
-                out = batch.take(pa.array(row))
-                sub, share = (other, one[row]) if queries else (one[row], other)
-                yield pa.RecordBatch.from_arrays([out["list"], pa.array(sub, pa.int32()), pa.array(share, pa.int32()), out["rep"], out["v"]], ["list", "sub", "share", "rep", "v"])
-
-        return run
+    wanted = saved(asked.groupBy("rep").agg(F.first("v").alias("v")).mapInArrow(ask, "block int, rep long, v binary, lists array<int>"), "wanted")
+    shares = saved(wanted.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("shares")), "shares")
+    to_ask = wanted.join(shares, "block").withColumn("share", F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int")).select("block", "share", "rep", "v", "lists")
+
+    def place(batches):
+        for batch in batches:
+            at = batch["list"].to_numpy()
+            mixed = (batch["rep"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            block = at_block[at] + (mixed % in_blocks[at].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), batch["list"], batch["rep"], batch["v"]], ["block", "list", "rep", "v"])
+
+    listed = posted.drop("off").mapInArrow(place, "block int, list int, rep long, v binary").join(shares, "block")
+    listed = listed.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("block", "share", "list", "rep", "v")
+
+    def firsts(query, rep, exact):
+        """Of each query the k + 1 best, each rep once."""
+        order = np.lexsort((rep, -exact, query))
+        query, rep, exact = query[order], rep[order], exact[order]
+        new = np.r_[True, (query[1:] != query[:-1]) | (rep[1:] != rep[:-1])] if len(query) else np.zeros(0, bool)
+        query, rep, exact = query[new], rep[new], exact[new]
+        begin = np.searchsorted(query, query, "left")
+        keep = np.arange(len(query)) - begin <= k
+        return query[keep], rep[keep], exact[keep]
 
     def score(key, q, v):
-        if not len(q) or not len(v):
-            return pa.table({"query": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        reps, x = v["rep"].to_numpy(), scaled(matrix(v["v"].to_pylist()))
-        length = np.sqrt((x * x).sum(1))
-        out = []
-        for a in range(0, len(q), 512):
-            part = q.slice(a, 512)
-            y = scaled(matrix(part["v"].to_pylist()))
-            near = (y @ x.T) / length
-            take = min(len(reps), k + 9)
-            best = np.argpartition(-near, take - 1, axis=1)[:, :take]
-            for i, rep in enumerate(part["rep"].to_pylist()):
-                c = best[i]
-                exact = (x[c] * y[i]).sum(1) / (length[c] * np.sqrt((y[i] * y[i]).sum()))
-                order = np.lexsort((reps[c], -exact))[: k + 1]
-                out.append((np.full(len(order), rep), reps[c[order]], exact[order]))
-        query, rep, exact = (np.concatenate(z) for z in zip(*out))
-        return pa.table({"query": pa.array(query, pa.int64()), "rep": pa.array(rep, pa.int64()), "score": pa.array(exact, pa.float64())})
-
-    met = "list int, sub int, share int, rep long, v binary"
-    to_ask = wanted.mapInArrow(dealt(shares_of, cuts, True), met)
-    listed = posted.drop("off").join(F.broadcast(wanted.select("list").distinct()), "list", "left_semi").mapInArrow(dealt(cuts, shares_of, False), met)  # CENTROIDS rows at most
-    scored = to_ask.groupBy("list", "sub", "share").cogroup(listed.groupBy("list", "sub", "share")).applyInArrow(score, "query long, rep long, score double")
+        """Queries of a share against the lists of a block that they ask."""
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if len(q) and len(v):
+            reps, at, x = v["rep"].to_numpy(), v["list"].to_numpy(), scaled(matrix(v["v"].to_pylist()))
+            length = np.sqrt((x * x).sum(1))
+            y = scaled(matrix(q["v"].to_pylist()))
+            size = np.sqrt((y * y).sum(1))
+            lists = q["lists"].combine_chunks()
+            asking = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
+            lists = lists.flatten().to_numpy()
+            order, by = np.argsort(at, kind="stable"), np.argsort(lists, kind="stable")
+            held, waiting = [best], 0
+            for i in np.intersect1d(at, lists).tolist():
+                cols = order[slice(*np.searchsorted(at[order], (i, i + 1)))]
+                rows = asking[by[slice(*np.searchsorted(lists[by], (i, i + 1)))]]
+                take = min(len(cols), k + 9)
+                for a in range(0, len(rows), 1024):
+                    some = rows[a : a + 1024]
+                    near = (y[some] @ x[cols].T) / length[cols]
+                    c = cols[np.argpartition(-near, take - 1, axis=1)[:, :take]]
+                    exact = (x[c] * y[some][:, None, :]).sum(2) / (length[c] * size[some][:, None])
+                    held.append((np.repeat(some, take), reps[c].ravel(), exact.ravel()))
+                    waiting += c.size
+                if waiting > 1 << 20:
+                    held, waiting = [firsts(*(np.concatenate(z) for z in zip(*held)))], 0
+            best = firsts(*(np.concatenate(z) for z in zip(*held)))
+        query = q["rep"].to_numpy()[best[0]] if len(q) else best[0]
+        return pa.table({"query": pa.array(query, pa.int64()), "rep": pa.array(best[1], pa.int64()), "score": pa.array(best[2], pa.float64())})
+
+    scored = to_ask.groupBy("block", "share").cogroup(listed.groupBy("block", "share")).applyInArrow(score, "query long, rep long, score double")
 
     def top(found):
         found = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
@@ -309,7 +334,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
             return ranked(seen)
     held = {r.list: (r.n, r.off) for r in homes.groupBy("list").agg(F.count("*").alias("n"), F.max("off").alias("off")).collect()}  # CENTROIDS rows at most
     widest = np.array([held[i][1] if i in held else -np.inf for i in range(lists)])
-    most_rows = max(LIST, BLOCK_BYTES // width.w)
     first, parts = blocks_of(np.array([held[i][0] if i in held else 0 for i in range(lists)], np.int64), most_rows)
     shares = max(1, -(-asking.count() // most_rows))
 

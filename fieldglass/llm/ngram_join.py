@@ -8,8 +8,8 @@
    cannot have a link.  This drops most documents before any list is formed.
 4. The remaining documents meet on the n-grams of their prefixes.  Pairs are kept if they pass the
    length, the positional and the suffix filter (overlap of histograms over parts of the hash
-   range; parts that are full in both sets pass).  Pairs that a list has in one group already are
-   left out, so a list of many copies costs about its length.
+   range; parts that are full in both sets pass).  Of long lists, pairs that stand in one group by
+   other pairs already are left out, so lists of many copies cost little after the first.
 5. Groups, the components of those pairs, are verified exactly: whole sets meet by group, and
    every pair of a group is counted once by matrix product.  A group larger than block is cut in
    blocks, and each block, and each pair of blocks, is counted for itself (of two blocks only the
@@ -154,19 +154,19 @@ def least_labels(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple
         left, right = other, lower
 
 
-def passing(members: int, passes) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Pairs of a list's members (by size) that join all it has to pass(places, other places): each
-    member in turn against those after it that are not in its group yet."""
-    group, a, b = np.arange(members), [], []
-    for x in range(members):
+def joined(label: np.ndarray, own: np.ndarray, passes) -> None:
+    """Puts together the groups (label) of the members (own, by size) of a list that pass(places, other
+    places): each member in turn against those after it that are not in its group yet."""
+    for x in range(len(own)):
+        group = label[own]
         y = np.flatnonzero(group[x + 1 :] != group[x]) + x + 1
+        if not len(y):
+            if x == 0 or (group == group[0]).all():
+                return
+            continue
+        y = y[passes(np.full(len(y), x), y)]
         if len(y):
-            y = y[passes(np.full(len(y), x), y)]
-            if len(y):
-                group[np.isin(group, group[y])] = group[x]
-                a.append(np.full(len(y), x))
-                b.append(y)
-    return a, b
+            label[np.isin(label, group[y])] = group[x]
 
 
 def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 768) -> DataFrame:
@@ -292,13 +292,14 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
             ok = passes(x, y)
             a.append(doc[x[ok]])
             b.append(doc[y[ok]])
+        ids, own = np.unique(doc, return_inverse=True)
+        v, root = (np.array(x, np.int64) for x in forest(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))))
+        label = np.arange(len(ids))
+        label[np.searchsorted(ids, v)] = np.searchsorted(ids, root)
         for at, members in zip(edge[:-1][length > SHORT].tolist(), length[length > SHORT].tolist()):
-            x, y = passing(members, lambda x, y, at=at: passes(x + at, y + at))
-            a += [doc[v + at] for v in x]
-            b += [doc[v + at] for v in y]
-        v, root = forest(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)))
-        apart = [(x, y) for x, y in zip(v, root) if x != y]
-        return pa.table({"a": pa.array([x for x, _ in apart], pa.int64()), "b": pa.array([y for _, y in apart], pa.int64())})
+            joined(label, own[at : at + members], lambda x, y, at=at: passes(x + at, y + at))
+        apart = ids != ids[label]
+        return pa.table({"a": pa.array(ids[apart], pa.int64()), "b": pa.array(ids[label][apart], pa.int64())})
 
     asked = on_buckets(on_chunks_with(staged, active, extended, MESSAGE), shared).select("chunk", F.lit(None).cast("long").alias("doc_id"), "body")
     met = on_buckets(on_chunks_with(staged, active.unionByName(asked), entries, MESSAGE), candidates, "a long, b long")

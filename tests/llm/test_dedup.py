@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm import grams as g
 from fieldglass.llm import ngram_join as ngram
-from fieldglass.llm.ngram_join import histograms, may_share, ngram_join, passing
+from fieldglass.llm.ngram_join import histograms, joined, may_share, ngram_join
 from fieldglass.llm.quality import judge
 from fieldglass.llm.staging import size_of, stage
 from fieldglass.llm.substring_dedup import Automaton, dedup_substrings
@@ -190,15 +190,13 @@ def test_pairs_of_a_list_join_what_passes():
     for _ in range(50):
         n = rng.randrange(1, 40)
         near = {(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < rng.choice([0.02, 0.1, 0.9])}
-        a, b = passing(n, lambda x, y: np.array([(i, j) in near for i, j in zip(x.tolist(), y.tolist())]))
-        pairs = list(zip(np.concatenate(a).tolist(), np.concatenate(b).tolist())) if a else []
-        assert set(pairs) <= near
-        of = {v: v for v in range(n)}, {v: v for v in range(n)}
-        for label, links in zip(of, (near, pairs)):
-            for _ in range(n):
-                for x, y in links:
-                    label[x] = label[y] = min(label[x], label[y])
-        assert of[0] == of[1]
+        label, of = np.arange(n + 3), {v: v for v in range(n)}
+        label[1] = label[0]  # one group by another list
+        joined(label, np.arange(n), lambda x, y: np.array([(i, j) in near for i, j in zip(x.tolist(), y.tolist())], bool))
+        for _ in range(n):
+            for x, y in [*near, *([(0, 1)] if n > 1 else [])]:
+                of[x] = of[y] = min(of[x], of[y])
+        assert [[label[x] == label[y] for x in range(n)] for y in range(n)] == [[of[x] == of[y] for x in range(n)] for y in range(n)]
 
 
 def thue_morse():
