@@ -18,7 +18,7 @@ from fieldglass.llm.ngram_join import ngram_join
 from fieldglass.llm.packing import pack
 from fieldglass.llm.pii import redacted
 from fieldglass.llm.quality import kept
-from fieldglass.llm.staging import numbered, saved
+from fieldglass.llm.staging import numbered, saved, unused
 from fieldglass.llm.substring_dedup import dedup_substrings
 
 #: Words of a passage that is removed where it repeats.
@@ -52,9 +52,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: passages that an earlier document has are cut out.  Null texts stay null."""
     rows, row = numbered(docs)
-    cut = dedup_substrings(rows, window=PASSAGE, joined=False, id_col=row).where("n_removed > 0").select(F.col("doc_id").alias("key"), F.col("kept").alias("rest"))
-    text = F.coalesce("b.rest", "a.text").alias("text")
-    return counted(of_rows(rows, row, cut, "left").select(*(text if c == "text" else F.col(f"a.`{c}`") for c in docs.columns)))
+    empty = unused(rows, "_null")
+    rows = rows.withColumn(empty, F.col("text").isNull())
+    cut = dedup_substrings(rows, window=PASSAGE, joined=False, id_col=row, carry=(empty, *(c for c in docs.columns if c != "text")))
+    text = F.when(~F.col("rest")[empty], F.col("kept")).alias("text")
+    return counted(cut.select(*(text if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import grams as g
 from .components import components
 from .repeats import by_bucket
-from .staging import MESSAGE, bodies, chunk_of, documents, message, messages, on_buckets, on_chunks, on_chunks_with, saved, stage
+from .staging import MESSAGE, bodies, chunk_of, documents, message, messages, new_table, on_buckets, on_chunks, on_chunks_with, saved, stage
 
 U = np.uint64
 #: n-grams in the table of frequent ones, and those that a chunk names for it.
@@ -173,7 +173,8 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
     """doc_id, n_shingles, component_id: the smallest doc_id reachable over links, where two
     documents link if den * |intersection| >= num * |union| of their sets of word n-grams."""
     spark = docs.sparkSession
-    staged, chunks, buckets = stage(docs, id_col, text_col)
+    name = new_table(spark, "staged")
+    staged, chunks, buckets = stage(docs, id_col, text_col, name)
 
     def need(size):  # n-grams that a partner must have
         return -(-num * size // den)
@@ -342,4 +343,5 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
 
     links = on_buckets(on_chunks_with(staged, placed, whole, MESSAGE), verified, "a long, b long")
     classes = components(links)
+    spark.sql(f"DROP TABLE {name}")  # all that is left to do reads saved rows
     return base.join(classes, base.rep == classes.v, "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))

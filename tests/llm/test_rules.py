@@ -240,6 +240,24 @@ def test_stages_with_repeated_and_null_ids(spark):
     assert said(docs) == sorted([*masked[:3], (4, " ".join(e))])
 
 
+def test_stages_move_texts_once_and_leave_no_copies(spark, capsys):
+    import corpus_pipeline
+    from fieldglass.llm.staging import CLEANUP, new_table, shuffles_dropped
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    stages, database = dict(corpus_pipeline.STAGES), new_table(spark, "x").partition(".")[0]
+    staged = lambda: {(db, r.tableName) for db in ("default", database) for r in spark.sql(f"SHOW TABLES IN {db}").collect() if r.tableName.startswith("staged_")}
+    before = staged()
+    first = stages["n-gram Jaccard join"](spark, docs, "")
+    assert staged() == before and 0 < first.count() < docs.count()  # its texts are dropped before it returns
+    stages["substring dedup"](spark, docs, "").explain()
+    assert "Join" not in capsys.readouterr().out  # columns come along with the texts
+    was = spark.conf.get(CLEANUP)
+    with shuffles_dropped(spark):
+        assert spark.conf.get(CLEANUP) == "true"
+    assert spark.conf.get(CLEANUP) == was
+
+
 def test_contexts_in_long_runs(spark):
     far, run = "x" * 300, ";".join(f"key{i}=value" for i in range(12))
     rows = [(i, f"please {far} office at +1 ({200 + i}) 555-{1000 + i} today") for i in range(8)]
