@@ -89,9 +89,10 @@ def urgency(days_open: Column, median_close: Column, days_left: Column, batch: C
     return F.greatest(F.lit(0.1), F.least(F.lit(1.0), u))
 
 
-def expected_value(effective: Column, capital: Column, winnable: Column, hours: Column, friction: Column, years: float, point: float, hourly: float, home: Home) -> Column:
-    """Chance of an offer times what it brings, less the work for it; null without pay."""
-    chance = OFFER_BASE + OFFER_SLOPE * winnable
+def expected_value(effective: Column, capital: Column, winnable: Column, hours: Column, friction: Column, years: float, point: float, hourly: float, home: Home, best: float = 1.0) -> Column:
+    """Chance of an offer times what it brings, less the work for it; null without pay.  winnable goes from 0
+    to best, and is divided last: (k % 10) / 10 times the slope is not always the double that slope * (k % 10) / 10 is."""
+    chance = OFFER_BASE + OFFER_SLOPE * winnable / best
     return chance * (years * (effective - home.base) + (capital - 0.5) * 10 * point) - hours * hourly - chance * friction
 
 

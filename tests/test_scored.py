@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fieldglass.functions import extract as X
 from fieldglass.operators import resolution as N
 from fieldglass.operators import scoring as S
+from fieldglass.plans import scored as Q
 from fieldglass.streaming import alerts as L
 
 
@@ -70,3 +71,19 @@ def test_link_state_and_drift(spark):
     assert tuple(one(spark, L.link_state(F.lit("live"), F.lit("transient"), F.lit(True)))) == ("live", False)
     assert tuple(one(spark, L.link_state(F.lit("live"), F.lit("dead_404"), F.lit(True)))) == ("dead_404", True)
     assert [one(spark, L.drifted(F.lit(n), F.lit(u))) for n, u in ((3, 30), (10, 30), (0, 5), (0, 0))] == [True, False, True, False]
+
+
+def rows_of(spark, folder, name, table, rows, schema):
+    """Rows of a registered query over a table of these rows, and those of its SQL."""
+    import duckdb
+
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    return sorted(map(tuple, Q.QUERIES[name](spark, str(folder)).collect())), sorted(map(tuple, db.sql(Q.SQL[name]).fetchall()))
+
+
+def test_expected_value_next_to_a_half(spark, tmp_path):
+    orders = [(k, k % 997, 12.5 * (k * 7919 % 50_000)) for k in range(20_000)] + [(273_716, 21_889, 496_250.0), (4_216_831, 420_129, 384_750.0)]
+    ours, theirs = rows_of(spark, tmp_path, "expected_value", "orders", orders, "o_orderkey long, o_custkey long, o_totalprice double")
+    assert ours == theirs and (273_716, 215_006) in ours and (4_216_831, 154_377) in ours
