@@ -12,6 +12,16 @@ YEARS_RANGE = r"(?i)(\d{1,2})\s*\+?\s*(?:-|–|to)?\s*(\d{1,2})?\s*\+?\s*(?:year
 YEARS_MINIMUM = r"(?i)(?:minimum(?:\s+of)?|at\s+least|min\.?)\s+(\d{1,2})\s*\+?\s*(?:years|yrs)|(\d{1,2})\s+or\s+more\s+(?:years|yrs)"
 YEARS_NEUTRAL = r"(?i)including\s+internship|internship(?:s)?\s+(?:experience\s+)?(?:count|counts|qualify|qualifies|included)|no\s+(?:prior\s+|previous\s+)?(?:work\s+|professional\s+)?experience\s+(?:required|necessary|needed)|new\s?[- ]?grad(?:uate)?s?\s+(?:are\s+)?(?:welcome|encouraged)|recent\s+graduates?\s+(?:are\s+)?(?:welcome|encouraged|eligible)"
 MOST_YEARS, WAIVED_YEARS = 15, 3
+# Numbers of years as they stand, whatever they are of: "3-5 years", "4+ years", "at least 6 years".  No space but
+# these five characters, and possessive, so that a long run of digits is passed over once.
+WRITTEN_YEARS = (r"(?iu)(?<!\d)(\d++)[ \t\n\f\r]*+-[ \t\n\f\r]*+\d++ years", r"(?iu)(?<!\d)(\d++)\+ years", r"(?iu)at least (\d++) years")
+
+
+def least_written_years(text: Column) -> Column:
+    """The smallest number of WRITTEN_YEARS up to MOST_YEARS, in whole numbers: 99+ after another number is 99 and
+    nothing else; null where there is none."""
+    said = F.concat(*(F.regexp_extract_all(text, F.lit(p), 1) for p in WRITTEN_YEARS))
+    return F.array_min(F.filter(F.transform(said, lambda s: s.cast("double")), lambda y: y <= MOST_YEARS))
 
 
 def least_years(text: Column) -> Column:

@@ -87,3 +87,15 @@ def test_expected_value_next_to_a_half(spark, tmp_path):
     orders = [(k, k % 997, 12.5 * (k * 7919 % 50_000)) for k in range(20_000)] + [(273_716, 21_889, 496_250.0), (4_216_831, 420_129, 384_750.0)]
     ours, theirs = rows_of(spark, tmp_path, "expected_value", "orders", orders, "o_orderkey long, o_custkey long, o_totalprice double")
     assert ours == theirs and (273_716, 215_006) in ours and (4_216_831, 154_377) in ours
+
+
+def test_years_after_other_numbers(spark, tmp_path):
+    rnd, parts = random.Random(3), ["1", "7", "13", "0", "99", "-", "–", "+", " ", "  ", "\n", "\x0b", " ", " years", " YEARſ", " years of experience", "at least ", "to", "no experience required", "ñ", "😀", "call +1 (427) 555-1339 now"]
+    texts = ["Thedan eaer 4270558249789290 +1 (427) 555-1339 clown moron erou thwhan onreatw onst tiontion", "12- 45", "9" * 300, "", None]
+    texts += ["".join(rnd.choices(parts, k=rnd.randint(0, 24))) for _ in range(3000)]
+    ours, theirs = rows_of(spark, tmp_path, "years_in_texts", "documents", list(enumerate(texts)), "doc_id long, text string")
+    assert ours == theirs and len({y for _, y in ours}) > 8
+
+
+def test_long_runs_of_digits_are_passed_over_once(spark):
+    assert one(spark, X.least_written_years(F.repeat(F.lit("7"), F.lit(400_000)))) is None
