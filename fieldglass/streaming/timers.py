@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,37 +29,70 @@ class Engagement(StatefulProcessor):
     """Input key, kind (sent, engaged), at.  Output key, outcome, at: engaged, by the first engagement
     within hours of the sending, or else ignored, by a timer, when those hours are over.  A sending
     that repeats its key starts nothing anew while the first is open; engagement of what was not sent,
-    or is settled, says nothing."""
+    or is settled, says nothing.
+
+    Keys are taken together by bucket, as calls and state cost far more than rows: a bucket's state is its
+    open keys with the times of their sending, and its one timer stands at the first of these to end."""
 
     SCHEMA = "key long, outcome string, at timestamp"
+    BUCKETS = 2048
 
     def __init__(self, hours: int = 48):
-        self.hours = hours
+        self.span = hours * HOUR
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sent = handle.getValueState("sent", "at long")
-
-    def row(self, key, outcome: str, at: int) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "outcome": [outcome], "at": pd.to_datetime([at], unit="ms")})
+        self.state = handle.getValueState("open", "until long, body binary")
+
+    def load(self) -> tuple[int | None, dict[int, int]]:
+        """The timer that stands, and the open keys."""
+        if not self.state.exists():
+            return None, {}
+        until, body = self.state.get()
+        return until, dict(np.frombuffer(bytes(body), np.int64).reshape(-1, 2).tolist())
+
+    def store(self, stands: int | None, sent: dict[int, int]) -> None:
+        """Keeps the open keys, with the timer at the first to end; stands is the timer that stands."""
+        until = min(sent.values()) + self.span if sent else None
+        if until != stands:
+            if stands is not None:
+                self.handle.deleteTimer(stands)
+            if until is not None:
+                self.handle.registerTimer(until)
+        if sent:
+            self.state.update((until, np.array(list(sent.items()), np.int64).tobytes()))
+        elif stands is not None:
+            self.state.clear()
+
+    def settled(self, rows: list, outcome: str) -> pd.DataFrame:
+        return pd.DataFrame({"key": [k for k, _ in rows], "outcome": outcome, "at": pd.to_datetime([at for _, at in rows], unit="ms")})
 
     def handleInputRows(self, key, rows, timerValues):
-        data = in_order(rows, ["at", "kind"])
-        order = data.assign(_first=data["kind"] != "sent").sort_values(["at", "_first"], kind="stable")
-        for kind, at in zip(order["kind"], order["at"].astype("datetime64[ms]").astype("int64")):
-            if kind == "sent" and not self.sent.exists():
-                self.sent.update((int(at),))
-                self.handle.registerTimer(int(at) + self.hours * HOUR)
-            elif kind == "engaged" and self.sent.exists() and at <= (until := self.sent.get()[0] + self.hours * HOUR):
-                self.handle.deleteTimer(until)
-                self.sent.clear()
-                yield self.row(key, "engaged", int(at))
+        data = pd.concat(list(rows))
+        at, first = data["at"].astype("datetime64[ms]").astype("int64").to_numpy(), (data["kind"] == "sent").to_numpy()
+        order = np.lexsort((~first, at))
+        until, sent = self.load()
+        kinds, out = np.where(first, 0, np.where(data["kind"] == "engaged", 1, 2)), []
+        for k, kind, t in zip(data["key"].to_numpy()[order].tolist(), kinds[order].tolist(), at[order].tolist()):
+            if kind == 0:
+                sent.setdefault(k, t)
+            elif kind == 1 and k in sent and t <= sent[k] + self.span:
+                del sent[k]
+                out.append((k, t))
+        self.store(until, sent)
+        if out:
+            yield self.settled(out, "engaged")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.sent.exists():
-            at = self.sent.get()[0] + self.hours * HOUR
-            self.sent.clear()
-            yield self.row(key, "ignored", at)
+        fired, sent = self.load()
+        # all that a timer of their own would settle now: those that end before the watermark
+        before = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)
+        over = [(k, t + self.span) for k, t in sent.items() if t + self.span < before]
+        for k, _ in over:
+            del sent[k]
+        self.store(fired, sent)
+        if over:
+            yield self.settled(over, "ignored")
 
     def close(self) -> None:
         pass
@@ -142,10 +176,14 @@ class EmitOnce(StatefulProcessor):
 
 
 def keyed(stream: DataFrame, processor: StatefulProcessor, mode: str = "Append", at: str = "", delay: str = "0 seconds") -> DataFrame:
-    """The processor over the stream's rows by key; with at, in event time, rows later than delay are dropped."""
+    """The processor over the stream's rows by key, or by bucket of keys where it has BUCKETS; with at, in event
+    time, rows later than delay are dropped."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = stream.withWatermark(at, delay) if at else stream
-    return rows.groupBy("key").transformWithStateInPandas(processor, type(processor).SCHEMA, mode, "EventTime" if at else "None")
+    buckets, by = getattr(processor, "BUCKETS", None), "key"
+    if buckets:
+        rows, by = rows.withColumn("_bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))), "_bucket"
+    return rows.groupBy(by).transformWithStateInPandas(processor, type(processor).SCHEMA, mode, "EventTime" if at else "None")
 
 
 def drained(spark: SparkSession, rows: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In
@@ -127,6 +128,82 @@ def test_engagement_in_time_and_too_late(spark, tmp_path):
     assert sorted((r.key, r.outcome, r.at) for r in got.collect()) == [(1, "engaged", at(48)), (1, "ignored", at(97)), (2, "ignored", at(49)), (3, "engaged", at(2))]
 
 
+class OneBucket:
+    """The state and timers of one bucket, kept in Python, with a count of the calls."""
+
+    def __init__(self, processor):
+        self.value, self.timers, self.calls, self.processor = None, set(), 0, processor
+        processor.init(self)
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, t):
+        self.calls += 1
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.calls += 1
+        self.timers.remove(t)
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+    def getExpiryTimeInMs(self):
+        return self.expired
+
+    def batch(self, rows, mark):
+        """What a batch of rows and the timers under the watermark give."""
+        self.mark, got = mark, []
+        if len(rows):
+            got += self.processor.handleInputRows((0,), iter([rows[: len(rows) // 2], rows[len(rows) // 2 :]]), self)
+        while fired := sorted(t for t in self.timers if t < mark):
+            self.expired = fired[0]
+            got += self.processor.handleExpiredTimer((0,), self, self)
+            self.timers.discard(fired[0])
+        return sorted((k, o, int(t.timestamp() * 1000)) for g in got for k, o, t in zip(g["key"], g["outcome"], g["at"]))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_engagement_of_many_keys_as_each_alone(seed):
+    rnd, hour, bucket, sent, mark = random.Random(seed), M.HOUR, OneBucket(M.Engagement()), {}, 0
+    for step in range(12):
+        rows = sorted((mark + rnd.randint(0, 60) * hour, rnd.random() < 0.5, rnd.randint(0, 30)) for _ in range(rnd.choice([0, 5, 60])))
+        want = []
+        for t, engaged, k in rows:  # False, a sending, comes first
+            if not engaged:
+                sent.setdefault(k, t)
+            elif k in sent and t <= sent[k] + 48 * hour:
+                want.append((k, "engaged", t))
+                del sent[k]
+        table = pd.DataFrame({"key": [k for _, _, k in rows], "kind": ["engaged" if e else "sent" for _, e, _ in rows], "at": pd.to_datetime([t for t, _, _ in rows], unit="ms")}).sample(frac=1, random_state=seed)
+        mark += rnd.randint(0, 50) * hour
+        want += [(k, "ignored", t + 48 * hour) for k, t in sent.items() if t + 48 * hour < mark]
+        sent = {k: t for k, t in sent.items() if t + 48 * hour >= mark}
+        assert bucket.batch(table, mark) == sorted(want)
+        assert bucket.timers == ({min(sent.values()) + 48 * hour} if sent else set()) and bucket.exists() == bool(sent)
+
+
+def test_a_bucket_of_keys_takes_a_few_calls():
+    n, bucket = 50_000, OneBucket(M.Engagement())
+    rows = pd.DataFrame({"key": range(n), "kind": "sent", "at": pd.to_datetime(np.arange(n), unit="s")})
+    assert bucket.batch(rows, 0) == [] and bucket.calls <= 5
+    assert len(bucket.batch(rows[:0], (n + 48 * 3600) * 1000)) == n and bucket.calls <= 10
+
+
 def test_late_sightings_date_back(spark, tmp_path):
     batches = [[(1, False, at(5)), (2, True, at(5))], [(1, False, at(7)), (2, False, at(1))], [(1, True, at(9)), (3, False, at(0))]]
     got = waves(spark, tmp_path, "key long, known boolean, at timestamp", batches, lambda s: M.keyed(s, M.Sightings(), "Update"), "update")
