@@ -23,6 +23,8 @@ columns are ignored.  An empty table gives an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +44,9 @@ SHORT = 64
 PART_BYTES = 1 << 20
 #: A histogram counts to here; a part of the hash range where a set has as many or more n-grams is full.
 FULL = 65535
+#: Bytes of a posting of step 4 at most (the shared n-grams of extended prefixes are about twice those that are sent),
+#: of an n-gram of step 5, and of the text that an n-gram stands for.
+ENTRY, WHOLE, ROOM = 96, 8, 6
 
 
 class Sets:
@@ -228,36 +233,42 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
         ids = answers["doc_id"].drop_null().to_numpy()
         return ids, answers.filter(answers["body"].is_valid())
 
+    def prefixes(sets):
+        """The distinct n-grams of the extended prefixes, ascending, and how many documents have each."""
+        sent = [token[place < (s.size - need(s.size) + extra(s.size))[s.doc]] for s, token, place in sets]
+        return np.unique(np.concatenate(sent), return_counts=True) if sent else (np.zeros(0, U), np.zeros(0, np.int64))
+
     def extended(chunk, table, answers):
         ids, _ = wanted(answers)
-        sent = []
-        for s in sets_of(table, n, ids):
-            token, place = ordered(s)
-            sent.append(token[place < (s.size - need(s.size) + extra(s.size))[s.doc]])
-        token, count = np.unique(np.concatenate(sent), return_counts=True) if sent else (np.zeros(0, U), np.zeros(0))
-        return messages([message(chunk, b, (token[x], count[x] > 1)) for b, x in by_bucket(token, buckets)])
+        token, count = prefixes((s, *ordered(s)) for s in sets_of(table, n, ids))
+        # 32 bits of an n-gram: two that share them are taken to be sent twice, which only keeps a document more
+        short, count = token.astype(np.uint32), np.minimum(count, 255).astype(np.uint8)
+        return messages([message(chunk, b, (short[x], count[x])) for b, x in by_bucket(token, buckets)])
 
     def shared(bucket, table):
+        """A bit for each n-gram of a chunk, in the order it sent them, and how many postings the set ones are."""
         got = bodies(table)
-        token, twice = np.concatenate([t for _, (t, _) in got]), np.concatenate([m for _, (_, m) in got])
+        token, count = np.concatenate([t for _, (t, _) in got]), np.concatenate([m for _, (_, m) in got])
         order = np.argsort(token, kind="stable")
         same = np.r_[token[order][1:] == token[order][:-1], False]
         yes = np.empty(len(token), bool)
-        yes[order] = same | np.r_[False, same[:-1]] | twice[order]
+        yes[order] = same | np.r_[False, same[:-1]] | (count[order] > 1)
         out, at = [], 0
-        for chunk, (t, _) in got:
+        for chunk, (t, c) in got:
             if (own := yes[at : at + len(t)]).any():
-                out.append(message(chunk, bucket, t[own]))
+                out.append((*message(chunk, bucket, (bucket, np.packbits(own))), int(c[own].sum(dtype=np.int64))))
             at += len(t)
-        return messages(out)
+        return messages([m[:3] for m in out]).append_column("postings", pa.array([m[3] for m in out], pa.int64()))
 
-    def entries(chunk, table, answers):
+    def entries(chunk, table, answers, turn, turns):
         ids, told = wanted(answers)
-        got = [t for _, t in bodies(told)]
-        both = np.sort(np.concatenate(got)) if got else np.zeros(0, U)
+        sets = [(s, *ordered(s)) for s in sets_of(table, n, ids)]
+        token, _ = prefixes(sets)
+        bits = dict(b for _, b in bodies(told))
+        got = [x[np.unpackbits(bits[b], count=len(x)).astype(bool)] for b, x in by_bucket(token, buckets) if b in bits]
+        both = np.sort(token[np.concatenate(got)]) if got else np.zeros(0, U)
         out = []
-        for s in sets_of(table, n, ids):
-            token, place = ordered(s)
+        for s, token, place in sets:
             hit = g.member(token, both)
             least = extra(need(s.size))  # a partner has need(size) n-grams at least
             tested = place < (s.size - need(s.size) + least)[s.doc]
@@ -269,10 +280,12 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
         if not out:
             return messages([])
         token, doc, size, place, parts = (np.concatenate(x) for x in zip(*out))
-        return messages([message(chunk, b, (token[x], doc[x], size[x].astype(np.int32), place[x].astype(np.int32), parts[x])) for b, x in by_bucket(token, buckets)])
+        small = lambda p: p.astype(np.uint8) if p.max() < 256 else p
+        return messages([message(chunk, b, (token[x], doc[x], size[x].astype(np.int32), place[x].astype(np.int32), small(parts[x]))) for b, x in by_bucket(token, buckets) if b % turns == turn])
 
     def candidates(bucket, table):
         token, doc, size, place, parts = (np.concatenate(x) for x in zip(*(b for _, b in bodies(table))))
+        parts = parts.astype(np.uint16)
         order = np.lexsort((doc, size, token))
         token, doc, size, place, parts = token[order], doc[order], size[order].astype(np.int64), place[order].astype(np.int64), parts[order]
         edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
@@ -302,14 +315,26 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
         apart = ids != ids[label]
         return pa.table({"a": pa.array(ids[apart], pa.int64()), "b": pa.array(ids[label][apart], pa.int64())})
 
-    asked = on_buckets(on_chunks_with(staged, active, extended, MESSAGE), shared).select("chunk", F.lit(None).cast("long").alias("doc_id"), "body")
-    met = on_buckets(on_chunks_with(staged, active.unionByName(asked), entries, MESSAGE), candidates, "a long, b long")
-    groups = components(met)
+    def in_turns(asked, send, decide, size):
+        """The edges of all buckets, taken in as many turns as keep what is sent in one below what the texts take:
+        where most documents have near copies, all of it at once would be several times that."""
+        turns = min(buckets, max(1, -(-size // max(1, room))))
+        edges = []
+        for turn in range(turns):
+            sent = on_chunks_with(staged, asked, lambda chunk, table, answers, turn=turn: send(chunk, table, answers, turn, turns), MESSAGE)
+            edges.append(saved(on_buckets(sent, decide, "a long, b long"), "met"))
+        return reduce(DataFrame.unionByName, edges)
+
+    room = ROOM * (base.agg(F.sum("size")).first()[0] or 0)
+    asked = saved(on_buckets(on_chunks_with(staged, active, extended, MESSAGE), shared, f"{MESSAGE}, postings long"), "shared")
+    postings = asked.agg(F.sum("postings")).first()[0] or 0
+    asked = asked.select("chunk", F.lit(None).cast("long").alias("doc_id"), "body")
+    groups = components(in_turns(active.unionByName(asked), entries, candidates, postings * ENTRY // 2))
 
     sizes = groups.groupBy("label").agg(F.count("*").alias("members"))
     placed = groups.join(sizes, "label").select(chunk_of("v", chunks).alias("chunk"), F.col("v").alias("doc_id"), "label", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
 
-    def whole(chunk, table, answers):
+    def whole(chunk, table, answers, turn, turns):
         where = {d: (group, k) for d, group, k in zip(*(answers[c].to_pylist() for c in ("doc_id", "label", "blocks")))}
         sent: dict[tuple[int, int, int], list] = {}
         if where:
@@ -323,7 +348,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
             return messages([])
         keys = list(sent)
         mixed = g.mix(np.array([hash(k) & (1 << 63) - 1 for k in keys], np.int64).view(U))
-        return messages([message(chunk, b, [(keys[i], sent[keys[i]]) for i in x]) for b, x in by_bucket(mixed, buckets)])
+        return messages([message(chunk, b, [(keys[i], sent[keys[i]]) for i in x]) for b, x in by_bucket(mixed, buckets) if b % turns == turn])
 
     def verified(bucket, table):
         groups: dict[tuple[int, int, int], dict[int, dict]] = {}
@@ -341,7 +366,8 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_co
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    links = on_buckets(on_chunks_with(staged, placed, whole, MESSAGE), verified, "a long, b long")
-    classes = components(links)
+    placed = saved(placed, "placed")
+    size = placed.join(base, "doc_id").agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0
+    classes = components(in_turns(placed, whole, verified, size * WHOLE))
     spark.sql(f"DROP TABLE {name}")  # all that is left to do reads saved rows
     return base.join(classes, base.rep == classes.v, "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))

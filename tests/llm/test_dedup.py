@@ -160,6 +160,19 @@ def test_join(spark, monkeypatch, n, num, short, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_join(rows, n, num)
 
 
+@pytest.mark.parametrize(("room", "turns"), [(None, range(3, 9)), (0, range(8, 9)), (1 << 20, range(2, 3))])
+def test_join_in_turns(spark, monkeypatch, room, turns):
+    """Near copies in small blocks: sets go to many pairs of blocks, so all at once would be far more than the texts."""
+    if room is not None:
+        monkeypatch.setattr(ngram, "ROOM", room)
+    written, saved = [], ngram.saved
+    monkeypatch.setattr(ngram, "saved", lambda df, name: written.append(name) or saved(df, name))
+    rows = near_copies()
+    got = ngram_join(frame(spark, rows), 5, 80, 100, block=12).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_join(rows, 5, 80)
+    assert written.count("met") in turns
+
+
 def test_join_of_long_texts(spark):
     long = [str(i) for i in range(2_200_000)]  # some 68 750 n-grams in each part of a histogram
     near = [*long[:1_000_000], "changed", *long[1_000_001:]]
